@@ -6,12 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedge.llm.chat import chat_digest, format_chat, to_turns
+from sedge.llm.mixing import mix_sources
 from sedge.llm.quality import host_quality
+from sedge.llm.warc import read_archives, write_archives
 from sedge.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    control = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(control))
+    return chat_digest(format_chat(to_turns(rows)))
+
+
+OP1_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r)),
+e AS (SELECT *, length(role) + length(text) + 20 AS plain,
+             length(role || text) - length(replace(role || text, '\', ''))
+             + len(regexp_extract_all(role, '</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) AS marks FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(plain + marks)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("\\\\", "\\").replace("'\\\\'", "'\\'")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 3, 1, 2 over their sources, 150 % of all words."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable bundles and read back."""
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts for all documents: base rules and their shrunk host rates."""
     return host_quality(table(spark, sf_dir, "documents"))
@@ -43,9 +87,14 @@ FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_mixing": op2_mixing,
+    "op4_warc": op4_warc,
     "op9_host_quality": op9_host_quality,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+    "op4_warc": OP4_SQL,
     "op9_host_quality": OP9_SQL,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sedge.llm.bpe import roundtrip
 from sedge.llm.chat import chat_digest, format_chat, to_turns
 from sedge.llm.mixing import mix_sources
 from sedge.llm.quality import host_quality
@@ -42,6 +44,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the public 50k ranks and decoded."""
+    return roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to seekable bundles and read back."""
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
@@ -89,6 +96,7 @@ FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
+    "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
     "op9_host_quality": op9_host_quality,
 }

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sedge.llm.bpe import roundtrip
 from sedge.llm.chat import chat_digest, format_chat, to_turns
+from sedge.llm.lines import dedup_lines
 from sedge.llm.mixing import mix_sources
+from sedge.llm.pq import near_vectors
 from sedge.llm.quality import host_quality
+from sedge.llm.shards import shard
 from sedge.llm.warc import read_archives, write_archives
-from sedge.runtime import table
+from sedge.runtime import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,55 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten sites or more share, which stay in the first document that has them."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT rid, doc_id, source, i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+      FROM (SELECT rid, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM d)),
+b AS (SELECT k, min(doc_id) AS first FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10),
+m AS (SELECT l.*, b.k IS NOT NULL AND doc_id IS DISTINCT FROM first AS gone FROM l LEFT JOIN b USING (k)),
+r AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS left_over,
+             count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (gone) AS n_removed FROM m GROUP BY rid)
+SELECT doc_id, CASE WHEN n_removed > 0 THEN left_over ELSE text END AS text, n_lines, n_removed FROM d JOIN r USING (rid)
+"""
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked within labels at cosine 0.98."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+                     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.n),
+g AS (SELECT n, min(c) AS c FROM r GROUP BY n),
+k AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN g ON vec_id = n LEFT JOIN k ON vec_id = u
+"""
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards, compacted, and read back from the manifest's latest version."""
+    store = shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    version, shards, _ = store.manifest()
+    rows = store.read().select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return rows.withColumn("version", F.lit(version).cast("long"))
+
+
+OP8_SQL = """
+SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, sha256(text) AS text_sha256, 2::BIGINT AS version FROM documents
+"""
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts for all documents: base rules and their shrunk host rates."""
     return host_quality(table(spark, sf_dir, "documents"))
@@ -98,11 +150,17 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_sharding": op8_sharding,
     "op9_host_quality": op9_host_quality,
 }
 
 ORACLE: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op4_warc": OP4_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_sharding": OP8_SQL,
     "op9_host_quality": OP9_SQL,
 }

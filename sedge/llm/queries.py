@@ -14,6 +14,7 @@ from sedge.llm.mixing import mix_sources
 from sedge.llm.pq import near_vectors
 from sedge.llm.quality import host_quality
 from sedge.llm.shards import shard
+from sedge.llm.toxicity import score_toxicity, train
 from sedge.llm.warc import read_archives, write_archives
 from sedge.runtime import scratch_path, table
 
@@ -66,6 +67,12 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten sites or more share, which stay in the first document that has them."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -150,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,

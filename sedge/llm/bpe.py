@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
-Words (matches of the pre-tokenizer's pattern) become rows (word, position, token). A recursive query joins neighbouring rows with
-the merge table and contracts each word's leftmost pair of least rank until no pair of it can merge. Decoding joins token rows
+A recursive query unfolds words (matches of the pre-tokenizer's pattern) to rows (word, position, token, next token), joins them with
+the merge table, and contracts each word's leftmost pair of least rank until no pair of it can merge. Decoding joins token rows
 with the vocabulary and aggregates their bytes in order. Texts are never shuffled; what a partition has encoded
 is kept by word in a cache of bounded size, so repeated words cost one lookup.
 """
@@ -11,40 +11,43 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 CHUNK_WORDS = 30_000
 BATCH_CHARS = 3_000_000
 #: Words of more bytes take as many rounds over as many rows; a heap merges them in n log n, with equal results.
 LONG_WORD = 256
 
 ENCODE = """
-WITH RECURSIVE state(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM start
+WITH RECURSIVE state(w, toks, live) AS (
+  SELECT w, toks, true FROM start
   UNION ALL
-  SELECT s.step + 1, s.w, s.pos, CASE WHEN s.pos = best.spot THEN best.merged ELSE s.tok END
-  FROM (SELECT step, w, pos, tok, lag(pos, 1, -1) OVER (PARTITION BY w ORDER BY pos) AS before FROM state) s
-  JOIN (SELECT w, (min(k) >> 32)::INT AS merged, (min(k) & 4294967295)::INT AS spot
-        FROM (SELECT w, (merged::BIGINT << 32) | pos AS k
-              FROM (SELECT w, pos, (tok::BIGINT << 32) | lead(tok) OVER (PARTITION BY w ORDER BY pos) AS pair FROM state)
-              JOIN merges USING (pair))
-        GROUP BY w) best USING (w)
-  WHERE s.before <> best.spot
+  SELECT s.w, CASE WHEN k IS NULL THEN toks ELSE toks[:(k & 4294967295) - 1] || [(k >> 32)::INT] || toks[(k & 4294967295) + 2:] END, k IS NOT NULL
+  FROM state s LEFT JOIN (
+    SELECT w, min((merged::BIGINT << 32) | pos) AS k
+    FROM (SELECT w, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS next, generate_subscripts(toks[2:], 1) AS pos FROM state WHERE live AND len(toks) > 1)
+    JOIN merges ON pair = (tok::BIGINT << 32) | next
+    GROUP BY w) least USING (w)
+  WHERE live
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) GROUP BY w
+SELECT w, toks AS ids FROM state WHERE NOT live ORDER BY w
 """
 DECODE = """
-SELECT w, string_agg(piece, '' ORDER BY pos) AS piece
-FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w
+SELECT w, coalesce(piece, '') AS piece, len(ids) = coalesce(n, 0) AS known FROM coded LEFT JOIN (
+  SELECT w, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n
+  FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w) USING (w)
+ORDER BY w
 """
+TEXTS = "SELECT array_to_string(ids, ' ') AS text FROM coded ORDER BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,9 +66,11 @@ class Coder:
         self._table("merges", {"pair": pa.array([p for p, _ in merges], pa.int64()), "merged": pa.array([k for _, k in merges], pa.int32())})
         # latin-1 maps bytes to the first 256 code points and back, so that pieces of characters can be aggregated
         self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        #: The ids of a word as text, and the bytes they decode to. The old generation goes when the young one is half of all.
         self.coded: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("_given", pa.table(columns))
@@ -77,7 +82,7 @@ class Coder:
 
     def _long(self, word: bytes) -> list[int]:
         """The same contraction with a heap over a linked list."""
-        tokens = [self.byte[b] for b in word]
+        tokens = self.byte[np.frombuffer(word, np.uint8)].tolist()
         pieces = [word[i : i + 1] for i in range(len(word))]
         left, right = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
         rank = lambda i: self.ranks.get(pieces[i] + pieces[right[i]]) if right[i] >= 0 else None
@@ -97,54 +102,54 @@ class Coder:
                     heapq.heappush(heap, (r, k, pieces[k] + pieces[right[k]]))
         return [t for t, p in zip(tokens, pieces) if p is not None]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word."""
-        found: list = [None] * len(words)
-        rows: tuple[list, list, list] = ([], [], [])
+    def encode_words(self, words: list[str]) -> pa.ListArray:
+        """Token ids of each word. A word that is a token itself is that token."""
+        done, left = {}, {}
         for k, word in enumerate(words):
             raw = word.encode()
             if (own := self.ranks.get(raw)) is not None:
-                found[k] = [own]
+                done[k] = [own]
             elif len(raw) > LONG_WORD:
-                found[k] = self._long(raw)
+                done[k] = self._long(raw)
             else:
-                rows[0].extend([k] * len(raw))
-                rows[1].extend(range(len(raw)))
-                rows[2].extend(map(self.byte.__getitem__, raw))
-        if rows[0]:
-            self.db.register("start", pa.table({n: pa.array(x, pa.int32()) for n, x in zip(("w", "pos", "tok"), rows)}))
-            done = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("start")
-            for k, ids in zip(done["w"].to_pylist(), done["ids"].to_pylist()):
-                found[k] = ids
-        return found
-
-    def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
+                left[k] = raw
+        ends = np.cumsum([0, *map(len, left.values())], dtype=np.int32)
+        bytes_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(left.values()), np.uint8)]))
+        ready = pa.table({"w": pa.array(list(done), pa.int32()), "ids": pa.array(list(done.values()), pa.list_(pa.int32()))})
+        with self._given("start", pa.table({"w": pa.array(list(left), pa.int32()), "toks": bytes_of})):
+            merged = self.db.sql(ENCODE).to_arrow_table().cast(ready.schema)
+        return pa.concat_tables([merged, ready]).sort_by("w")["ids"].combine_chunks()
+
+    @contextmanager
+    def _given(self, name: str, rows: pa.Table):
+        self.db.register(name, rows)
+        try:
+            yield
+        finally:
+            self.db.unregister(name)
+
+    def decode_lists(self, lists: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids; ValueError for an id that is not in the vocabulary."""
-        self.db.register("coded", pa.table({"w": pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
-        done = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("coded")
-        found = [b""] * len(lists)
-        for k, piece in zip(done["w"].to_pylist(), done["piece"].to_pylist()):
-            found[k] = piece.encode("latin-1")
-        known = set(self.ranks.values())
-        if any(not known.issuperset(x) for x in lists):
+        with self._given("coded", pa.table({"w": pa.array(np.arange(len(lists), dtype=np.int32)), "ids": lists})):
+            done = self.db.sql(DECODE).to_arrow_table()
+        if not all(done["known"].to_pylist()):
             raise ValueError("an id is not in the vocabulary")
-        return found
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Put words that the caches lack into them, after room has been made."""
-        missing = list(set(words) - self.coded.keys())
-        if len(self.coded) + len(missing) > CACHED_WORDS and self.coded:
-            missing = list(set(words))
-            self.coded.clear()
-            self.bytes.clear()
-        for at in range(0, len(missing), CHUNK_WORDS):
-            chunk = missing[at : at + CHUNK_WORDS]
+        return [x.encode("latin-1") for x in done["piece"].to_pylist()]
+
+    def learn(self, words: set[str]) -> None:
+        """Put words that the young generation lacks into it."""
+        missing = words - self.coded.keys()
+        if len(self.coded) + len(missing) > CACHED_WORDS // 2:
+            self.old, self.coded, self.bytes, missing = (self.coded, self.bytes), {}, {}, words
+        for word in missing & self.old[0].keys():
+            self.coded[word], self.bytes[word] = self.old[0][word], self.old[1][word]
+        fresh = list(missing - self.coded.keys())
+        for at in range(0, len(fresh), CHUNK_WORDS):
+            chunk = fresh[at : at + CHUNK_WORDS]
             ids = self.encode_words(chunk)
-            texts = [" ".join(map(str, x)) for x in ids]
-            self.coded.update(zip(chunk, texts))
-            self.bytes.update(zip(texts, self.decode_lists(ids)))
+            with self._given("coded", pa.table({"w": pa.array(np.arange(len(chunk), dtype=np.int32)), "ids": ids})):
+                self.coded.update(zip(chunk, self.db.sql(TEXTS).to_arrow_table()["text"].to_pylist()))
+            self.bytes.update(zip(chunk, self.decode_lists(ids)))
 
 
 @cache
@@ -165,12 +170,11 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _encoded(own: Coder, texts: list[str | None]) -> Iterator[list[str]]:
-    """For each text the ids of its words, each word's as a string."""
+    """For each text its words, which the coder then knows."""
     for a, b in _runs(texts):
         split = [own.words(t) for t in texts[a:b]]
         own.learn(set().union(*split))
-        for words in split:
-            yield list(map(own.coded.__getitem__, words))
+        yield from split
 
 
 def _mapper(path: str, pattern: str, value):
@@ -179,7 +183,7 @@ def _mapper(path: str, pattern: str, value):
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
-            rows = [value(own, parts) for parts in _encoded(own, batch.column(batch.num_columns - 1).to_pylist())]
+            rows = [value(own, words) for words in _encoded(own, batch.column(batch.num_columns - 1).to_pylist())]
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), TYPES[value])] if rows else [pa.array([], t) for t in TYPES[value]]
             yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[:-1], *NAMES[value]])
@@ -187,13 +191,13 @@ def _mapper(path: str, pattern: str, value):
     return run
 
 
-def _ids(own: Coder, parts: list[str]) -> tuple:
-    return ([int(x) for p in parts for x in p.split(" ")],)
+def _ids(own: Coder, words: list[str]) -> tuple:
+    return ([int(x) for w in words for x in own.coded[w].split(" ")],)
 
 
-def _digest(own: Coder, parts: list[str]) -> tuple:
-    joined = " ".join(parts)
-    return joined.count(" ") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(map(own.bytes.__getitem__, parts))).hexdigest()
+def _digest(own: Coder, words: list[str]) -> tuple:
+    joined = " ".join(map(own.coded.__getitem__, words))
+    return joined.count(" ") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(map(own.bytes.__getitem__, words))).hexdigest()
 
 
 TYPES = {_ids: [pa.list_(pa.int32())], _digest: [pa.int64(), pa.string(), pa.string()]}
@@ -216,7 +220,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
     def run(batches):
         own = coder(path, "")
         for batch in batches:
-            lists = [x or [] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = pa.array([x or [] for x in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(own.decode_lists(lists), pa.binary())], [*batch.schema.names[:-1], "bytes"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

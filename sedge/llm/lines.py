@@ -43,7 +43,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     as the least; if a line has no other, all its documents lose it. Repeated rows lose the same lines. All other columns are
     kept as they are. An empty table gives no rows.
 
-    Lines travel as hashes, one narrow row each; texts move at most once, when the lists of removed lines are too large to broadcast.
+    Lines travel as hashes, one narrow row each; texts move once, to meet the lists of their removed lines.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(site), F.col(site).isNull()).alias("site"), F.xxhash64(whole, F.length(whole)).alias("row"), F.posexplode(_split(F.col(text))).alias("pos", "line"))
@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     boiler = spread_lines(rows.select("a", "b", "site", "id"), min_sites, lg_k)
     gone = rows.join(boiler, ["a", "b"]).where(F.col("first").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("_gone")), "removed").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_gone")
-    joined = docs.join(gone, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole, F.length(whole)) == F.col("_row")), "left")
+    # merged at every size: a plan that broadcasts small lists only would change its cost with the input
+    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole, F.length(whole)) == F.col("_row")), "left")
     words = F.filter(_split(F.col(text)), lambda x: F.translate(x, SPACES, "") != "")
     left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda p: F.get(x, p)), "\n"))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)

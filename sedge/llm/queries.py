@@ -11,6 +11,7 @@ from sedge.llm.bpe import roundtrip
 from sedge.llm.chat import chat_digest, format_chat, to_turns
 from sedge.llm.lines import dedup_lines
 from sedge.llm.mixing import mix_sources
+from sedge.llm.omh import near_duplicates
 from sedge.llm.pq import near_vectors
 from sedge.llm.quality import host_quality
 from sedge.llm.shards import shard
@@ -152,6 +153,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source
 """
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the classes that near copies of 0.8 in words of five form."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
@@ -162,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,
     "op9_host_quality": op9_host_quality,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE: dict[str, str] = {

@@ -80,6 +80,11 @@ def _fold(items: Column, id_type: str, seed: int) -> Column:
     return let(F.sort_array(items, asc=False), lambda a: F.aggregate(F.slice(a, 2, F.size(a)), F.struct(none.alias("decided"), a[0].alias("held")), step))
 
 
+def words(text: Column) -> Column:
+    """Number of words; 0 for null."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: doc_id, size (words), source_size, target, taken (words the mix takes) and copies.
 
@@ -88,8 +93,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     source: a source of its own, last in order. Rows of the same id and size are rows of their own and stand
     for each other. Null ids count as one id. Empty table: no rows.
     """
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    base = cut(docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), size.alias("size")), "sizes")
+    base = cut(docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), words(F.col(text)).alias("size")), "sizes")
     sizes = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -115,3 +119,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     out = reduce(DataFrame.unionByName, decided).join(sums, F.col("_source").eqNullSafe(F.col("_s")))
     copies = F.col("whole").cast("long") + F.col("up").cast("long")
     return out.select(F.col("id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mix_rows(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix itself: the rows of ``docs`` as many times as :func:`mix_sources` takes them, all columns kept.
+
+    Texts move once, to meet their decisions by id and size. Rows of one id and size are numbered on both sides, so each gets one decision.
+    """
+    key = F.coalesce(F.col(id).cast("string"), F.lit("\0"))
+    by = Window.partitionBy("_key", "_size")
+    decided = mix_sources(docs, id=id, source=source, text=text, **how).select(key.alias("_key"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    decided = decided.withColumn("_m", F.row_number().over(by.orderBy(F.desc("_copies")))).where("_copies > 0")
+    rows = docs.withColumn("_key", key).withColumn("_size", words(F.col(text))).withColumn("_n", F.row_number().over(by.orderBy(F.xxhash64(text, source))))
+    # as a difference the numbers are no join key, and the windows' partitions serve the join
+    met = rows.hint("merge").join(decided.hint("merge").withColumnsRenamed({"_key": "_k", "_size": "_s"}), (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")) & (F.col("_n") - F.col("_m") == 0))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

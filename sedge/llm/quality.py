@@ -86,8 +86,8 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_
 
     A null text counts as empty (so it fails), a null host is a host of its own, repeated rows are judged and
     returned each, other columns are ignored, and an empty table gives no rows. Documents with the same host are
-    counted by map-side combined sums; the verdicts come back in a join that Spark broadcasts only if they prove small,
-    and whose skewed hosts it otherwise splits.
+    counted by map-side combined sums; the verdicts are a table of known size, which Spark broadcasts if that is small, and whose skewed hosts
+    it otherwise splits.
     """
     names = [f"_x{i}" for i in range(len(extra))]
     base = docs.select(*[F.col(c).alias(n) for c, n in zip(extra, names)], F.col(host).alias("_host"), measures(F.col(text)).alias("_m"))
@@ -108,7 +108,7 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_
         mu, var = F.col(f"mu_{k}"), F.col(f"var_{k}")
         strength = F.when(var > 0, F.greatest(F.lit(10.0), F.least(F.lit(10000.0), mu * (1 - mu) / F.greatest(var, F.lit(1e-12)) - 1))).otherwise(F.lit(10000.0))
         bad = bad | ((F.col(k) + mu * strength) / (F.col("n") + strength) > max_rate)
-    verdicts = judged.select(F.col("_host").alias("_h"), bad.alias("host_failed"))
+    verdicts = cut(judged.select(F.col("_host").alias("_h"), bad.alias("host_failed")), "verdicts")
     out = base.join(verdicts, F.col("_host").eqNullSafe(F.col("_h")), "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     kept = ~F.col("base_failed") & ~F.col("host_failed")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, extra)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", kept.alias("kept"))

@@ -198,12 +198,12 @@ def _alike(a: str, b: str):
     """Whether two sketches can be near copies: lengths within the threshold, and few different bits.
 
     At similarity 0.8 a tenth of the bits differ, 102.4 of 1024; the deviation is 14.6 for long texts and grows as
-    texts get short. Pairs beyond four deviations (one in 30,000 of those that just pass) are not aligned.
+    texts get short. Pairs beyond three and a half deviations (one in 4,000 of those that just pass) are not aligned.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCHED])
     few = F.least(n, m).cast("double")
-    return (F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)) & (differ <= 102.4 + 4.0 * F.sqrt(213 * few / (few + 256) + 13000 / few))
+    return (F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)) & (differ <= 102.4 + 3.5 * F.sqrt(213 * few / (few + 256) + 13000 / few))
 
 
 class _Search:
@@ -250,12 +250,15 @@ class _Search:
         return self.compare(first.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct())
 
     def rest(self) -> int:
-        """Compare all pairs of a bucket that still are of different components; one of a pair is outside the bucket's largest."""
+        """Compare all pairs of a bucket that still are of different components; one of a pair is outside the bucket's largest.
+
+        A pair that shares several buckets comes from the one of least key.
+        """
         members = self.members()
         most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        rows = members.join(self.sketches, F.col("rep") == F.col("id")).join(most, "key").select("key", "rep", "comp", "main", "n", *SKETCHED)
+        rows = members.join(self.sketches, F.col("rep") == F.col("id")).join(most, "key").select("key", "rep", "comp", "main", "n", *SKETCHED, "bands")
         outside = rows.where("comp <> main")
-        pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & _alike("a", "b"))
+        pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & _alike("a", "b") & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")))
         return self.compare(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
 
 
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     buckets = cut(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("rep").distinct().join(reps.select(F.col("id").alias("rep"), "h0", "h1"), "rep")
     texts = cut(rows.hint("merge").join(wanted.hint("merge"), (F.col("id") == F.col("rep")) & (rows["h0"] == wanted["h0"]) & (rows["h1"] == wanted["h1"])).select("rep", "text"), "candidates")
-    search = _Search(buckets, reps.select("id", "n", *SKETCHED), texts, threshold)
+    search = _Search(buckets, reps.select("id", "n", *SKETCHED, "bands"), texts, threshold)
     for turn in range(STAR_ROUNDS):
         if not search.star(turn):
             break

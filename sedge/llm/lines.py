@@ -41,21 +41,22 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     Adds n_lines (lines with a word) and n_removed (long). Lines are compared without the white space around them; lines without a word
     are neither counted nor removed. Null text stays null. A null site is a site of its own. Null ids never count
     as the least; if a line has no other, all its documents lose it. Repeated rows lose the same lines. All other columns are
-    kept as they are. An empty table gives no rows.
+    kept as they are, but for earlier ones of the added names. An empty table gives no rows.
 
     Lines travel as hashes, one narrow row each; texts move once, to meet the lists of their removed lines.
     """
+    docs = docs.drop("n_lines", "n_removed", "__id", "__row", "__gone")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(site), F.col(site).isNull()).alias("site"), F.xxhash64(whole, F.length(whole)).alias("row"), F.posexplode(_split(F.col(text))).alias("pos", "line"))
     line = F.btrim("line", F.lit(SPACES))
     rows = cut(rows.where(line != "").select("id", "site", "row", "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")), "lines")
     boiler = spread_lines(rows.select("a", "b", "site", "id"), min_sites, lg_k)
     gone = rows.join(boiler, ["a", "b"]).where(F.col("first").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
-    gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("_gone")), "removed").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_gone")
+    gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("__gone")), "removed").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
     # merged at every size: a plan that broadcasts small lists only would change its cost with the input
-    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole, F.length(whole)) == F.col("_row")), "left")
+    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(whole, F.length(whole)) == F.col("__row")), "left")
     words = F.filter(_split(F.col(text)), lambda x: F.translate(x, SPACES, "") != "")
-    left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda p: F.get(x, p)), "\n"))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
+    left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda p: F.get(x, p)), "\n"))
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     keep = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*keep, F.size(words).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*keep, F.size(words).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -127,10 +127,10 @@ def mix_rows(docs: DataFrame, id: str = "doc_id", source: str = "source", text:
     Texts move once, to meet their decisions by id and size. Rows of one id and size are numbered on both sides, so each gets one decision.
     """
     key = F.coalesce(F.col(id).cast("string"), F.lit("\0"))
-    by = Window.partitionBy("_key", "_size")
-    decided = mix_sources(docs, id=id, source=source, text=text, **how).select(key.alias("_key"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    decided = decided.withColumn("_m", F.row_number().over(by.orderBy(F.desc("_copies")))).where("_copies > 0")
-    rows = docs.withColumn("_key", key).withColumn("_size", words(F.col(text))).withColumn("_n", F.row_number().over(by.orderBy(F.xxhash64(text, source))))
+    by = Window.partitionBy("__key", "__size")
+    decided = mix_sources(docs, id=id, source=source, text=text, **how).select(key.alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    decided = decided.withColumn("__m", F.row_number().over(by.orderBy(F.desc("__copies")))).where("__copies > 0")
+    rows = docs.withColumn("__key", key).withColumn("__size", words(F.col(text))).withColumn("__n", F.row_number().over(by.orderBy(F.xxhash64(text, source))))
     # as a difference the numbers are no join key, and the windows' partitions serve the join
-    met = rows.hint("merge").join(decided.hint("merge").withColumnsRenamed({"_key": "_k", "_size": "_s"}), (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")) & (F.col("_n") - F.col("_m") == 0))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    met = rows.hint("merge").join(decided.hint("merge").withColumnsRenamed({"__key": "__k", "__size": "__s"}), (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__n") - F.col("__m") == 0))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = known.where(fold(F.col("_id")) != held_out)
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in enumerate(sample)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most sum(sample) rows
-    rows = docs.join(few, F.col(id) == F.col("_id")).select("_label", fold(F.col("_id")).alias("_fold"), "_id", F.col(text).alias("_text")).limit(4 * sum(sample)).collect()
+    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text")).join(few, F.col("_doc") == F.col("_id")).select("_label", fold(F.col("_id")).alias("_fold"), "_id", "_text").limit(4 * sum(sample)).collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
     learnt = [[r["_text"] for r in rows if r["_fold"] != 3 and r["_label"] == k] for k in (0, 1)]
     model = Model(dictionary(learnt[0], learnt[1]), dictionary(learnt[1], learnt[0]))

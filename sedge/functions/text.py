@@ -170,7 +170,12 @@ def _scalar(value) -> str:
 
 def json_merge(old: Column, new: Column) -> Column:
     """Shallow merge of two JSON objects; the right one wins. Keys come out sorted, values keep their types."""
-    left, right = F.from_json(old, "map<string,variant>"), F.from_json(new, "map<string,variant>")
-    kept = F.map_filter(F.coalesce(left, F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
-    both = F.map_concat(kept, F.coalesce(right, F.from_json(F.lit("{}"), "map<string,variant>")))
-    return F.to_json(F.parse_json(F.to_json(both)))
+    kind = "map<string,variant>"
+    sides = F.struct(*[F.coalesce(F.from_json(x, kind), F.from_json(F.lit("{}"), kind)).alias(n) for x, n in ((old, "old"), (new, "new"))])
+
+    def merged(s):
+        kept = F.map_filter(s["old"], lambda k, v: ~F.map_contains_key(s["new"], k))
+        return F.to_json(F.parse_json(F.to_json(F.map_concat(kept, s["new"]))))
+
+    # bound once as an array's element, so that the sides may come from Python functions, which lambdas can't hold
+    return F.transform(F.array(sides), merged)[0]

@@ -77,3 +77,19 @@ def rollup(results: DataFrame) -> DataFrame:
     """One row of totals over all documents."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chunks_created", "episodes_created", "entities_extracted", "relationships_created")]
     return results.agg(F.count("*").alias("documents"), *sums, F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"))
+
+
+def episode_names(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, episode_id, description) of chunks; ids depend on source and index alone, so a repeat is the same episode."""
+    named = chunks.join(documents.select(F.col("id").alias("document_id"), "title", "source"), "document_id")
+    return named.select("document_id", "chunk_index", F.format_string("%s_%d", "source", "chunk_index").alias("episode_id"), F.format_string("Document: %s (Chunk: %d)", "title", "chunk_index").alias("description"))
+
+
+def add_text(content: str, source: str, extractor: Extractor, entities: DataFrame, edges: DataFrame, created_at: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) with what a single text says merged in."""
+    spark = entities.sparkSession
+    text = spark.createDataFrame([(content,)], "content string")
+    read = parse_replies(extract(text, extractor)).withColumn("source_doc", F.lit(source)).withColumn("chunk_id", F.lit(f"episode_{created_at}")).withColumn("created_at", F.to_timestamp(F.lit(created_at))).withColumn("ord", F.lit(0))
+    read = cut(read.where("error IS NULL").select("ord", "source_doc", "chunk_id", "created_at", "entities", "relationships"), "episode")
+    fresh = new_edges(read)
+    return upsert_entities(entities, entity_records(read)), edges.unionByName(fresh.select(*edges.columns))

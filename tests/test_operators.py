@@ -268,3 +268,17 @@ def test_sessions_end(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert [(r["session_id"], r["messages"]) for r in spark.sql("SELECT * FROM ended").collect()] == [("s", 2)]
+
+
+def test_a_single_text_joins_the_graph(spark):
+    from sedge.plans.ingest import add_text, episode_names
+
+    entities = spark.createDataFrame([("x", "X0", "t", "old", None, "d", None)], "name_key string, name string, type string, summary string, name_embedding array<float>, source_doc string, created_at timestamp")
+    edges = spark.createDataFrame([], "src_key string, dst_key string, fact string, predicate string, source_doc string, chunk_id string, created_at timestamp")
+    extractor = lambda text: '{"entities": [{"name": "X", "summary": "new"}], "relationships": [{"subject": "X", "predicate": "p", "object": "Y", "fact": "f"}]}'
+    nodes, links = add_text("text", "s", extractor, entities, edges, "2024-01-01 00:00:00")
+    assert {r["name_key"]: (r["name"], r["summary"]) for r in nodes.collect()} == {"x": ("X0", "old"), "y": ("Y", "")}
+    assert [(r["src_key"], r["dst_key"], r["source_doc"]) for r in links.collect()] == [("x", "y", "s")]
+    chunks = spark.createDataFrame([("1", 2)], "document_id string, chunk_index int")
+    docs = spark.createDataFrame([("1", "T", "a/b.md")], "id string, title string, source string")
+    assert tuple(episode_names(chunks, docs).first()) == ("1", 2, "a/b.md_2", "Document: T (Chunk: 2)")

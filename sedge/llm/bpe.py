@@ -21,9 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-CACHED_WORDS = 900_000
-CHUNK_WORDS = 30_000
-BATCH_CHARS = 3_000_000
+CACHED_WORDS = 600_000
+CHUNK_WORDS = 12_000
+BATCH_CHARS = 1_500_000
 #: Words of more bytes take as many rounds over as many rows; a heap merges them in n log n, with equal results.
 LONG_WORD = 256
 
@@ -67,10 +67,11 @@ class Coder:
         # latin-1 maps bytes to the first 256 code points and back, so that pieces of characters can be aggregated
         self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        #: The ids of a word as text, and the bytes they decode to. The old generation goes when the young one is half of all.
+        #: The ids of a word as text. The old generation goes when the young one is half of all.
         self.coded: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.old: dict[str, str] = {}
+        #: What ids decode to, where that is not the word's own bytes; a whole vocabulary leaves this empty.
+        self.differs: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("_given", pa.table(columns))
@@ -140,16 +141,22 @@ class Coder:
         """Put words that the young generation lacks into it."""
         missing = words - self.coded.keys()
         if len(self.coded) + len(missing) > CACHED_WORDS // 2:
-            self.old, self.coded, self.bytes, missing = (self.coded, self.bytes), {}, {}, words
-        for word in missing & self.old[0].keys():
-            self.coded[word], self.bytes[word] = self.old[0][word], self.old[1][word]
+            self.old, self.coded, missing = self.coded, {}, words
+        for word in missing & self.old.keys():
+            self.coded[word] = self.old[word]
         fresh = list(missing - self.coded.keys())
         for at in range(0, len(fresh), CHUNK_WORDS):
             chunk = fresh[at : at + CHUNK_WORDS]
             ids = self.encode_words(chunk)
             with self._given("coded", pa.table({"w": pa.array(np.arange(len(chunk), dtype=np.int32)), "ids": ids})):
                 self.coded.update(zip(chunk, self.db.sql(TEXTS).to_arrow_table()["text"].to_pylist()))
-            self.bytes.update(zip(chunk, self.decode_lists(ids)))
+            self.differs.update((w, b) for w, b in zip(chunk, self.decode_lists(ids)) if b != w.encode())
+
+    def decoded(self, words: list[str]) -> bytes:
+        """What the ids of known words decode to, in order."""
+        if not self.differs:
+            return "".join(words).encode()
+        return b"".join(self.differs.get(w, w.encode()) for w in words)
 
 
 @cache
@@ -197,7 +204,7 @@ def _ids(own: Coder, words: list[str]) -> tuple:
 
 def _digest(own: Coder, words: list[str]) -> tuple:
     joined = " ".join(map(own.coded.__getitem__, words))
-    return joined.count(" ") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(map(own.bytes.__getitem__, words))).hexdigest()
+    return joined.count(" ") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(own.decoded(words)).hexdigest()
 
 
 TYPES = {_ids: [pa.list_(pa.int32())], _digest: [pa.int64(), pa.string(), pa.string()]}
@@ -230,8 +237,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
 def roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
-    Encoding and decoding in one pass, so that ids need not leave the worker: ids are decoded word by word through
-    the same ordered aggregation, each different run of ids once. Null and empty texts have no tokens.
+    Encoding and decoding in one pass, so that ids need not leave the worker: the ids of every different word are decoded by
+    the same ordered aggregation when it is learnt, and compared with its bytes. Null and empty texts have no tokens.
     """
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(_mapper(path, pattern, _digest), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")

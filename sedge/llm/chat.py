@@ -101,6 +101,14 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _message(layout: Layout):
+    return lambda x: _turn(_role(layout, x[layout.role]), x[layout.text])
+
+
+def _prefixed(prefix: str):
+    return lambda key: F.concat(F.lit(prefix), key)
+
+
 def _field_turns(layout: Layout, there, value) -> Column:
     """Turns of a layout of single fields; a turn of an optional field that is absent or null is left out."""
     turns = []
@@ -128,7 +136,7 @@ def to_turns(df: DataFrame, layouts=LAYOUTS, keep: tuple[str, ...] = ()) -> Data
         return df.groupBy(at).agg(rows.alias("_rows")).select(at, F.transform("_rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     if layout.listed:
         items = F.coalesce(F.col(layout.listed), F.array().cast(df.schema[layout.listed].dataType))
-        turns = F.transform(items, lambda x: _turn(_role(layout, x[layout.role]), x[layout.text]))
+        turns = F.transform(items, _message(layout))
     else:
         turns = _field_turns(layout, there, F.col)
     return df.select(*keep, turns.cast(TURNS).alias("turns"))
@@ -146,14 +154,14 @@ def json_turns(df: DataFrame, record: str, layouts=LAYOUTS, keep: tuple[str, ...
     paths = [F.coalesce(F.json_object_keys(whole), F.array().cast("array<string>"))]
     for listed in sorted({x.listed for x, _ in known.values() if x.listed}):
         inner = F.coalesce(F.json_object_keys(F.get_json_object(whole, f"$.{listed}[0]")), F.array().cast("array<string>"))
-        paths.append(F.transform(inner, lambda k, p=f"{listed}[].": F.concat(F.lit(p), k)))
+        paths.append(F.transform(inner, _prefixed(f"{listed}[].")))
     own = F.sort_array(F.array_intersect(F.concat(*paths), F.array(*map(F.lit, vocabulary))))
     found = df.withColumn("_print", F.sha2(F.array_join(own, "\n"), 256))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for key, (layout, there) in known.items():
         if layout.listed:
             items = F.from_json(F.get_json_object(whole, f"$.{layout.listed}"), f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-            own = F.transform(items, lambda x, m=layout: _turn(_role(m, x[m.role]), x[m.text]))
+            own = F.transform(items, _message(layout))
         else:
             own = _field_turns(layout, there, lambda p: F.get_json_object(whole, f"$.{p}"))
         name = F.when(F.col("_print") == key, layout.name).otherwise(name)

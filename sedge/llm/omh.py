@@ -34,9 +34,10 @@ THRESHOLD = 0.8
 #: Diagonals that an alignment may leave the main one by, as a share of the longer text.
 BAND_SHARE = 0.25
 BLOCK = 65_536
-#: Sketch for a cheap look at a pair: four bits of the least k-mer in each of 256 bins, as 16 numbers of 64 bits.
-WORDS = 16
-SKETCHED = [f"s{i}" for i in range(WORDS)]
+#: Different k-mers that are kept for a look at a pair before it is aligned: all of a text of so many, else one in 2, 4, 8 ... by hash.
+SAMPLED = 256
+#: Least similarity of what is kept, for all k-mers (short codes may coincide) and for a share of them (3.5 deviations below 0.8).
+LEAST_WHOLE, LEAST_SAMPLED = 0.79, 0.69
 STAR_ROUNDS = 2
 
 _rng = np.random.default_rng(20)
@@ -129,16 +130,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def bits(values: np.ndarray) -> np.ndarray:
-    """Four bits of the least k-mer in each of 256 bins; an empty bin borrows from the next that is not."""
-    if not len(values):
-        return np.zeros(WORDS, np.int64)
-    ranked = np.sort(_mix(values + _BASE))
-    bins = (ranked >> np.uint64(56)).astype(np.int64)
-    own, first = np.unique(bins, return_index=True)
-    at = np.searchsorted(own, np.arange(256)) % len(own)
-    four = (_mix(ranked[first][at]) & np.uint64(15)).astype(np.uint8)
-    return (four[::2] << 4 | four[1::2]).view(np.int64)
+def sampled(values: np.ndarray) -> tuple[int, np.ndarray]:
+    """(level, codes): 16-bit codes of the k-mers whose hashes end in ``level`` zero bits, negative if the next bit is one.
+
+    The level is the least that leaves about SAMPLED; dropping negative codes gives the sample of the next level.
+    """
+    level = max(0, int(np.ceil(np.log2(max(len(values), 1) / SAMPLED))))
+    hashes = _mix(values + _BASE)
+    kept = hashes[hashes & np.uint64((1 << level) - 1) == 0]
+    code = ((kept >> np.uint64(40)) & np.uint64(0x7FFF)).astype(np.int32) - 32768 * ((kept >> np.uint64(level)) & np.uint64(1)).astype(np.int32)
+    return level, np.unique(code).astype(np.int16)
 
 
 def alignment(a: np.ndarray, b: np.ndarray, share: float = BAND_SHARE) -> float:
@@ -162,19 +163,21 @@ def alignment(a: np.ndarray, b: np.ndarray, share: float = BAND_SHARE) -> float:
     return m / (len(a) + len(b) - m)
 
 
-SKETCH = "id long, h0 long, h1 long, worded boolean, n long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCHED)
-SKETCH_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+SKETCH = "id long, h0 long, h1 long, worded boolean, n long, bands array<long>, level int, codes array<smallint>"
+SKETCH_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int16())]
 
 
 def _sketch(batches):
     for batch in batches:
-        counts, bands, looks = [], [], []
+        counts, bands, levels, codes = [], [], [], []
         for text in batch.column(4).to_pylist():
             labelled, different = kmers(text)
             counts.append(len(different))
             bands.append(band_keys(labelled))
-            looks.append(bits(different))
-        made = [pa.array(x, t) for x, t in zip((counts, bands, *np.array(looks, np.int64).reshape(-1, WORDS).T), SKETCH_TYPES[4:])]
+            level, code = sampled(different)
+            levels.append(level)
+            codes.append(code)
+        made = [pa.array(x, t) for x, t in zip((counts, bands, levels, codes), SKETCH_TYPES[4:])]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *made], [f.split()[0] for f in SKETCH.split(", ")])
 
 
@@ -195,15 +198,20 @@ def _verify(threshold: float):
 
 
 def _alike(a: str, b: str):
-    """Whether two sketches can be near copies: lengths within the threshold, and few different bits.
+    """Whether two sketches can be near copies: lengths within the threshold, and enough of the kept k-mers in common.
 
-    At similarity 0.8 a tenth of the bits differ, 102.4 of 1024; the deviation is 14.6 for long texts and grows as
-    texts get short. Pairs beyond three and a half deviations (one in 4,000 of those that just pass) are not aligned.
+    For texts of up to SAMPLED k-mers this is their Jaccard similarity; for longer ones an estimate that pairs at the threshold
+    pass but for one in some thousands. Lengths within the threshold are one level apart at most.
     """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCHED])
-    few = F.least(n, m).cast("double")
-    return (F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)) & (differ <= 102.4 + 3.5 * F.sqrt(213 * few / (few + 256) + 13000 / few))
+    n, m, same = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level") == F.col(f"{b}.level")
+
+    def codes(x, y):
+        bare = F.when(F.col(f"{x}.level") < F.col(f"{y}.level"), F.filter(f"{x}.codes", lambda c: c >= 0)).otherwise(F.transform(f"{x}.codes", lambda c: F.when(c < 0, c + F.lit(32768)).otherwise(c.cast("int")).cast("smallint")))
+        return F.when(same, F.col(f"{x}.codes")).otherwise(bare)
+
+    one, other = codes(a, b), codes(b, a)
+    shared, least = F.size(F.array_intersect(one, other)), F.when((F.greatest(f"{a}.level", f"{b}.level")) == 0, LEAST_WHOLE).otherwise(LEAST_SAMPLED)
+    return (F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)) & (shared * (1 + least) >= least * (F.size(one) + F.size(other)))
 
 
 class _Search:
@@ -256,9 +264,9 @@ class _Search:
         """
         members = self.members()
         most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        rows = members.join(self.sketches, F.col("rep") == F.col("id")).join(most, "key").select("key", "rep", "comp", "main", "n", *SKETCHED, "bands")
+        rows = members.join(self.sketches, F.col("rep") == F.col("id")).join(most, "key").select("key", "rep", "comp", "main", "n", "level", "codes", "bands")
         outside = rows.where("comp <> main")
-        pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & _alike("a", "b") & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")))
+        pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")) & _alike("a", "b"))
         return self.compare(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
 
 
@@ -275,13 +283,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     classes = sketched.where("worded AND id IS NOT NULL").groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes, "text-classes")
     reps = sketched.join(classes.select(F.col("rep").alias("id"), "h0", "h1"), ["id", "h0", "h1"]).where("n > 0")
-    reps = cut(reps.select("id", "h0", "h1", "n", *SKETCHED, "bands"), "representatives")
+    reps = cut(reps.select("id", "h0", "h1", "n", "level", "codes", "bands"), "representatives")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("id").alias("rep")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     buckets = cut(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("rep").distinct().join(reps.select(F.col("id").alias("rep"), "h0", "h1"), "rep")
     texts = cut(rows.hint("merge").join(wanted.hint("merge"), (F.col("id") == F.col("rep")) & (rows["h0"] == wanted["h0"]) & (rows["h1"] == wanted["h1"])).select("rep", "text"), "candidates")
-    search = _Search(buckets, reps.select("id", "n", *SKETCHED, "bands"), texts, threshold)
+    search = _Search(buckets, reps.select("id", "n", "level", "codes", "bands"), texts, threshold)
     for turn in range(STAR_ROUNDS):
         if not search.star(turn):
             break

@@ -113,13 +113,11 @@ FROM embeddings JOIN g ON vec_id = n LEFT JOIN k ON vec_id = u
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended as small shards, compacted, and read back from the manifest's latest version."""
     store = shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
-    version, shards, _ = store.manifest()
-    rows = store.read().select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
-    return rows.withColumn("version", F.lit(version).cast("long"))
+    return store.read().select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 OP8_SQL = """
-SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, sha256(text) AS text_sha256, 2::BIGINT AS version FROM documents
+SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, sha256(text) AS text_sha256 FROM documents
 """
 
 

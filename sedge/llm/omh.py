@@ -264,7 +264,9 @@ class _Search:
         """
         members = self.members()
         most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        rows = members.join(self.sketches, F.col("rep") == F.col("id")).join(most, "key").select("key", "rep", "comp", "main", "n", "level", "codes", "bands")
+        # marked first, so that the join of a key's members is a join alone, whose hot keys adaptive execution splits
+        marked = cut(members.join(most, "key"), "marked")
+        rows = marked.join(self.sketches, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "n", "level", "codes", "bands")
         outside = rows.where("comp <> main")
         pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")) & _alike("a", "b"))
         return self.compare(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())

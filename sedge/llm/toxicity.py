@@ -21,6 +21,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sedge.runtime import cut
+
 #: Bounds of the labelled sample that is learnt from, by class (ordinary, toxic): rows of least id hash.
 SAMPLE = (8_000, 4_000)
 WORD = regex.compile(r"\p{L}{2,}")
@@ -51,13 +53,13 @@ def _evidence(a: int, b: int, n: int, m: int) -> float:
     return 2 * sum(k * math.log(k / (size * share)) for k, size in ((a, n), (b, m)) if k)
 
 
-def dictionary(own: Iterable[str], other: Iterable[str]) -> bytes:
-    """Dictionary content from the texts of a class: codes of its typical stems, the most telling last, where zstd reaches cheapest.
+def dictionary(own: Iterable[frozenset[str]], other: Iterable[frozenset[str]]) -> bytes:
+    """Dictionary content from the stems of a class's texts: codes of its typical stems, the most telling last, where zstd reaches cheapest.
 
-    Equal texts count once. Content shorter than zstd's least is filled up with codes that no stem has.
+    Content shorter than zstd's least is filled up with codes that no stem has.
     """
-    own, other = list(dict.fromkeys(own)), list(dict.fromkeys(other))
-    here, there = (Counter(s for t in texts for s in set(stems(t))) for texts in (own, other))
+    own, other = list(own), list(other)
+    here, there = (Counter(s for text in texts for s in text) for texts in (own, other))
     found = sorted((e, s) for s in here if (e := _evidence(here[s], there[s], len(own), len(other))) >= LEAST_EVIDENCE)
     content = b"".join(_code(s) for _, s in found)[-DICTIONARY_BYTES:]
     return b"".join(_code(f"\0{i}") for i in range(16)) + content
@@ -110,11 +112,11 @@ class Model:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def calibrate(self, texts: list[str | None], labels: list[int]) -> None:
+    def calibrate(self, features: list[tuple[float, float]], labels: list[int]) -> None:
         """Fit the weights by ridge-penalised Newton steps; left as they are if a class is missing."""
         if len(set(labels)) < 2:
             return
-        x = np.array([(1.0, *self.features(t)) for t in texts])
+        x = np.array([(1.0, *f) for f in features])
         y, w = np.array(labels, float), np.zeros(x.shape[1])
         ridge = np.diag([1e-6, 0.05, 0.05])
         for _ in range(50):
@@ -132,22 +134,40 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """A model from labelled documents outside fold ``held_out``.
 
     Of several labels of an id the greatest counts; null labels and null ids are left out. At most ``sample`` ids of each
-    class are taken, those of least id hash; only their texts are fetched, by a join with this bounded list. Fold 3 calibrates, the others
-    make the dictionaries.
+    class are taken, those of least id hash, found by a join with this bounded list. Fold 3 calibrates, the others make the
+    dictionaries, where equal texts count once. The driver sees different stems and features, never texts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_label"))
     known = known.where(fold(F.col("_id")) != held_out)
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in enumerate(sample)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most sum(sample) rows
-    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text")).join(few, F.col("_doc") == F.col("_id")).select("_label", fold(F.col("_id")).alias("_fold"), "_id", "_text").limit(4 * sum(sample)).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
-    learnt = [[r["_text"] for r in rows if r["_fold"] != 3 and r["_label"] == k] for k in (0, 1)]
-    model = Model(dictionary(learnt[0], learnt[1]), dictionary(learnt[1], learnt[0]))
-    rest = [r for r in rows if r["_fold"] == 3]
-    model.calibrate([r["_text"] for r in rest], [r["_label"] for r in rest])
+    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text")).join(few, F.col("_doc") == F.col("_id"))
+    rows = cut(rows.select("_label", (fold(F.col("_id")) == 3).alias("_rest"), F.xxhash64("_id").alias("_at"), "_text"), "labelled")
+    told = rows.where("NOT _rest").groupBy("_label", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_h")).agg(F.any_value("_text").alias("_text"))
+    sets: tuple[list, list] = ([], [])
+    for r in told.select("_label", "_text").mapInArrow(_stems, "label int, stems array<string>").toLocalIterator():
+        sets[r["label"]].append(frozenset(r["stems"]))
+    model = Model(dictionary(sets[0], sets[1]), dictionary(sets[1], sets[0]))
+    rest = sorted(map(tuple, rows.where("_rest").select("_label", "_at", "_text").mapInArrow(_features(model), "at long, gain double, windows double, label int").collect()))
+    model.calibrate([(g, n) for _, g, n, _ in rest], [y for *_, y in rest])
     return model
 
 
+def _stems(batches):
+    for batch in batches:
+        found = [list(dict.fromkeys(stems(t))) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "stems"])
+
+
+def _features(model: Model):
+    def run(batches):
+        for batch in batches:
+            gain, windows = zip(*map(model.features, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(gain, pa.float64()), pa.array(windows, pa.float64()), batch.column(0)], ["at", "gain", "windows", "label"])
+
+    return run
+
+
 def score_toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, held_out, score and predicted, from the whole text alone.
 

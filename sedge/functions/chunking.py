@@ -177,5 +177,6 @@ def fixed_stride(content: Column, size: int, overlap: int) -> Column:
     """Pieces when no sentence end can be looked for (size within the least size): one every size - overlap characters. No Python."""
     step = size - overlap
     count = F.when(F.length(content) <= size, 1).otherwise(F.ceil((F.length(content) - size) / step) + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(content, k * step + 1, F.lit(size)))
+    # one pass over the text: every match takes a step and looks ahead for a piece, while substrings would each count from the start
+    cut = F.slice(F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), count)
     return F.when(F.length(content) > 0, cut).otherwise(F.array().cast("array<string>"))

@@ -1,7 +1,9 @@
 """Near-dedup by Order MinHash: ordered samples of occurrence-labelled k-mers, verified by banded alignment.
 
 A k-mer is K words; with the number of its earlier occurrences as a label each occurs once. A band takes the L labelled k-mers
-least under its own hash and keys them in text order; texts that share a band's key are candidates. Two texts are near copies if the
+least under its own hash and keys them in text order, and once more the L least of the different k-mers, each where it first occurs;
+texts that share a band's key are candidates. So a pair meets as its different k-mers are alike, which is what is verified, even if one
+text says twice what the other says once. Two texts are near copies if the
 best alignment of their different k-mers, each where it first occurs, within a band of diagonals matches M of n and m with
 M / (n + m - M) at least the threshold: the Jaccard similarity of their shingles, less what is out of order.
 Labels end at OCCURRENCES, and a phrase that texts repeat a hundred times makes them neither candidates nor copies.
@@ -130,6 +132,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
+def all_keys(labelled: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """Band keys of a text's labelled and of its different k-mers; both have the same keys if no k-mer occurs again."""
+    keys = band_keys(different)
+    return keys if len(labelled) == len(different) else np.unique(np.concatenate([keys, band_keys(labelled)]))
+
+
 def sampled(values: np.ndarray) -> tuple[int, np.ndarray]:
     """(level, codes): 16-bit codes of the k-mers whose hashes end in ``level`` zero bits, negative if the next bit is one.
 
@@ -173,7 +181,7 @@ def _sketch(batches):
         for text in batch.column(4).to_pylist():
             labelled, different = kmers(text)
             counts.append(len(different))
-            bands.append(band_keys(labelled))
+            bands.append(all_keys(labelled, different))
             level, code = sampled(different)
             levels.append(level)
             codes.append(code)
@@ -253,7 +261,7 @@ class _Search:
             met = met.join(self.groups.select(F.col("node").alias("pivot"), F.col("component").alias("theirs")), "pivot", "left").where(F.coalesce("theirs", "pivot") != F.col("comp"))
         counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
         alike = counted.join(self.sketches.alias("a"), F.col("rep") == F.col("a.id")).join(self.sketches.alias("b"), F.col("pivot") == F.col("b.id")).where(_alike("a", "b")).select("rep", "pivot", "shared")
-        # a member has a pivot for each of its bands at most
+        # a member has a pivot for each of its keys at most
         first = alike.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("shared"), "pivot"))).where("k = 1")
         return self.compare(first.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct())
 

@@ -113,3 +113,17 @@ def test_edges(spark, documents):
     rows = [(1, "alone here", "s"), (None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (3, "same id twice and more", "s"), (3, "same id twice and more", "s"), (4, None, "s"), (5, None, "s")]
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(documents(rows)).collect()), key=str)
     assert got == sorted([(1, 1, True), (None, None, True), (None, None, True), (3, 3, True), (3, 3, True), (4, 4, True), (5, 5, True)], key=str)
+
+
+def test_passage_said_twice_against_brute_force(spark, documents):
+    """Copies that say once what the original says twice are as similar by their different k-mers, and as likely candidates."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(rng.choice([40, 150, 300, 600]))]
+        copy = edited(rng, base, rng.randrange(max(1, len(base) // 60)))
+        rows += [base + base, copy] if i % 2 else [base[: len(base) // 2] + base, copy]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(rows)]
+    want = brute(rows)
+    assert sum(i != c for i, c in want.items()) >= 60
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()} == want

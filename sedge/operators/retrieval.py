@@ -6,12 +6,15 @@ chunk_index, metadata, token_count). Results that are cut to k rows are ordered
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from sedge.functions.text import Analyzer, json_contains, matches, query_terms, rank_cover, rank_one_term, simple_analyzer, tokens
 from sedge.functions.vectors import clamp, cosine_to
+from sedge.runtime import cut, scratch_path
 
 MOST_RESULTS = 50
 MOST_QUERIES = 4096
@@ -45,14 +48,27 @@ def vector_topk(chunks: DataFrame, documents: DataFrame, query: list[float], k:
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, chunk_id, similarity, rank): the k best chunks for each of a bounded set of queries(query_id, embedding).
+    """(query_id, chunk_id, similarity, rank): the k best chunks for each of queries(query_id, embedding).
 
     Partitions are scanned once: each keeps its own k best of every query from a matrix product, and those meet
-    in a window by query. More than MOST_QUERIES queries are refused; split them.
+    in a window by query. More than MOST_QUERIES queries are dealt into blocks of about so many, with a scan for each block.
     """
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    first = asked.limit(MOST_QUERIES + 1).collect()
+    if len(first) <= MOST_QUERIES:
+        return _topk_block(chunks, first, k)
+    asked = cut(asked, "queries")
+    dealt = cut(asked.repartition(math.ceil(asked.count() / MOST_QUERIES)).withColumn("_block", F.spark_partition_id()), "query-blocks")
+    paths, kind, base = [], None, scratch_path(chunks.sparkSession, "topk-blocks")
+    for b in sorted(r[0] for r in dealt.select("_block").distinct().collect()):
+        block = _topk_block(chunks, dealt.where(F.col("_block") == b).select("query_id", "embedding").collect(), k)
+        paths.append(f"{base}/{b}")
+        kind = block.schema
+        block.write.option("compression", "zstd").parquet(paths[-1])
+    return chunks.sparkSession.read.schema(kind).parquet(*paths)
+
+
+def _topk_block(chunks: DataFrame, asked: list[Row], k: int) -> DataFrame:
     ids = [r["query_id"] for r in asked]
     by_size: dict[int, list[int]] = {}
     for i, r in enumerate(asked):

@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,15 @@ def test_a_single_text_joins_the_graph(spark):
     chunks = spark.createDataFrame([("1", 2)], "document_id string, chunk_index int")
     docs = spark.createDataFrame([("1", "T", "a/b.md")], "id string, title string, source string")
     assert tuple(episode_names(chunks, docs).first()) == ("1", 2, "a/b.md_2", "Document: T (Chunk: 2)")
+
+
+def test_topk_of_more_queries_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(60, 3)).astype("f4"), rng.normal(size=(50, 3)).astype("f4")
+    chunks = spark.createDataFrame([(i, 0, "", v.tolist(), 0, "{}", 0) for i, v in enumerate(x)] + [(99, 0, "", None, 0, "{}", 0)], CHUNKS)
+    queries = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(q)] + [(2000, None)], "query_id long, embedding array<float>").repartition(3)
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.vector_topk_batch(chunks, queries, 4).collect()}
+    unit = lambda m: m.astype("f8") / np.linalg.norm(m.astype("f8"), axis=1)[:, None]
+    best = np.argsort(-unit(q) @ unit(x).T, axis=1)[:, :4]
+    assert got == {(1000 + i, k + 1): int(c) for i, row in enumerate(best) for k, c in enumerate(row)}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sedge.llm.bpe import roundtrip
 from sedge.llm.lines import dedup_lines
 from sedge.llm.mixing import mix_rows
-from sedge.llm.omh import near_duplicates
+from sedge.llm.omh import near_duplicates, text_hashes
 from sedge.llm.quality import host_quality
 from sedge.runtime import cut, table
 
@@ -34,9 +34,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of least id stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.hint("merge").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
+    """Of each class of near copies the document of least id stays, in as many rows as it came in; so does each row without an id."""
+    kept = near_duplicates(docs, hashes=True).where("kept").select(F.col("doc_id").alias("_id"), F.col("h0").alias("_h0"), F.col("h1").alias("_h1")).distinct()
+    h0, h1 = text_hashes("text")
+    rows = docs.select(*COLUMNS, h0, h1)
+    return rows.hint("merge").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h0") == F.col("_h0")) & (F.col("h1") == F.col("_h1"))).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

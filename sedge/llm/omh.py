@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sedge.llm.quality import SPACES
 from sedge.operators.components import components
@@ -280,15 +280,22 @@ class _Search:
         return self.compare(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_hashes(text: str) -> tuple[Column, Column]:
+    """h0 and h1, which tell texts apart; a null text counts as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(whole).alias("h0"), F.xxhash64(F.lit(K), whole).alias("h1")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
     """One row per document: doc_id, n_kmers, class_id (the least id of its class) and kept (whether it is that one).
 
     Equal texts are one class, as are texts that a chain of near copies connects. Texts without a word (null, empty) stand alone;
     texts of fewer than five words are compared for equality only. Ids are integers; a null id stands alone. Rows that repeat
     an id and text are copies of each other, all kept or none. Other columns are ignored; an empty table gives no rows.
+    With ``hashes`` the rows also have h0 and h1, the text_hashes of their texts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(whole).alias("h0"), F.xxhash64(F.lit(K), whole).alias("h1"), (F.translate(whole, SPACES, "") != "").alias("worded"), whole.alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), *text_hashes(text), (F.translate(whole, SPACES, "") != "").alias("worded"), whole.alias("text"))
     sketched = cut(rows.mapInArrow(_sketch, SKETCH), "sketches")
     classes = sketched.where("worded AND id IS NOT NULL").groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes, "text-classes")
@@ -309,4 +316,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     if search.groups is not None:
         out = out.join(search.groups, F.col("rep") == F.col("node"), "left")
         group = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_kmers"), group.alias("class_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_kmers"), group.alias("class_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"), *(["h0", "h1"] if hashes else []))

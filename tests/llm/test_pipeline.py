@@ -45,3 +45,11 @@ def test_run_gives_the_same_rows(spark):
 def test_stages_take_nothing(spark, at):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[at][1](spark, docs, SF).count() == 0
+
+
+def test_near_dedup_of_repeated_rows(spark, documents):
+    one, two, three = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(1, one, "s")] * 3 + [(None, two, "s")] * 2 + [(None, one, "s"), (2, one, "s"), (2, three, "s"), (4, None, "s"), (4, None, "s")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, documents(rows).select(*corpus_pipeline.COLUMNS), SF).collect()]
+    want = [(1, one)] * 3 + [(None, two)] * 2 + [(None, one), (2, three), (4, None), (4, None)]  # the copy of 1 that is numbered 2 goes
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -15,6 +15,8 @@ from sedge.functions.text import normal_name, repair_text, repaired, reply_objec
 from sedge.functions.vectors import cosine_to
 
 MOST_ENTITIES = 8
+#: Rows that are handed on at a time, as replies may be many times longer than their texts.
+REPLIES = 64
 NEAREST = 10
 EXTRACTED = "struct<entities:array<struct<name:string,type:string,summary:string>>,relationships:array<struct<subject:string,predicate:string,object:string,fact:string>>>"
 
@@ -26,7 +28,7 @@ def extract(chunks: DataFrame, extractor: Extractor, content: str = "content") -
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (batch.iloc[at : at + REPLIES] for batch in batches for at in range(0, len(batch), REPLIES)):
             replies, errors = [], []
             for text in pdf[content]:
                 try:

@@ -458,7 +458,7 @@ def extraction_parse(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
 
     def extractor(text: str) -> str:
-        names = [w.strip(".,") for w in text.split()[:12]]
+        names = [w.strip(".,") for w in text.split()]
         entities = ",".join(f'{{"name":"{n}","type":"word","summary":"in the text"}}' for n in names if n.isalpha())
         return "```json\n{\"entities\":[" + entities + "],\"relationships\":[]}\n```"
 

@@ -20,3 +20,10 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_topk' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_extraction_reads_whole_texts(spark, tmp_path):
+    texts = [" ".join(["1"] * 30 + ["alpha", "beta", "gamma."]), " ".join(["word"] * 40), "one two", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["entities"] for r in QUERIES["extraction_parse"](spark, str(tmp_path)).collect()}
+    assert got == {0: 3, 1: 8, 2: 2, 3: 0}

@@ -18,10 +18,14 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sedge.runtime import cut
+
 SHARD_ROWS = 500
 TARGET_BYTES = 128 << 20
 FAN = 4
 BASE_BYTES = 64 << 10
+#: Appends that shard() makes of its input, and the column that deals the rows to them.
+ARRIVALS, PART = 4, "__arrival"
 
 
 @dataclass(frozen=True)
@@ -182,12 +186,17 @@ def _merge(root: str, run: str):
 
 
 def shard(df: DataFrame, root: str, target_bytes: int = TARGET_BYTES, shard_rows: int = SHARD_ROWS) -> ShardStore:
-    """Append ``df`` to the store at ``root``, merge all small shards, and drop what no version needs.
+    """Append ``df`` to the store at ``root`` in ARRIVALS parts, each followed by tiered merges; pack what is left small, and drop
+    what no version needs.
 
     Rows are kept as they are: nulls, long texts, repeated rows and all columns. An empty table commits a version without shards.
     """
     store = ShardStore(df.sparkSession, root)
-    store.append(df, shard_rows)
+    # by position in the input, so that equal rows do not have to be told apart
+    parts = cut(df.withColumn(PART, F.pmod(F.monotonically_increasing_id(), F.lit(ARRIVALS)).cast("int")), "arrivals")
+    for k in range(ARRIVALS):
+        store.append(parts.where(F.col(PART) == k).drop(PART), shard_rows)
+        store.compact(target_bytes)
     store.compact(target_bytes, final=True)
     store.vacuum()
     return store

@@ -45,3 +45,13 @@ def test_empty(spark, documents, tmp_path):
         ShardStore(spark, f"file://{tmp_path}/none").read()
     store = shard(documents([]), f"file://{tmp_path}/s")
     assert store.read().count() == 0 and store.read().columns == documents([]).columns
+
+
+def test_shard_merges_by_tiers(spark, tmp_path, monkeypatch):
+    passes = []
+    plan = ShardStore.plan
+    monkeypatch.setattr(ShardStore, "plan", staticmethod(lambda *a: passes.append((a[3], plan(*a))) or passes[-1][1]))
+    rows = spark.range(0, 400, 1, 2).selectExpr("id", "cast(id AS string) AS text")
+    store = shard(rows, f"file://{tmp_path}/s", shard_rows=10)
+    assert sum(bool(groups) for final, groups in passes if not final) >= 2
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(400))

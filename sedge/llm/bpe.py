@@ -1,20 +1,28 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
-A recursive query unfolds words (matches of the pre-tokenizer's pattern) to rows (word, position, token, next token), joins them with
-the merge table, and contracts each word's leftmost pair of least rank until no pair of it can merge. Decoding joins token rows
-with the vocabulary and aggregates their bytes in order. Texts are never shuffled; what a partition has encoded
-is kept by word in a cache of bounded size, so repeated words cost one lookup.
+Recursive queries join token positions with the merge table and contract them until nothing can merge. SHORT contracts every
+word's leftmost pair of least rank each round. A word of more than SHORT_BYTES would take as many rounds over as many rows, so LONG contracts
+every round the pairs that nothing else in the word can reach before their turn, and, should there be none, the least pair of each region that no
+token can leave. Decoding joins the ids of whole documents with the vocabulary and aggregates their bytes in order. Texts are
+never shuffled; what a partition has encoded is kept by word in a cache of bounded size, so repeated words cost one lookup.
+
+Which pairs LONG may contract: spans are the stretches of bytes that are tokens; what the merge table can make of the present tokens are
+the spans that begin and end at their borders, ordered by (rank, start). A pair (a, m, b) keeps its turn if no lesser span of this
+kind begins or ends at a, m or b: then nothing that comes first touches it, nothing that its merge makes possible comes first
+either, and doing it now changes no other step. Of equal pairs that overlap (one token again and again) every second is taken,
+from the left. So the result is that of one merge at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from functools import cache
+from functools import cache, cached_property
+from itertools import chain, islice
 
+import ahocorasick
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -22,12 +30,16 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 CACHED_WORDS = 600_000
-CHUNK_WORDS = 12_000
+#: Words of up to so many bytes, and how many of them, that one query contracts pair by pair.
+SHORT_BYTES, CHUNK_WORDS = 32, 12_000
+#: Bytes of longer words that one query contracts; a word beyond that is swept in stretches of so many.
+CHUNK_BYTES = 128 << 10
 BATCH_CHARS = 1_500_000
-#: Words of more bytes take as many rounds over as many rows; a heap merges them in n log n, with equal results.
-LONG_WORD = 256
+#: Words of a text that are held at once, and ids that are decoded at once.
+BATCH_WORDS, BATCH_IDS = 250_000, 1_000_000
+DATABASE = {"threads": 1, "memory_limit": "300MB", "temp_directory": ""}
 
-ENCODE = """
+SHORT = """
 WITH RECURSIVE state(w, toks, live) AS (
   SELECT w, toks, true FROM start
   UNION ALL
@@ -39,15 +51,46 @@ WITH RECURSIVE state(w, toks, live) AS (
     GROUP BY w) least USING (w)
   WHERE live
 )
-SELECT w, toks AS ids FROM state WHERE NOT live ORDER BY w
+SELECT w, array_to_string(toks, ' ') AS ids FROM state WHERE NOT live
 """
+LONG = """
+WITH RECURSIVE state(a, e, id) USING KEY (a) AS (
+  SELECT a, e, id FROM start
+  UNION
+  (WITH token AS (SELECT a, e FROM recurring.state WHERE e > 0),
+   live AS (SELECT s.a, t.e AS m, s.b, id, u.a = t.e AS pair, (id::BIGINT << 32) | s.a AS k
+            FROM spans s JOIN token t ON t.a = s.a JOIN token u ON u.e = s.b WHERE s.b > t.e),
+   begins AS (SELECT p, min(k) AS k FROM (SELECT a AS p, k FROM live UNION ALL SELECT p, k FROM beyond JOIN token ON a = p) GROUP BY p),
+   ends AS (SELECT b AS p, min(k) AS k FROM live GROUP BY p),
+   calm AS (SELECT x.*, coalesce(ends.k = twin, false) AS chained
+            FROM (SELECT *, CASE WHEN m >= b - a THEN (id::BIGINT << 32) | (m - (b - a)) ELSE k END AS twin FROM live WHERE pair) x
+            JOIN begins one ON one.p = x.a AND one.k = x.k JOIN ends two ON two.p = x.b AND two.k = x.k
+            LEFT JOIN begins ON begins.p = m LEFT JOIN ends ON ends.p = m
+            WHERE coalesce(begins.k > x.k, true) AND coalesce(ends.k >= least(twin, x.k), true)),
+   follow AS (SELECT *, chained AND coalesce(lag(k) OVER (ORDER BY a) = twin AND lag(m) OVER (ORDER BY a) = a, false) AS follows FROM calm),
+   runs AS (SELECT *, sum((NOT follows)::INT) OVER (ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM follow),
+   placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY a) AS nth, first(chained) OVER (PARTITION BY run ORDER BY a) AS held FROM runs),
+   chosen AS (SELECT a, m, b, id FROM placed WHERE nth % 2 = 1 AND NOT held {rest})
+   SELECT a, b, id FROM chosen UNION ALL SELECT m, 0, -1 FROM chosen)
+)
+SELECT a, e, id FROM state WHERE e > 0 ORDER BY a
+"""
+#: The least pair of each region, which is a stretch that no span crosses the border of.
+REGIONS = """
+UNION SELECT a, m, b, id FROM live JOIN (
+  SELECT min(k) FILTER (pair) AS k FROM (
+    SELECT *, sum(fresh) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS region FROM (
+      SELECT *, coalesce(a >= max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh
+      FROM (SELECT a, b, k, pair FROM live UNION ALL SELECT p, 2147483647, k, false FROM beyond JOIN token ON a = p)))
+  GROUP BY region HAVING max(b) < 2147483647) USING (k) WHERE pair
+"""
+OWN = "SELECT w, id FROM words JOIN vocabulary ON piece = word"
 DECODE = """
 SELECT w, coalesce(piece, '') AS piece, len(ids) = coalesce(n, 0) AS known FROM coded LEFT JOIN (
   SELECT w, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n
   FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w) USING (w)
 ORDER BY w
 """
-TEXTS = "SELECT array_to_string(ids, ' ') AS text FROM coded ORDER BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,77 +104,136 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        merges = [(left << 32 | right, k) for b, k in self.ranks.items() for i in range(1, len(b)) if (left := self.ranks.get(b[:i])) is not None and (right := self.ranks.get(b[i:])) is not None]
-        self._table("merges", {"pair": pa.array([p for p, _ in merges], pa.int64()), "merged": pa.array([k for _, k in merges], pa.int32())})
+        self.longest = max(map(len, self.ranks))
+        self.db = duckdb.connect(config=DATABASE)
         # latin-1 maps bytes to the first 256 code points and back, so that pieces of characters can be aggregated
-        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})
+        with self._given(given=pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})):
+            self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+        merges = [(left << 32 | right, k) for b, k in self.ranks.items() for i in range(1, len(b)) if (left := self.ranks.get(b[:i])) is not None and (right := self.ranks.get(b[i:])) is not None]
+        with self._given(given=pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "merged": pa.array([k for _, k in merges], pa.int32())})):
+            self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         #: The ids of a word as text. The old generation goes when the young one is half of all.
         self.coded: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        #: What ids decode to, where that is not the word's own bytes; a whole vocabulary leaves this empty.
-        self.differs: dict[str, bytes] = {}
-
-    def _table(self, name: str, columns: dict) -> None:
-        self.db.register("_given", pa.table(columns))
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _given")
-        self.db.unregister("_given")
-
-    def words(self, text: str | None) -> list[str]:
-        return self.pattern.findall(text or "")
-
-    def _long(self, word: bytes) -> list[int]:
-        """The same contraction with a heap over a linked list."""
-        tokens = self.byte[np.frombuffer(word, np.uint8)].tolist()
-        pieces = [word[i : i + 1] for i in range(len(word))]
-        left, right = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
-        rank = lambda i: self.ranks.get(pieces[i] + pieces[right[i]]) if right[i] >= 0 else None
-        heap = [(r, i, pieces[i] + pieces[right[i]]) for i in range(len(word)) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, both = heapq.heappop(heap)
-            if pieces[i] is None or right[i] < 0 or pieces[i] + pieces[right[i]] != both:
-                continue
-            j = right[i]
-            pieces[i], tokens[i], pieces[j] = both, r, None
-            right[i] = right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            for k in (left[i], i):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k, pieces[k] + pieces[right[k]]))
-        return [t for t, p in zip(tokens, pieces) if p is not None]
-
-    def encode_words(self, words: list[str]) -> pa.ListArray:
-        """Token ids of each word. A word that is a token itself is that token."""
-        done, left = {}, {}
-        for k, word in enumerate(words):
-            raw = word.encode()
-            if (own := self.ranks.get(raw)) is not None:
-                done[k] = [own]
-            elif len(raw) > LONG_WORD:
-                done[k] = self._long(raw)
-            else:
-                left[k] = raw
-        ends = np.cumsum([0, *map(len, left.values())], dtype=np.int32)
-        bytes_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(left.values()), np.uint8)]))
-        ready = pa.table({"w": pa.array(list(done), pa.int32()), "ids": pa.array(list(done.values()), pa.list_(pa.int32()))})
-        with self._given("start", pa.table({"w": pa.array(list(left), pa.int32()), "toks": bytes_of})):
-            merged = self.db.sql(ENCODE).to_arrow_table().cast(ready.schema)
-        return pa.concat_tables([merged, ready]).sort_by("w")["ids"].combine_chunks()
+
+    @cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        """Finds all spans of bytes that are tokens of two bytes or more: what the merge table can make."""
+        found = ahocorasick.Automaton()
+        for piece, k in self.ranks.items():
+            if len(piece) > 1:
+                found.add_word(piece.decode("latin-1"), len(piece) << 32 | k)
+        found.make_automaton()
+        return found
 
     @contextmanager
-    def _given(self, name: str, rows: pa.Table):
-        self.db.register(name, rows)
+    def _given(self, **tables: pa.Table):
+        for name, rows in tables.items():
+            self.db.register(name, rows)
         try:
             yield
         finally:
-            self.db.unregister(name)
+            for name in tables:
+                self.db.unregister(name)
+
+    def words(self, text: str | None) -> Iterator[list[str]]:
+        """The words of a text, some at a time if it is long."""
+        text = text or ""
+        if len(text) <= BATCH_CHARS:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while some := list(islice(found, BATCH_WORDS)):
+            yield some
+
+    def _spans(self, pieces: list[bytes], at: int = 0) -> tuple[np.ndarray, ...]:
+        """(start, end, id) of the tokens in pieces laid end to end from ``at``."""
+        joined = "\u0100".join(p.decode("latin-1") for p in pieces)
+        found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
+        seams = np.cumsum([len(p) + 1 for p in pieces])
+        end = found[:, 0] + 1
+        end -= np.searchsorted(seams, end)
+        return end - (found[:, 1] >> 32) + at, end + at, found[:, 1] & 0xFFFFFFFF
+
+    def _bytes(self, raw: bytes, at: int = 0) -> tuple[np.ndarray, ...]:
+        starts = np.arange(at, at + len(raw))
+        return starts, starts + 1, self.byte[np.frombuffer(raw, np.uint8)]
+
+    def _contract(self, tokens: tuple, spans: tuple, beyond: tuple = ((), ())) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(tokens, whether each span is still to be made) at the fixpoint of tokens (start, end, id) under spans (start, end, id).
+
+        ``beyond`` (start, key) are spans that leave the bytes at hand: what they touch waits.
+        """
+        table = lambda names, columns, kinds: pa.table({n: pa.array(np.asarray(c, k)) for n, c, k in zip(names, columns, kinds)})
+        a, b, _ = spans
+        for rest in ("", REGIONS):
+            given = {"start": table(("a", "e", "id"), tokens, ("i4",) * 3), "spans": table(("a", "b", "id"), spans, ("i4",) * 3), "beyond": table(("p", "k"), beyond, ("i4", "i8"))}
+            with self._given(**given):
+                done = self.db.sql(LONG.format(rest=rest)).to_arrow_table()
+            tokens = tuple(done[c].to_numpy() for c in ("a", "e", "id"))
+            size = int(max(tokens[1][-1], b.max(initial=0))) + 1
+            end, ends = np.full(size, -1), np.zeros(size, bool)
+            end[tokens[0]], ends[tokens[1]] = tokens[1], True
+            live = (end[a] > 0) & ends[b] & (end[a] != b)
+            if not live.any():
+                break
+        return tokens, live
+
+    def _sweep(self, word: bytes) -> np.ndarray:
+        """Ids of a word above CHUNK_BYTES, stretch by stretch; what a stretch's end leaves open goes on in the next one."""
+        done, open_, hi = [], tuple(np.zeros(0, np.int64) for _ in range(3)), 0
+        while True:
+            lo, at = int(open_[0][0]) if len(open_[0]) else hi, hi
+            hi = min(hi + CHUNK_BYTES, len(word))
+            a, b, k = self._spans([word[lo : hi + self.longest - 1]], lo)
+            inside, beyond = b <= hi, (a < hi) & (b > hi)
+            # positions count from lo, so that they stay small
+            tokens = tuple(np.concatenate([x, y]) - shift for x, y, shift in zip(open_, self._bytes(word[at:hi], at), (lo, lo, 0)))
+            (start, end, ids), live = self._contract(tokens, (a[inside] - lo, b[inside] - lo, k[inside]), (a[beyond] - lo, k[beyond] << 32 | a[beyond] - lo))
+            if hi == len(word):
+                return np.concatenate([*done, ids])
+            from_here = min((a[inside] - lo)[live].min(initial=hi - lo), (x := a[beyond] - lo)[np.isin(x, start)].min(initial=hi - lo))
+            settled = start < from_here
+            done.append(ids[settled])
+            open_ = (start[~settled] + lo, end[~settled] + lo, ids[~settled])
+
+    def _pairwise(self, pieces: list[bytes]) -> list[str]:
+        ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+        toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(pieces), np.uint8)]))
+        with self._given(start=pa.table({"w": pa.array(np.arange(len(pieces), dtype=np.int32)), "toks": toks})):
+            done = self.db.sql(SHORT).to_arrow_table().sort_by("w")
+        return done["ids"].to_pylist()
+
+    def _together(self, pieces: list[bytes]) -> list[str]:
+        if sum(map(len, pieces)) > CHUNK_BYTES:
+            found = list(map(self._sweep, pieces))
+        else:
+            (starts, _, ids), _ = self._contract(self._bytes(b"".join(pieces)), self._spans(pieces))
+            found = np.split(ids, np.searchsorted(starts, np.cumsum([len(p) for p in pieces])[:-1]))
+        return [" ".join(map(str, x.tolist())) for x in found]
+
+    def encode_words(self, words: list[str]) -> list[str]:
+        """Token ids of each word, as text. A word that is a token itself is that token."""
+        raw = [w.encode() for w in words]
+        with self._given(words=pa.table({"w": pa.array(np.arange(len(raw), dtype=np.int32)), "word": pa.array([r.decode("latin-1") if len(r) <= self.longest else "" for r in raw], pa.string())})):
+            own = self.db.sql(OWN).to_arrow_table()
+        done = dict(zip(own["w"].to_pylist(), map(str, own["id"].to_pylist())))
+        left = [n for n in range(len(raw)) if n not in done]
+        for way, numbers in ((self._pairwise, [n for n in left if len(raw[n]) <= SHORT_BYTES]), (self._together, [n for n in left if len(raw[n]) > SHORT_BYTES])):
+            chunk, size = [], 0
+            for n in [*numbers, None]:
+                if chunk and (n is None or len(chunk) == CHUNK_WORDS or size + len(raw[n]) > CHUNK_BYTES):
+                    done.update(zip(chunk, way([raw[k] for k in chunk])))
+                    chunk, size = [], 0
+                if n is not None:
+                    chunk.append(n)
+                    size += len(raw[n])
+        return [done[n] for n in range(len(raw))]
 
     def decode_lists(self, lists: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids; ValueError for an id that is not in the vocabulary."""
-        with self._given("coded", pa.table({"w": pa.array(np.arange(len(lists), dtype=np.int32)), "ids": lists})):
+        with self._given(coded=pa.table({"w": pa.array(np.arange(len(lists), dtype=np.int32)), "ids": lists})):
             done = self.db.sql(DECODE).to_arrow_table()
         if not all(done["known"].to_pylist()):
             raise ValueError("an id is not in the vocabulary")
@@ -145,18 +247,39 @@ class Coder:
         for word in missing & self.old.keys():
             self.coded[word] = self.old[word]
         fresh = list(missing - self.coded.keys())
-        for at in range(0, len(fresh), CHUNK_WORDS):
-            chunk = fresh[at : at + CHUNK_WORDS]
-            ids = self.encode_words(chunk)
-            with self._given("coded", pa.table({"w": pa.array(np.arange(len(chunk), dtype=np.int32)), "ids": ids})):
-                self.coded.update(zip(chunk, self.db.sql(TEXTS).to_arrow_table()["text"].to_pylist()))
-            self.differs.update((w, b) for w, b in zip(chunk, self.decode_lists(ids)) if b != w.encode())
-
-    def decoded(self, words: list[str]) -> bytes:
-        """What the ids of known words decode to, in order."""
-        if not self.differs:
-            return "".join(words).encode()
-        return b"".join(self.differs.get(w, w.encode()) for w in words)
+        for at in range(0, len(fresh), BATCH_WORDS):
+            chunk = fresh[at : at + BATCH_WORDS]
+            self.coded.update(zip(chunk, self.encode_words(chunk)))
+
+    def pieces(self, texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+        """(text, ids as text joined by spaces) of all texts in order; a long text has several in a row."""
+        held: list[tuple[int, list[str]]] = []
+        chars = n = 0
+
+        def flush():
+            self.learn(set().union(*(w for _, w in held)))
+            return [(k, " ".join(map(self.coded.__getitem__, w))) for k, w in held]
+
+        for k, text in enumerate(texts):
+            for some in self.words(text):
+                held.append((k, some))
+                chars, n = chars + min(len(text or ""), BATCH_CHARS), n + len(some)
+                if chars >= BATCH_CHARS or n >= BATCH_WORDS:
+                    yield flush()
+                    held, chars, n = [], 0, 0
+        yield flush()
+
+
+def _lists(joined: Iterable[str]) -> tuple[pa.ListArray, list[int]]:
+    """Lists of ids, of at most BATCH_IDS each, from ids as text, and which text each is of."""
+    ids, sizes, of = [], [0], []
+    for k, text in enumerate(joined):
+        own = np.array(text.split(" "), np.int32) if text else np.zeros(0, np.int32)
+        for at in range(0, max(len(own), 1), BATCH_IDS):
+            ids.append(own[at : at + BATCH_IDS])
+            sizes.append(len(ids[-1]))
+            of.append(k)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))), of
 
 
 @cache
@@ -164,24 +287,43 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of bounded length; a longer text is a stretch of its own."""
+def _ids(own: Coder, texts: list[str | None]) -> list[tuple]:
+    found: list[list[int]] = [[] for _ in texts]
+    for some in own.pieces(texts):
+        for k, joined in some:
+            found[k] += map(int, joined.split())
+    return [(x,) for x in found]
+
+
+def _digest(own: Coder, texts: list[str | None]) -> list[tuple]:
+    """(number of ids, digest of the ids, digest of what the ids decode to) of each text."""
+    n, ids, plain = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+    for some in own.pieces(texts):
+        for k, joined in some:
+            if joined:
+                ids[k].update((b" " if n[k] else b"") + joined.encode())
+                n[k] += joined.count(" ") + 1
+        for at, part in _slices(some):
+            lists, of = _lists(j for _, j in part)
+            for i, piece in zip(of, own.decode_lists(lists)):
+                plain[some[at + i][0]].update(piece)
+    return [(a, b.hexdigest(), c.hexdigest()) for a, b, c in zip(n, ids, plain)]
+
+
+def _slices(some: list[tuple[int, str]]) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """Stretches of about BATCH_IDS ids, at five characters an id, and where each begins."""
     start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BATCH_CHARS:
-            yield start, k + 1
+    for k, (_, joined) in enumerate(some):
+        size += len(joined)
+        if size >= 5 * BATCH_IDS:
+            yield start, some[start : k + 1]
             start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(some):
+        yield start, some[start:]
 
 
-def _encoded(own: Coder, texts: list[str | None]) -> Iterator[list[str]]:
-    """For each text its words, which the coder then knows."""
-    for a, b in _runs(texts):
-        split = [own.words(t) for t in texts[a:b]]
-        own.learn(set().union(*split))
-        yield from split
+TYPES = {_ids: [pa.list_(pa.int32())], _digest: [pa.int64(), pa.string(), pa.string()]}
+NAMES = {_ids: ["ids"], _digest: ["n_tokens", "ids_sha256", "decoded_sha256"]}
 
 
 def _mapper(path: str, pattern: str, value):
@@ -190,7 +332,7 @@ def _mapper(path: str, pattern: str, value):
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
-            rows = [value(own, words) for words in _encoded(own, batch.column(batch.num_columns - 1).to_pylist())]
+            rows = value(own, batch.column(batch.num_columns - 1).to_pylist())
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), TYPES[value])] if rows else [pa.array([], t) for t in TYPES[value]]
             yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[:-1], *NAMES[value]])
@@ -198,19 +340,6 @@ def _mapper(path: str, pattern: str, value):
     return run
 
 
-def _ids(own: Coder, words: list[str]) -> tuple:
-    return ([int(x) for w in words for x in own.coded[w].split(" ")],)
-
-
-def _digest(own: Coder, words: list[str]) -> tuple:
-    joined = " ".join(map(own.coded.__getitem__, words))
-    return joined.count(" ") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(own.decoded(words)).hexdigest()
-
-
-TYPES = {_ids: [pa.list_(pa.int32())], _digest: [pa.int64(), pa.string(), pa.string()]}
-NAMES = {_ids: ["ids"], _digest: ["n_tokens", "ids_sha256", "decoded_sha256"]}
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ids (array of int) of every whole text, as the vocabulary's library encodes ordinary text.
 
@@ -237,8 +366,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
 def roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
-    Encoding and decoding in one pass, so that ids need not leave the worker: the ids of every different word are decoded by
-    the same ordered aggregation when it is learnt, and compared with its bytes. Null and empty texts have no tokens.
+    Encoding and decoding in one pass, so that ids need not leave the worker: the ids of whole documents are decoded by the
+    ordered aggregation, and their bytes hashed. Null and empty texts have no tokens. A word may be of any length; queries
+    hold CHUNK_BYTES of it and what the stretch before left open.
     """
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(_mapper(path, pattern, _digest), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")

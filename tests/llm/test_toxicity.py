@@ -1,7 +1,8 @@
 import random
 import zlib
 
-from sedge.llm.toxicity import Model, score_toxicity, train
+from sedge.llm.toxicity import Model, dictionaries, score_toxicity, train, widened
+from sedge.runtime import table
 
 LABEL = "doc_id long, quality int, toxic int, _id long, text string"
 
@@ -47,7 +48,26 @@ def test_edges(spark, documents):
     model = train(documents(rows + rows[:20]), spark.createDataFrame(labels + labels[:50] + [(None, 0, 1, 0, ""), (1, 0, None, 0, "")], LABEL))
     odd = [(1, None, "s"), (2, "", None), (3, "...", "s"), (None, "grobnak", "s"), (4, "word " * 100000 + "grobnak fizzwort lumpkin", "s"), (5, "a grobnak b", "s"), (5, "a grobnak b", "s")]
     got = [tuple(r) for r in score_toxicity(documents(odd), model).collect()]
-    assert len(got) == len(odd) and len({g[2] for g in got[:3]}) == 1 and got[3][1] is False and got[-1] == got[-2]
+    assert len(got) == len(odd) and got[0][2] == got[1][2] and got[3][1] is False and got[-1] == got[-2]
     assert score_toxicity(documents([]), model).count() == 0
     bare = train(documents(rows), spark.createDataFrame([], LABEL))
     assert bare.weights == Model(b"", b"").weights and 0 <= score_toxicity(documents(odd), bare).first()["score"] < 0.3
+
+
+def test_words_that_begin_alike_are_told_apart():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("aeioubdlmnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)] + ["grobnical"]
+    ordinary = [rng.choices(plain, k=60) for _ in range(200)]
+    toxic = [rng.choices(plain, k=60) + ["grobnak"] * 2 for _ in range(60)]
+    model = Model(*dictionaries(ordinary, toxic))
+    assert widened(b" grobnak ") in model.toxic
+    known = model.learn({"grobnak", "grobnical"})
+    assert known["grobnak"] % 4096 > 2048 + 8 > known["grobnical"] % 4096
+
+
+def test_held_out_rows_of_the_table(spark):
+    """37 toxic texts to learn from; 9 of the 14 held-out ones hold a word that others hold too."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    got = score_toxicity(docs, train(docs, labels)).where("held_out").join(labels, "doc_id").groupBy("toxic").agg({"predicted": "sum", "*": "count"}).collect()
+    found = {r["toxic"]: (r["sum(predicted)"], r["count(1)"]) for r in got}
+    assert found[1][0] >= 8 and found[1][1] == 14 and found[0][0] <= 6 and found[0][1] == 80

@@ -86,10 +86,7 @@ UNION SELECT a, m, b, id FROM live JOIN (
 """
 OWN = "SELECT w, id FROM words JOIN vocabulary ON piece = word"
 DECODE = """
-SELECT w, coalesce(piece, '') AS piece, len(ids) = coalesce(n, 0) AS known FROM coded LEFT JOIN (
-  SELECT w, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n
-  FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w) USING (w)
-ORDER BY w
+SELECT w, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n FROM coded JOIN vocabulary USING (id) GROUP BY w ORDER BY w
 """
 
 
@@ -231,13 +228,17 @@ class Coder:
                     size += len(raw[n])
         return [done[n] for n in range(len(raw))]
 
-    def decode_lists(self, lists: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids; ValueError for an id that is not in the vocabulary."""
-        with self._given(coded=pa.table({"w": pa.array(np.arange(len(lists), dtype=np.int32)), "ids": lists})):
+    def decode_lists(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of lists of ids laid end to end; ValueError for an id that is not in the vocabulary."""
+        rows = pa.table({"w": pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(ids), dtype=np.int32)), "id": pa.array(ids, pa.int32())})
+        with self._given(coded=rows):
             done = self.db.sql(DECODE).to_arrow_table()
-        if not all(done["known"].to_pylist()):
+        if done["n"].to_numpy().sum() != len(ids):
             raise ValueError("an id is not in the vocabulary")
-        return [x.encode("latin-1") for x in done["piece"].to_pylist()]
+        out = [b""] * len(sizes)
+        for w, piece in zip(done["w"].to_pylist(), done["piece"].to_pylist()):
+            out[w] = piece.encode("latin-1")
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Put words that the young generation lacks into it."""
@@ -270,18 +271,6 @@ class Coder:
         yield flush()
 
 
-def _lists(joined: Iterable[str]) -> tuple[pa.ListArray, list[int]]:
-    """Lists of ids, of at most BATCH_IDS each, from ids as text, and which text each is of."""
-    ids, sizes, of = [], [0], []
-    for k, text in enumerate(joined):
-        own = np.array(text.split(" "), np.int32) if text else np.zeros(0, np.int32)
-        for at in range(0, max(len(own), 1), BATCH_IDS):
-            ids.append(own[at : at + BATCH_IDS])
-            sizes.append(len(ids[-1]))
-            of.append(k)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))), of
-
-
 @cache
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
@@ -303,23 +292,32 @@ def _digest(own: Coder, texts: list[str | None]) -> list[tuple]:
             if joined:
                 ids[k].update((b" " if n[k] else b"") + joined.encode())
                 n[k] += joined.count(" ") + 1
-        for at, part in _slices(some):
-            lists, of = _lists(j for _, j in part)
-            for i, piece in zip(of, own.decode_lists(lists)):
-                plain[some[at + i][0]].update(piece)
+        for part in _slices(some):
+            sizes = np.array([j.count(" ") + bool(j) for _, j in part], np.int64)
+            numbers = np.fromstring(" ".join(j for _, j in part if j), np.int32, sep=" ") if sizes.any() else np.zeros(0, np.int32)
+            for (k, _), piece in zip(part, own.decode_lists(numbers, sizes)):
+                plain[k].update(piece)
     return [(a, b.hexdigest(), c.hexdigest()) for a, b, c in zip(n, ids, plain)]
 
 
-def _slices(some: list[tuple[int, str]]) -> Iterator[tuple[int, list[tuple[int, str]]]]:
-    """Stretches of about BATCH_IDS ids, at five characters an id, and where each begins."""
-    start = size = 0
-    for k, (_, joined) in enumerate(some):
-        size += len(joined)
-        if size >= 5 * BATCH_IDS:
-            yield start, some[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(some):
-        yield start, some[start:]
+def _slices(some: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The same in stretches of about BATCH_IDS ids, at five characters an id."""
+    part, size = [], 0
+    for k, joined in some:
+        for at in _cuts(joined):
+            part.append((k, at))
+            size += len(at)
+            if size >= 5 * BATCH_IDS:
+                yield part
+                part, size = [], 0
+    yield part
+
+
+def _cuts(joined: str) -> Iterator[str]:
+    while len(joined) > 5 * BATCH_IDS and (end := joined.find(" ", 5 * BATCH_IDS)) > 0:
+        yield joined[:end]
+        joined = joined[end + 1 :]
+    yield joined
 
 
 TYPES = {_ids: [pa.list_(pa.int32())], _digest: [pa.int64(), pa.string(), pa.string()]}
@@ -356,8 +354,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
     def run(batches):
         own = coder(path, "")
         for batch in batches:
-            lists = pa.array([x or [] for x in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(own.decode_lists(lists), pa.binary())], [*batch.schema.names[:-1], "bytes"])
+            lists = [np.array(x or [], np.int32) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            done = own.decode_lists(np.concatenate([np.zeros(0, np.int32), *lists]), np.array([len(x) for x in lists], np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(done, pa.binary())], [*batch.schema.names[:-1], "bytes"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, f"{schema}, bytes binary")

@@ -2,15 +2,18 @@
 
 A store is a folder. ``data/`` holds parquet shards that are never changed; ``manifests/`` holds one JSON file a version,
 listing the shards that make up the store then. A version appears by a rename that fails if the version is there already, so of
-two writers one commits and the other has to start again from the new version. Shards of failed tasks are never listed.
+two writers one commits and the other has to start again from the new version. Shards of failed tasks are never listed, and
+``vacuum`` finds them. The driver holds one small entry a shard, as many as the store has files.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 import pyarrow.dataset as pads
@@ -20,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sedge.runtime import cut
 
-SHARD_ROWS = 500
 TARGET_BYTES = 128 << 20
 FAN = 4
 BASE_BYTES = 64 << 10
@@ -28,7 +30,11 @@ BASE_BYTES = 64 << 10
 ARRIVALS, PART = 4, "__arrival"
 
 
-@dataclass(frozen=True)
+#: Seconds that files which no version lists are left alone, as they may be another writer's.
+GRACE = 86_400.0
+
+
+@dataclass(frozen=True, slots=True)
 class Shard:
     path: str
     rows: int
@@ -76,7 +82,7 @@ class ShardStore:
         fs.mkdirs(self._path("manifests"))
         draft = self._path(f"manifests/draft-{uuid.uuid4().hex}")
         out = fs.create(draft, False)
-        out.write(json.dumps({"version": version, "schema": schema, "shards": [vars(s) for s in shards]}).encode())
+        out.write(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode())
         out.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -85,16 +91,19 @@ class ShardStore:
             context.rename(draft, self._path(f"manifests/v{version:08d}.json"), options)
         except Exception as error:
             fs.delete(draft, False)
-            raise Conflict(f"version {version} exists") from error
+            if fs.exists(self._path(f"manifests/v{version:08d}.json")):
+                raise Conflict(f"version {version} exists") from error
+            raise
         return version
 
-    def append(self, df: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-        """Add the rows of ``df`` as small shards, no larger than ``shard_rows`` rows, and commit. No shuffle."""
+    def append(self, df: DataFrame, shard_rows: int = 0) -> int:
+        """Add the rows of ``df`` as small shards, one a task, or several of at most ``shard_rows`` rows, and commit. No shuffle."""
         base, shards, schema = self.manifest()
         if schema is not None and T.StructType.fromJson(json.loads(schema)) != df.schema:
             raise ValueError("the rows have another schema than the store")
         run = f"data/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{run}")
+        with _microseconds(self.spark):
+            df.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{run}")
         counts = self.spark.read.schema(df.schema).parquet(f"{self.root}/{run}").groupBy(F.input_file_name().alias("p")).agg(F.count("*").alias("n"))
         rows = {r["p"].rpartition("/")[2]: r["n"] for r in counts.collect()}  # one small row a shard, as in the manifest
         fresh = [Shard(f"{run}/{n}", rows[n], s.getLen()) for s in self._fs().listStatus(self._path(run)) if rows.get(n := s.getPath().getName())]
@@ -116,11 +125,13 @@ class ShardStore:
             if len(members) < (2 if final else fan):
                 continue
             group: list[Shard] = []
+            size = 0
             for s in members:
-                if group and sum(x.bytes for x in group) + s.bytes > target_bytes:
+                if group and size + s.bytes > target_bytes:
                     groups.append(group)
-                    group = []
+                    group, size = [], 0
                 group.append(s)
+                size += s.bytes
             groups.append(group)
         return [g for g in groups if len(g) > 1]
 
@@ -152,20 +163,40 @@ class ShardStore:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(*[f"{self.root}/{s.path}" for s in shards])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the latest ``keep`` versions lists, and the older manifests; return how many shards went."""
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Delete shards that none of the latest ``keep`` versions lists, and the older manifests; return how many shards went.
+
+        Files that no version at all lists, which failed tasks and writers that lost leave, go once they are ``grace`` seconds old.
+        """
         versions = self.versions()
         listed = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
+        earlier = {s.path for v in versions[:-keep] for s in self.manifest(v)[1]}
         fs, n = self._fs(), 0
-        for v in versions[:-keep]:
-            for s in self.manifest(v)[1]:
-                if s.path not in listed and fs.exists(self._path(s.path)):
-                    fs.delete(self._path(s.path), False)
+        if fs.exists(self._path("data")):
+            found = fs.listFiles(self._path("data"), True)
+            while found.hasNext():
+                status = found.next()
+                path = "/".join(["data", *status.getPath().toString().split("/")[-2:]])
+                old = status.getModificationTime() <= (time.time() - grace) * 1000
+                if path not in listed and path.endswith(".parquet") and (path in earlier or old):
+                    fs.delete(status.getPath(), False)
                     n += 1
+        for v in versions[:-keep]:
             fs.delete(self._path(f"manifests/v{v:08d}.json"), False)
         return n
 
 
+@contextmanager
+def _microseconds(spark: SparkSession):
+    """Timestamps are written as microseconds: other readers take the default's 96 bits for nanoseconds, which end in 2262."""
+    name, was = "spark.sql.parquet.outputTimestampType", spark.conf.get("spark.sql.parquet.outputTimestampType")
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def _merge(root: str, run: str):
     def merge(batches):
         fs, base = pafs.FileSystem.from_uri(root)
@@ -185,16 +216,17 @@ def _merge(root: str, run: str):
     return merge
 
 
-def shard(df: DataFrame, root: str, target_bytes: int = TARGET_BYTES, shard_rows: int = SHARD_ROWS) -> ShardStore:
-    """Append ``df`` to the store at ``root`` in ARRIVALS parts, each followed by tiered merges; pack what is left small, and drop
+def shard(df: DataFrame, root: str, target_bytes: int = TARGET_BYTES, shard_rows: int = 0, arrivals: int = ARRIVALS) -> ShardStore:
+    """Append ``df`` to the store at ``root`` in parts, each followed by tiered merges; pack what is left small, and drop
     what no version needs.
 
-    Rows are kept as they are: nulls, long texts, repeated rows and all columns. An empty table commits a version without shards.
+    Rows are kept as they are: nulls, long texts, repeated rows and all columns of all types that Spark's parquet files hold. An empty
+    table commits a version without shards.
     """
     store = ShardStore(df.sparkSession, root)
     # by position in the input, so that equal rows do not have to be told apart
-    parts = cut(df.withColumn(PART, F.pmod(F.monotonically_increasing_id(), F.lit(ARRIVALS)).cast("int")), "arrivals")
-    for k in range(ARRIVALS):
+    parts = cut(df.withColumn(PART, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int")), "arrivals")
+    for k in range(arrivals):
         store.append(parts.where(F.col(PART) == k).drop(PART), shard_rows)
         store.compact(target_bytes)
     store.compact(target_bytes, final=True)

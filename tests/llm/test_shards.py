@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from sedge.llm.shards import Conflict, Shard, ShardStore, shard
@@ -55,3 +57,48 @@ def test_shard_merges_by_tiers(spark, tmp_path, monkeypatch):
     store = shard(rows, f"file://{tmp_path}/s", shard_rows=10)
     assert sum(bool(groups) for final, groups in passes if not final) >= 2
     assert sorted(r["id"] for r in store.read().collect()) == list(range(400))
+
+
+TYPES = """
+SELECT id, timestamp '1500-01-01 00:00:00' + make_dt_interval(cast(id AS int) * 10000) AS at, timestamp_ntz '9999-12-31 23:59:59.999999' AS plain, timestamp '2024-03-10 02:30:00.123456' AS late,
+       date_add(date '0001-01-01', cast(id * 1000 AS int)) AS day, cast(id / 3 AS decimal(38, 10)) AS money, cast(id AS decimal(5, 2)) AS small,
+       map('k', id, 'n', null) AS pairs, named_struct('a', id, 'b', array('x', null), 'c', named_struct('d', cast(null AS string))) AS nested,
+       cast(concat('b', id) AS binary) AS raw, array(array(id), null, array()) AS lists, cast(id AS byte) AS tiny, cast(id AS short) AS short,
+       cast('nan' AS double) AS odd, cast(id AS float) AS single, id % 2 = 0 AS yes, cast(null AS string) AS none, make_dt_interval(1, 2, 3, 4.5) AS span, make_ym_interval(1, 2) AS months
+FROM range(0, 60, 1, 3)
+"""
+
+
+def test_all_types_come_back(spark, tmp_path):
+    rows = spark.sql(TYPES)
+    store = shard(rows, f"file://{tmp_path}/s", shard_rows=4)
+    # as JSON, since Python has no values for some of these
+    same = lambda df: sorted(r[0] for r in df.selectExpr("to_json(struct(*)) || cast(plain AS string) || cast(at AS string)").collect())
+    assert store.read().schema.simpleString() == rows.schema.simpleString() and len(store.manifest()[1]) == 1
+    assert same(store.read()) == same(rows)
+
+
+def test_planning_a_million_shards():
+    shards = [Shard(f"data/r/{i}", 10, 1 << 20) for i in range(1_000_000)]
+    began = time.perf_counter()
+    groups = ShardStore.plan(shards)
+    assert len(groups) == 7813 and time.perf_counter() - began < 20
+
+
+def test_files_of_failed_tasks_go(spark, documents, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(documents([(1, "a", "s")]))
+    folder = tmp_path / "s" / "data" / "lost"
+    folder.mkdir()
+    (folder / "x.parquet").write_bytes(b"half a file")
+    assert store.vacuum() == 0 and store.vacuum(grace=-60) >= 1 and not (folder / "x.parquet").exists() and store.read().count() == 1
+
+
+def test_the_query_merges_by_tiers(spark, tmp_path, monkeypatch):
+    """As the query shards: some tasks' files in each arrival, merged by tier as they come; every version counts all rows so far."""
+    kept = []
+    commit = ShardStore.commit
+    monkeypatch.setattr(ShardStore, "commit", lambda self, base, shards, schema: kept.append(shards) or commit(self, base, shards, schema))
+    store = shard(spark.range(0, 4000, 1, 8).selectExpr("id", "repeat(cast(id AS string), 20) AS text"), f"file://{tmp_path}/s")
+    assert [len(s) for s in kept] == [8, 1, 9, 2, 10, 3, 11, 4, 1] or max(map(len, kept)) > len(store.manifest()[1])
+    assert [sum(x.rows for x in s) for s in kept][-1] == 4000 and len(store.manifest()[1]) == 1

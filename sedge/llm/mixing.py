@@ -1,8 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding. Only DataFrame functions are used.
 
-What moves is one narrow row per document. A source's documents are dealt into buckets of a bounded expected size;
-each bucket is folded to decided documents and one residual, and residuals of up to FAN buckets meet at the next level, so
-no task ever holds a source, and a source of n documents takes log_FAN(n) levels.
+Rows of one source, id and size are one narrow row with their number: they stand for each other, so all but one of them are settled
+outright (of n rows wanted p times each, the whole part of n p is taken). What is left, one fraction for each id and size, is dealt
+into buckets of a bounded expected size; each bucket is folded to decided rows and one residual, and residuals of up to FAN buckets meet
+at the next level, so no task ever holds a source, and a source of n ids takes log_FAN(n) levels.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sedge.llm.quality import WORD, let
 from sedge.runtime import cut
 
-FAN = 512
+#: Fractions that one fold pairs; it copies what it has decided at every step, so it stays small.
+FAN = 64
+#: Rows of one source, id and size that are numbered together; more are dealt into groups of so many.
+ALIKE = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -49,14 +53,14 @@ def _chance(*by: Column) -> Column:
 
 
 def _fold(items: Column, id_type: str, seed: int) -> Column:
-    """(decided, held) of an array of (size, key, id, p): neighbours pass words until one of the two is 0 or 1.
+    """(decided, held) of an array of (size, key, id, n, sure, p): neighbours pass words until one of the two is 0 or 1.
 
     One of a pair grows by as many words as the other shrinks: p of size s changes by t / s. The two directions have
     odds that keep each document's expectation, and every step settles one document. The wanted words are therefore kept
     exactly until the last residual; large documents go first, so that many small ones are left to settle them.
     """
-    item = lambda of, p: F.struct(of["size"].alias("size"), of["key"].alias("key"), of["id"].alias("id"), p.alias("p"))
-    done = lambda of, up: F.array(F.struct(of["size"].alias("size"), of["id"].alias("id"), up.alias("up")))
+    item = lambda of, p: F.struct(*[of[c].alias(c) for c in ("size", "key", "id", "n", "sure")], p.alias("p"))
+    done = lambda of, up: F.array(F.struct(*[of[c].alias(c) for c in ("size", "id", "n")], (of["sure"] + up.cast("long")).alias("ups")))
 
     def step(acc, e):
         held = acc["held"]
@@ -76,7 +80,7 @@ def _fold(items: Column, id_type: str, seed: int) -> Column:
 
         return let(move, moved)
 
-    none = F.array().cast(f"array<struct<size:bigint,id:{id_type},up:boolean>>")
+    none = F.array().cast(f"array<struct<size:bigint,id:{id_type},n:bigint,ups:bigint>>")
     return let(F.sort_array(items, asc=False), lambda a: F.aggregate(F.slice(a, 2, F.size(a)), F.struct(none.alias("decided"), a[0].alias("held")), step))
 
 
@@ -85,52 +89,80 @@ def words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, size (words), source_size, target, taken (words the mix takes) and copies.
-
-    A document is wanted target / source_size times. The whole part is taken outright, the rest is a probability that
-    pivotal rounding makes 0 or 1. Chances are hashes of ids, so reruns agree on any cluster. Null text: size 0. Null
-    source: a source of its own, last in order. Rows of the same id and size are rows of their own and stand
-    for each other. Null ids count as one id. Empty table: no rows.
-    """
-    base = cut(docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), words(F.col(text)).alias("size")), "sizes")
-    sizes = base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def _decide(docs: DataFrame, weights, share: float, cap: float, seed: int, id: str, source: str, text: str) -> DataFrame:
+    """A row for each _source, _id and size: n (its rows), ups (how many of them get a copy more), whole (copies of all), source_size and target."""
+    base = cut(docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), words(F.col(text)).alias("size")).groupBy("_source", "_id", "size").agg(F.count("*").alias("n")), "sizes")
+    sizes = base.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("keys"))
     plan = targets(sizes, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = cut(plan.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("buckets", F.ceil(F.col("n") / FAN)), "plan")
-    most = plan.agg(F.max("buckets")).first()[0]
-    if most is None:
-        return base.select(F.col("_id").alias(id), "size", *[F.lit(0).cast(t).alias(c) for c, t in (("source_size", "long"), ("target", "double"), ("taken", "long"), ("copies", "long"))])
+    plan = cut(plan.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("buckets", F.ceil(F.col("keys") / FAN)), "plan")
+    most = plan.agg(F.max("buckets")).first()[0] or 0
     own = plan.select(F.col("_source").alias("_s"), "rate", "whole", "buckets")
     bucket = F.pmod(F.xxhash64("_id", "size", F.lit(seed + 1)), "buckets")
-    dealt = base.join(own, F.col("_source").eqNullSafe(F.col("_s"))).select("_source", bucket.alias("bucket"), "size", F.xxhash64("_id", "size", F.lit(seed)).alias("key"), F.col("_id").alias("id"), (F.col("rate") - F.col("whole")).alias("p"))
-    decided = [dealt.where("p = 0 OR size = 0").select("_source", "size", "id", F.lit(False).alias("up"))]
+    wanted = F.col("n") * (F.col("rate") - F.col("whole"))
+    dealt = base.join(own, F.col("_source").eqNullSafe(F.col("_s"))).select("_source", bucket.alias("bucket"), "size", F.xxhash64("_id", "size", F.lit(seed)).alias("key"), F.col("_id").alias("id"), "n", F.floor(wanted).alias("sure"), (wanted - F.floor(wanted)).alias("p"))
+    decided = [dealt.where("p = 0 OR size = 0").select("_source", "size", "id", "n", F.col("sure").alias("ups"))]
     level, kind = dealt.where("p > 0 AND size > 0"), base.schema["_id"].dataType.simpleString()
-    while True:
-        folded = level.groupBy("_source", "bucket").agg(F.collect_list(F.struct("size", "key", "id", "p")).alias("items"))
+    while most > 0:
+        folded = level.groupBy("_source", "bucket").agg(F.collect_list(F.struct("size", "key", "id", "n", "sure", "p")).alias("items"))
         folded = cut(folded.select("_source", "bucket", _fold(F.col("items"), kind, seed + 1 + len(decided)).alias("f")).select("_source", "bucket", "f.*"), "pivotal")
-        decided.append(folded.select("_source", F.explode("decided").alias("d")).select("_source", "d.size", "d.id", "d.up"))
+        decided.append(folded.select("_source", F.explode("decided").alias("d")).select("_source", "d.*"))
         level = folded.select("_source", F.floor(F.col("bucket") / FAN).alias("bucket"), "held.*")
         if most <= 1:
             break
         most = -(-most // FAN)
-    decided.append(level.select("_source", "size", "id", (_chance(F.col("key"), F.lit(seed)) < F.col("p")).alias("up")))
+    decided.append(level.select("_source", "size", "id", "n", (F.col("sure") + (_chance(F.col("key"), F.lit(seed)) < F.col("p")).cast("long")).alias("ups")))
     sums = plan.select(F.col("_source").alias("_s"), "source_size", "target", "whole")
     out = reduce(DataFrame.unionByName, decided).join(sums, F.col("_source").eqNullSafe(F.col("_s")))
-    copies = F.col("whole").cast("long") + F.col("up").cast("long")
-    return out.select(F.col("id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("_source", F.col("id").alias("_id"), "size", "n", "ups", F.col("whole").cast("long").alias("whole"), "source_size", "target")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, size (words), source_size, target, taken (words the mix takes) and copies.
+
+    A document is wanted target / source_size times. The whole part is taken outright, the rest is a probability that
+    pivotal rounding makes 0 or 1. Chances are hashes of ids, so reruns agree on any cluster. Null text: size 0. Null
+    source: a source of its own, last in order. Rows of the same source, id and size are rows of their own and stand
+    for each other. Null ids count as one id. Empty table: no rows.
+    """
+    decided = _decide(docs, weights, share, cap, seed, id, source, text)
+    # numbers of the rows that stand for each other, in blocks that are dealt out where there are many
+    number = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (ALIKE - 1), F.col("n")))).alias("k")
+    few = decided.where(F.col("n") <= ALIKE).withColumn("from", F.lit(1).cast("long"))
+    many = decided.where(F.col("n") > ALIKE).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(ALIKE).cast("long")))).repartition("_source", "_id", "size", "from")
+    copies = F.col("whole") + (F.col("k") <= F.col("ups")).cast("long")
+    rows = few.unionByName(many).select("_id", "size", "source_size", "target", "whole", "ups", number)
+    return rows.select(F.col("_id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def _key(c: Column) -> Column:
+    """A column as a string that null has a value of its own in."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def mix_rows(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+def mix_rows(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
     """The mix itself: the rows of ``docs`` as many times as :func:`mix_sources` takes them, all columns kept.
 
-    Texts move once, to meet their decisions by id and size. Rows of one id and size are numbered on both sides, so each gets one decision.
+    Texts move once, to meet their decisions by source, id and size. Rows that agree in these are numbered, by their texts' hashes, and
+    as many as were decided get the copy more. Where more than ALIKE rows agree, they are written apart first, dealt into groups of about so many
+    by place, and each group gets its part of the copies.
     """
-    key = F.coalesce(F.col(id).cast("string"), F.lit("\0"))
-    by = Window.partitionBy("__key", "__size")
-    decided = mix_sources(docs, id=id, source=source, text=text, **how).select(key.alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    decided = decided.withColumn("__m", F.row_number().over(by.orderBy(F.desc("__copies")))).where("__copies > 0")
-    rows = docs.withColumn("__key", key).withColumn("__size", words(F.col(text))).withColumn("__n", F.row_number().over(by.orderBy(F.xxhash64(text, source))))
-    # as a difference the numbers are no join key, and the windows' partitions serve the join
-    met = rows.hint("merge").join(decided.hint("merge").withColumnsRenamed({"__key": "__k", "__size": "__s"}), (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__n") - F.col("__m") == 0))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    names = ["__id", "__source", "__size"]
+    decided = _decide(docs, weights, share, cap, seed, id, source, text).where("whole > 0 OR ups > 0")
+    decided = cut(decided.select(_key(F.col("_id")).alias("__id"), _key(F.col("_source")).alias("__source"), F.col("size").alias("__size"), "n", "ups", "whole"), "decided").withColumnsRenamed({c: f"__{c}" for c in ("n", "ups", "whole")})
+    keyed = docs.withColumn("__id", _key(F.col(id))).withColumn("__source", _key(F.col(source))).withColumn("__size", words(F.col(text)))
+    hot = decided.where(F.col("__n") > ALIKE)
+
+    def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text)))
+        copies = F.col("__whole") + (nth <= F.col("__ups")).cast("long")
+        return rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+    out = numbered(keyed.hint("merge").join(decided.where(F.col("__n") <= ALIKE).hint("merge"), names), names)
+    if hot.isEmpty():
+        return out
+    apart = cut(keyed.join(hot, names).withColumn("__part", F.floor(F.monotonically_increasing_id() / ALIKE)), "alike")
+    parts = apart.groupBy(*names, "__part").agg(F.count("*").alias("__rows"), F.any_value("__ups").alias("__ups"))
+    before = F.sum("__rows").over(Window.partitionBy(*names).orderBy("__part")) - F.col("__rows")
+    quota = parts.select(*names, "__part", F.greatest(F.lit(0), F.least(F.col("__rows"), F.col("__ups") - before)).cast("long").alias("__ups"))
+    return out.unionByName(numbered(apart.drop("__ups").join(quota, [*names, "__part"]), [*names, "__part"]))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -35,7 +36,7 @@ def size(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-@pytest.mark.parametrize("fan", [8, 512])
+@pytest.mark.parametrize("fan", [8, 64])
 def test_mix(spark, documents, monkeypatch, fan):
     monkeypatch.setattr(mixing, "FAN", fan)
     rows = corpus()
@@ -89,8 +90,10 @@ def test_edges(spark, documents):
     assert len(same) == 10 and {r["size"] for r in same} == {1, 2}
 
 
-def test_rows_are_repeated(spark, documents):
-    rows = corpus(3, 200) + [(5, "w w", "a")] * 3
+@pytest.mark.parametrize("alike", [4096, 7])
+def test_rows_are_repeated(spark, documents, monkeypatch, alike):
+    rows = corpus(3, 200) + [(5, "w w", "a")] * 3 + [(5, "w w", None)] * 2 + [(None, "w w w", "b")] * 40 + [(None, f"{i} w w", "b") for i in range(9)]
+    monkeypatch.setattr(mixing, "ALIKE", alike)
     decided = Counter()
     for r in mix_sources(documents(rows)).collect():
         decided[r["doc_id"], r["size"]] += r["copies"]
@@ -100,6 +103,22 @@ def test_rows_are_repeated(spark, documents):
     assert counted == Counter({k: v for k, v in decided.items() if v})
 
 
-def test_no_python_in_the_plan(spark, documents):
-    plan = mix_sources(documents(corpus(1, 20)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+@pytest.mark.parametrize("id", ["NULL", "id"])
+def test_one_source_of_many_alike_rows(spark, id):
+    """A million rows of one source and size, all of null id or each of its own."""
+    docs = spark.range(0, 1_000_000, 1, 8).selectExpr(f"cast({id} AS long) AS doc_id", "'hot' AS source", "'w w' AS text").union(spark.sql("SELECT 1L, 'b', repeat('w ', 1000)"))
+    began = time.perf_counter()
+    got = mix_sources(docs).groupBy("size").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    found = {r["size"]: (r["sum(taken)"], r["max(target)"], r["count(1)"]) for r in got}
+    assert found[2][2] == 1_000_000 and abs(found[2][0] - found[2][1]) <= 2 and time.perf_counter() - began < 90
+
+
+def test_no_python_in_any_plan(spark, documents, monkeypatch):
+    """Also not in what is written on the way."""
+    plans = []
+    write = mixing.cut
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(mixing, "cut", lambda df, label: told(df) or write(df, label))
+    told(mix_sources(documents(corpus(1, 60))))
+    told(mix_rows(documents(corpus(1, 60))))
+    assert len(plans) > 8 and not [p for p in plans for word in ("Python", "Arrow", "Pandas", "PythonRDD") if word in p]

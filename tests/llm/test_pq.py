@@ -46,8 +46,9 @@ def vectors(seed, n, dim=16):
     return rows
 
 
-@pytest.mark.parametrize("lists, block", [(1000, 4096), (25, 30)])
-def test_against_brute_force(spark, monkeypatch, lists, block):
+@pytest.mark.parametrize("lists, block, most", [(1000, 4096, 2048), (25, 30, 2048), (25, 30, 4)])
+def test_against_brute_force(spark, monkeypatch, lists, block, most):
+    monkeypatch.setattr(pq, "MAX_LISTS", most)
     monkeypatch.setattr(pq, "LIST_SIZE", lists)
     monkeypatch.setattr(pq, "BLOCK", block)
     rows = vectors(lists, 400)
@@ -87,3 +88,55 @@ def test_recall_of_random_links():
     ask_x, ask_y = (model.probes(v, pq.PROBE_REACH) for v in (x, y))
     found = [b in p or a in q for a, b, p, q in zip(own_x, own_y, ask_x, ask_y)]
     assert np.mean(found) > 0.99
+
+
+@pytest.mark.parametrize("most", [64, 8])
+def test_clusters_on_the_border_of_cells(monkeypatch, most):
+    """Pairs right between two centroids, on either side: all are found with the full reach, and nearly all with the default."""
+    monkeypatch.setattr(pq, "MAX_LISTS", most)
+    rng = np.random.default_rng(1)
+    model = pq.Quantizer(pq._unit(rng.normal(size=(4000, 64))), 64)
+    centres = np.stack([model.centre(k) for k in range(64)])
+    a, b = rng.integers(64, size=(2, 2000))
+    middle = pq._unit((centres[a] + centres[b]) / 2 + 1e-3 * rng.normal(size=(2000, 64)))
+    side = rng.normal(size=(2000, 64))
+    side = pq._unit(side - (side * middle).sum(1)[:, None] * middle)
+    half = math.acos(0.981) / 2
+    x, y = math.cos(half) * middle + math.sin(half) * side, math.cos(half) * middle - math.sin(half) * side
+    assert ((x * y).sum(1) >= 0.98).all()
+    own_x, own_y = model.encode(x)[0], model.encode(y)[0]
+    for reach, least in ((0.2, 1.0), (pq.PROBE_REACH, 0.99)):
+        found = [i in p or j in q for i, j, p, q in zip(own_x, own_y, model.probes(y, reach), model.probes(x, reach))]
+        assert np.mean(found) >= least and (own_x != own_y).mean() > 0.1
+
+
+def test_memory_does_not_grow_with_rows_times_lists():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = pq._unit(rng.normal(size=(20_000, 64)))
+    tracemalloc.start()
+    model = pq.Quantizer(x, 2_000)
+    model.encode(x[:10_000])
+    model.probes(x[:2_000], 0.1)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_doubles_are_not_rounded(spark):
+    """Two vectors whose cosine is 0.98 or more in double, and below it once rounded to float; and the other way round."""
+    rng = np.random.default_rng(3)
+    rows = []
+    while len(rows) < 8:
+        x = rng.normal(size=4)
+        side = rng.normal(size=4)
+        side -= side @ x / (x @ x) * x
+        c = 0.98 + rng.uniform(-3e-8, 3e-8)
+        y = x / np.sqrt(x @ x) * c + side / np.sqrt(side @ side) * math.sqrt(1 - c * c)
+        cos = lambda u, v: (u @ v) / (np.sqrt(u @ u) * np.sqrt(v @ v))
+        one, two = cos(x, y) >= 0.98, cos(x.astype("f4").astype("f8"), y.astype("f4").astype("f8")) >= 0.98
+        if one != two and abs(cos(x, y) - 0.98) > 1e-12:
+            rows += [(len(rows), x.tolist(), len(rows)), (len(rows) + 1, y.tolist(), len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = [int(cos(np.array(rows[k // 2 * 2][1]), np.array(rows[k // 2 * 2 + 1][1])) >= 0.98) for k in range(8)]
+    assert [r["n_links"] for r in near_vectors(df).orderBy("vec_id").collect()] == want

@@ -10,6 +10,7 @@ at most an unreferenced file behind.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 LEAST_SHARED = 100
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Bytes of records that one task reads back.
+READ_BYTES = 16 << 20
 INDEX = "page_id long, record_type string, bundle string, frame int, offset long, length long"
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -139,6 +142,16 @@ class _Writer:
         return self.rows
 
 
+def _urn(page_id: int | None, digest: str) -> str:
+    """A record's id: its page's and its payload's; records without a page id, which nothing refers to, get one of their own."""
+    return f"urn:page:{page_id}:{digest}" if page_id is not None else f"urn:page::{uuid.uuid4().hex}"
+
+
+def _page(urn: str) -> int | None:
+    number = urn.strip("<>").split(":")[2]
+    return int(number) if number else None
+
+
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
@@ -152,7 +165,7 @@ def _write(folder: str, frame_bytes: int, level: int):
             for page_id, url, html, digest, n, first in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 shared = first is not None
                 block = HTTP_HEAD % n + (b"" if shared else (html or "").encode())
-                writer.add(page_id, "revisit" if shared else "response", record("revisit" if shared else "response", f"urn:page:{page_id}", block, url=url, digest=digest, payload_bytes=n, refers_to=f"urn:page:{first}" if shared else ""))
+                writer.add(page_id, "revisit" if shared else "response", record("revisit" if shared else "response", _urn(page_id, digest), block, url=url, digest=digest, payload_bytes=n, refers_to=_urn(first, digest) if shared else ""))
             if writer.out is not None and writer.size >= BUNDLE_BYTES:
                 yield _table(writer.close(), names, types)
         yield _table(writer.close(), names, types)
@@ -165,7 +178,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, frame_bytes: int
 
     Of rows with equal payloads of at least 100 bytes, the one with the least page_id is a response and the others
     are revisits of it; shorter payloads are all responses. Null html: an empty payload. Null page_id: a record of its own
-    that revisits an equal page but is never revisited. Rows that repeat the least page_id are responses too. Other columns are ignored.
+    that revisits an equal page but is never revisited. Rows that repeat the least page_id are responses too.
+    A record's id is made of its page's and its payload's digest, so only rows that repeat both share one. Other columns are ignored.
     Empty table: an empty index. Groups of equal payloads are found by a map-side combined minimum over
     (page_id, digest) rows; html moves only if the revisits are too many to broadcast.
     """
@@ -182,32 +196,31 @@ def write_archives(pages: DataFrame, folder: str | None = None, frame_bytes: int
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = [x.split()[0] for x in FIELDS.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    number = lambda urn: None if (tail := urn.strip("<>").rpartition(":")[2]) == "None" else int(tail)
     uri, bundle = None, None
     for batch in batches:
-        for name, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for name, frame, offsets in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if name != uri:
                 uri, bundle = name, Bundle(name)
-            data, at, rows = bundle.frame(frame), 0, []
-            while at < len(data):
-                r, at = parse(data, at)
-                if r.kind == "warcinfo":
-                    continue
+            data, rows = bundle.frame(frame), []
+            for at in offsets:
+                r, _ = parse(data, at)
                 digest, n, refers = r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(r.headers["WARC-Payload-Length"]), None
                 if r.kind == "response":
                     own = r.payload
                     if hashlib.sha256(own).hexdigest() != digest or len(own) != n:
                         raise ValueError(f"payload of {r.headers['WARC-Record-ID']} differs from its digest")
                 else:
-                    refers = number(r.headers["WARC-Refers-To"])
-                rows.append((number(r.headers["WARC-Record-ID"]), n, digest, r.kind, refers))
+                    refers = _page(r.headers["WARC-Refers-To"])
+                rows.append((_page(r.headers["WARC-Record-ID"]), n, digest, r.kind, refers))
             yield _table(rows, names, types)
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """All records of the bundles an index names: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """All records that an index names, by their offsets: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    One row per frame is dealt out, so frames are read in parallel; response payloads are hashed again and compared.
+    Frames, which hold about FRAME_BYTES of records each, are dealt out by key to as many tasks as their bytes ask for;
+    response payloads are hashed again and compared.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n")).select("bundle", "frame")
-    return frames.mapInArrow(_read, FIELDS)
+    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return frames.repartition(math.ceil(size / READ_BYTES) or 1, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(_read, FIELDS)

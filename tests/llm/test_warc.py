@@ -1,6 +1,7 @@
 import hashlib
 
 import zstandard
+from pyspark.sql import functions as F
 
 from sedge.llm.warc import Bundle, parse, read_archives, write_archives
 
@@ -21,7 +22,23 @@ def test_archives(spark, tmp_path):
     assert got == sorted(want, key=str)
     for r in index.collect():
         record = Bundle(r["bundle"]).record(r["frame"], r["offset"])
-        assert record.headers["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and record.kind == r["record_type"]
+        assert record.headers["WARC-Record-ID"].startswith(f"<urn:page:{'' if r['page_id'] is None else r['page_id']}:") and record.kind == r["record_type"]
+
+
+def test_record_ids(spark, tmp_path):
+    """Pages that share an id, or have none, have records of their own; a revisit refers to a record that is there."""
+    rows = [(1, "u", "one" * 60), (1, "u", "two" * 60), (2, "u", "two" * 60), (None, "u", "x"), (None, "u", "y"), (None, "u", "x")]
+    index = write_archives(spark.createDataFrame([(*r, "d", 1, 2) for r in rows], PAGE), f"file://{tmp_path}/w")
+    records = [Bundle(r["bundle"]).record(r["frame"], r["offset"]) for r in index.collect()]
+    ids = [r.headers["WARC-Record-ID"] for r in records]
+    assert len(set(ids)) == 6 and [r.headers["WARC-Refers-To"] in ids for r in records if r.kind == "revisit"] == [True]
+
+
+def test_frames_are_read_in_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sedge.llm.warc.READ_BYTES", 20_000)
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 300, "d", 1, 2) for i in range(100)], PAGE).coalesce(1)
+    read = read_archives(write_archives(df, f"file://{tmp_path}/w", frame_bytes=2000))
+    assert read.rdd.getNumPartitions() >= 10 and read.count() == 100 and read.withColumn("t", F.spark_partition_id()).select("t").distinct().count() >= 5
 
 
 def test_bundles_are_plain_zstandard(spark, tmp_path):

@@ -11,6 +11,8 @@ MIN_SITES = 10
 LG_K = 12
 #: Sketch estimates within this share of the threshold (about six standard errors at 2**12 registers), or within two sites, are counted exactly.
 CLOSE = 0.1
+#: Lists of removed lines go to the texts by broadcast up to so many bytes, at 64 a list and 4 a line, and are merged with them beyond.
+LIST_BYTES = 64 << 20
 
 
 def _split(text: Column) -> Column:
@@ -43,7 +45,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     as the least; if a line has no other, all its documents lose it. Repeated rows lose the same lines. All other columns are
     kept as they are, but for earlier ones of the added names. An empty table gives no rows.
 
-    Lines travel as hashes, one narrow row each; texts move once, to meet the lists of their removed lines.
+    Lines travel as hashes, one narrow row each. Texts stay where they are read while the lists of their removed lines are few enough to
+    broadcast, and move once otherwise, to meet them.
     """
     docs = docs.drop("n_lines", "n_removed", "__id", "__row", "__gone")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -53,8 +56,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     boiler = spread_lines(rows.select("a", "b", "site", "id"), min_sites, lg_k)
     gone = rows.join(boiler, ["a", "b"]).where(F.col("first").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("__gone")), "removed").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    # merged at every size: a plan that broadcasts small lists only would change its cost with the input
-    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(whole, F.length(whole)) == F.col("__row")), "left")
+    size = gone.agg(F.sum(64 + 4 * F.size("__gone"))).first()[0] or 0
+    joined = docs.join(F.broadcast(gone) if size <= LIST_BYTES else gone.hint("merge"), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(whole, F.length(whole)) == F.col("__row")), "left")
     words = F.filter(_split(F.col(text)), lambda x: F.translate(x, SPACES, "") != "")
     left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda p: F.get(x, p)), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)

@@ -44,6 +44,15 @@ def test_lines_without_an_id_lose_all(spark, documents):
     assert [r["n_removed"] for r in dedup_lines(documents(rows), 3).collect()] == [1, 1, 1]
 
 
+def test_lists_too_long_to_broadcast(spark, documents, monkeypatch):
+    rows = [(i, f"shared line\nown {i}\nshared too", f"s{i % 12}") for i in range(60)] + [(None, None, None), (3, "shared line", "s1"), (3, "shared line", "s1")]
+    small = dedup_lines(documents(rows))
+    monkeypatch.setattr("sedge.llm.lines.LIST_BYTES", 0)
+    merged = dedup_lines(documents(rows))
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, small.collect())) == sorted(map(str, merged.collect())) and "BroadcastHashJoin" in told(small) and "SortMergeJoin" in told(merged)
+
+
 def test_near_the_threshold_counts_are_exact(spark):
     rows = [(k, 0, site, k * 1000 + site) for k in range(95, 106) for site in range(k)] + [(1, 1, s % 5, s) for s in range(400)]
     lines = spark.createDataFrame(rows, "a long, b long, site long, id long")

@@ -1,16 +1,16 @@
 """Near-dedup by Order MinHash: ordered samples of occurrence-labelled k-mers, verified by banded alignment.
 
-A k-mer is K words; with the number of its earlier occurrences as a label each occurs once. A band takes the L labelled k-mers
-least under its own hash and keys them in text order, and once more the L least of the different k-mers, each where it first occurs;
-texts that share a band's key are candidates. So a pair meets as its different k-mers are alike, which is what is verified, even if one
-text says twice what the other says once. Two texts are near copies if the
-best alignment of their different k-mers, each where it first occurs, within a band of diagonals matches M of n and m with
-M / (n + m - M) at least the threshold: the Jaccard similarity of their shingles, less what is out of order.
-Labels end at OCCURRENCES, and a phrase that texts repeat a hundred times makes them neither candidates nor copies.
+A k-mer is K words; with the number of its earlier occurrences as a label each occurs once, however often a text repeats itself. A band takes the
+L labelled k-mers least under its own hash and keys them in text order, and once more the L least of the different k-mers, each where it
+first occurs; texts that share a band's key are candidates. Two texts are near copies if the best alignment of their labelled k-mers, or of
+their different ones, within a band of diagonals matches M of n and m with M / (n + m - M) at least the threshold: the Jaccard similarity
+of their shingles, less what is out of order. By labels, long repeated passages count as often as they are said, as in an edit distance; by different k-mers,
+a text that says twice what the other says once is a copy of it.
 
 Equal texts form a class first. Buckets are not expanded into pairs: each member is compared with one pivot at a time, and
-only what is still unconnected after some rounds is compared with all other components in its buckets. The links found connect
-whatever comparing every candidate pair would connect.
+only what is still unconnected after some rounds is compared with all other components in its buckets. In buckets of more than FEW members
+these meet by their rarest k-mers: of two sets that share enough, each has a shared element among so many of its first in any order, so with the order by
+rarity a passage that all members share brings none of them together. The links found connect whatever comparing every candidate pair would connect.
 """
 
 from __future__ import annotations
@@ -31,15 +31,16 @@ L = 5
 BANDS = 20
 #: Bands of L_SHORT k-mers for texts of up to SHORT k-mers, where L of L+1 seldom agree.
 SHORT, L_SHORT, BANDS_SHORT = 60, 2, 10
-OCCURRENCES = 2
 THRESHOLD = 0.8
 #: Diagonals that an alignment may leave the main one by, as a share of the longer text.
 BAND_SHARE = 0.25
 BLOCK = 65_536
 #: Different k-mers that are kept for a look at a pair before it is aligned: all of a text of so many, else one in 2, 4, 8 ... by hash.
 SAMPLED = 256
-#: Least similarity of what is kept, for all k-mers (short codes may coincide) and for a share of them (3.5 deviations below 0.8).
-LEAST_WHOLE, LEAST_SAMPLED = 0.79, 0.69
+#: How far below the threshold the similarity of what is kept may be: for all k-mers, as short codes may coincide, and for a share of them, six deviations.
+SLACK_WHOLE, SLACK_SAMPLED = 0.01, 0.2
+#: Members of a bucket that are compared each with each.
+FEW = 64
 STAR_ROUNDS = 2
 
 _rng = np.random.default_rng(20)
@@ -89,7 +90,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 def kmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(labelled, different) hashes of a text's k-mers in text order; none for fewer than K words.
 
-    ``labelled`` has up to OCCURRENCES of each, told apart by their number; ``different`` the first of each.
+    ``labelled`` has all of them, told apart by their number; ``different`` the first of each.
     """
     words = word_hashes(text)
     n = len(words) - K + 1
@@ -108,7 +109,7 @@ def kmers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     seen = np.empty(n, np.int64)
     seen[order] = np.arange(n) - first
     labelled = np.where(seen > 0, _mix(plain + seen.astype(np.uint64) * _BASE), plain)
-    return labelled[seen < OCCURRENCES], plain[seen == 0]
+    return labelled, plain[seen == 0]
 
 
 def _least(values: np.ndarray, bands: slice, size: int) -> np.ndarray:
@@ -171,22 +172,27 @@ def alignment(a: np.ndarray, b: np.ndarray, share: float = BAND_SHARE) -> float:
     return m / (len(a) + len(b) - m)
 
 
-SKETCH = "id long, h0 long, h1 long, worded boolean, n long, bands array<long>, level int, codes array<smallint>"
-SKETCH_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int16())]
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The greater of the similarities by labelled and by different k-mers."""
+    found = alignment(a[0], b[0])
+    return found if len(a[0]) == len(a[1]) and len(b[0]) == len(b[1]) else max(found, alignment(a[1], b[1]))
+
+
+#: Numbers, levels and samples of the different k-mers, and of the labelled ones where these are more.
+SKETCH = "id long, h0 long, h1 long, worded boolean, n long, bands array<long>, level int, codes array<smallint>, all_n long, all_level int, all_codes array<smallint>"
+SKETCH_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int16()), pa.int64(), pa.int32(), pa.list_(pa.int16())]
+MEASURED = ("n", "level", "codes", "all_n", "all_level", "all_codes")
 
 
 def _sketch(batches):
     for batch in batches:
-        counts, bands, levels, codes = [], [], [], []
+        made = []
         for text in batch.column(4).to_pylist():
             labelled, different = kmers(text)
-            counts.append(len(different))
-            bands.append(all_keys(labelled, different))
-            level, code = sampled(different)
-            levels.append(level)
-            codes.append(code)
-        made = [pa.array(x, t) for x, t in zip((counts, bands, levels, codes), SKETCH_TYPES[4:])]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *made], [f.split()[0] for f in SKETCH.split(", ")])
+            more = (len(labelled), *sampled(labelled)) if len(labelled) > len(different) else (None, None, None)
+            made.append((len(different), all_keys(labelled, different), *sampled(different), *more))
+        columns = [pa.array(x, t) for x, t in zip(zip(*made), SKETCH_TYPES[4:])] if made else [pa.array([], t) for t in SKETCH_TYPES[4:]]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *columns], [f.split()[0] for f in SKETCH.split(", ")])
 
 
 def _verify(threshold: float):
@@ -197,29 +203,45 @@ def _verify(threshold: float):
             kept = []
             for k, (one, other) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if b[k] != last:  # pairs arrive by their second text
-                    last, values = b[k], kmers(other)[1]
-                if alignment(kmers(one)[1], values) >= threshold:
+                    last, values = b[k], kmers(other)
+                if similarity(kmers(one), values) >= threshold:
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], ["u", "v"])
 
     return run
 
 
-def _alike(a: str, b: str):
-    """Whether two sketches can be near copies: lengths within the threshold, and enough of the kept k-mers in common.
+def _masked(codes: Column) -> Column:
+    return F.transform(codes, lambda c: F.when(c < 0, c + F.lit(32768)).otherwise(c.cast("int")).cast("smallint"))
+
+
+def _bare(codes: Column) -> Column:
+    """The sample of the next level."""
+    return F.filter(codes, lambda c: c >= 0)
+
+
+def _measures(of: str) -> list[tuple[Column, Column, Column]]:
+    """(n, level, codes) of the different k-mers and of all labelled ones, which are the same where none is repeated."""
+    own = [F.col(f"{of}{c}") for c in MEASURED]
+    return [tuple(own[:3]), tuple(F.coalesce(more, same) for more, same in zip(own[3:], own[:3]))]
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two sketches can be near copies by either measure: lengths within the threshold, and enough of the kept k-mers in common.
 
     For texts of up to SAMPLED k-mers this is their Jaccard similarity; for longer ones an estimate that pairs at the threshold
-    pass but for one in some thousands. Lengths within the threshold are one level apart at most.
+    pass but for one in 10**8 or so. Lengths within the threshold are one level apart at most.
     """
-    n, m, same = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level") == F.col(f"{b}.level")
 
-    def codes(x, y):
-        bare = F.when(F.col(f"{x}.level") < F.col(f"{y}.level"), F.filter(f"{x}.codes", lambda c: c >= 0)).otherwise(F.transform(f"{x}.codes", lambda c: F.when(c < 0, c + F.lit(32768)).otherwise(c.cast("int")).cast("smallint")))
-        return F.when(same, F.col(f"{x}.codes")).otherwise(bare)
+    def close(x, y):
+        (n, k, one), (m, j, other) = x, y
+        one, other = (F.when(k == j, p).when(near, _bare(p)).otherwise(_masked(p)) for p, near in ((one, k < j), (other, j < k)))
+        shared, least = F.size(F.array_intersect(one, other)), F.when(F.greatest(k, j) == 0, threshold - SLACK_WHOLE).otherwise(threshold - SLACK_SAMPLED)
+        return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (shared * (1 + least) >= least * (F.size(one) + F.size(other)))
 
-    one, other = codes(a, b), codes(b, a)
-    shared, least = F.size(F.array_intersect(one, other)), F.when((F.greatest(f"{a}.level", f"{b}.level")) == 0, LEAST_WHOLE).otherwise(LEAST_SAMPLED)
-    return (F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)) & (shared * (1 + least) >= least * (F.size(one) + F.size(other)))
+    different, labelled = (close(x, y) for x, y in zip(_measures(f"{a}."), _measures(f"{b}.")))
+    repeats = F.col(f"{a}.all_n").isNotNull() | F.col(f"{b}.all_n").isNotNull()
+    return different | (repeats & labelled)
 
 
 class _Search:
@@ -255,29 +277,62 @@ class _Search:
         """Compare every member with the pivot, of another component, with which it shares most buckets."""
         mask = 0 if turn == 0 else int(np.random.default_rng(turn).integers(1, 2**62))
         members = self.members()
-        pivots = members.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.lit(mask))).alias("p")).select("key", F.col("p").bitwiseXOR(F.lit(mask)).alias("pivot"))
+        # a table of known size, so that members are not dealt by key, which may be hot, while their pivots are few enough to broadcast
+        pivots = cut(members.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.lit(mask))).alias("p")).select("key", F.col("p").bitwiseXOR(F.lit(mask)).alias("pivot")), "pivots")
         met = members.join(pivots, "key").where("rep <> pivot")
         if self.groups is not None:
             met = met.join(self.groups.select(F.col("node").alias("pivot"), F.col("component").alias("theirs")), "pivot", "left").where(F.coalesce("theirs", "pivot") != F.col("comp"))
         counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
-        alike = counted.join(self.sketches.alias("a"), F.col("rep") == F.col("a.id")).join(self.sketches.alias("b"), F.col("pivot") == F.col("b.id")).where(_alike("a", "b")).select("rep", "pivot", "shared")
+        alike = counted.join(self.sketches.alias("a"), F.col("rep") == F.col("a.id")).join(self.sketches.alias("b"), F.col("pivot") == F.col("b.id")).where(_alike("a", "b", self.threshold)).select("rep", "pivot", "shared")
         # a member has a pivot for each of its keys at most
         first = alike.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("shared"), "pivot"))).where("k = 1")
         return self.compare(first.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct())
 
     def rest(self) -> int:
-        """Compare all pairs of a bucket that still are of different components; one of a pair is outside the bucket's largest.
+        """Compare the pairs of a bucket that still are of different components; one of a pair is outside the bucket's largest.
 
         A pair that shares several buckets comes from the one of least key.
         """
         members = self.members()
-        most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+        most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("main"), "size")
         # marked first, so that the join of a key's members is a join alone, whose hot keys adaptive execution splits
-        marked = cut(members.join(most, "key"), "marked")
-        rows = marked.join(self.sketches, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "n", "level", "codes", "bands")
-        outside = rows.where("comp <> main")
-        pairs = rows.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep"))) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")) & _alike("a", "b"))
-        return self.compare(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
+        marked = cut(members.join(cut(most, "largest"), "key"), "marked")
+        known = self.sketches.select("id", "bands", *MEASURED)
+        rows = marked.where(F.col("size") <= FEW).join(known, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "bands", *MEASURED)
+        apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep")))
+        first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
+        pair = (F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"))
+        pairs = rows.alias("a").join(rows.where("comp <> main").alias("b"), (F.col("a.key") == F.col("b.key")) & apart & first & _alike("a", "b", self.threshold)).select(*pair)
+        big = marked.where(F.col("size") > FEW)
+        if not big.isEmpty():
+            met = cut(self._by_rarest(big.join(known, F.col("rep") == F.col("id"))), "met")
+            one, other = (known.alias(k) for k in "ab")
+            found = met.join(one, F.col("u") == F.col("a.id")).join(other, F.col("v") == F.col("b.id"))
+            pairs = pairs.unionByName(found.where(_alike("a", "b", self.threshold)).select("u", "v"))
+        return self.compare(pairs.distinct())
+
+    def _by_rarest(self, rows: DataFrame) -> DataFrame:
+        """(u, v): pairs of large buckets that may be alike, by the prefixes of their samples in order of rarity.
+
+        A sample is taken at its own level and at the next, as pairs may be one level apart. The order counts how many rows outside the bucket's
+        largest component have a code, so codes that those do not have come first and meet nothing.
+        """
+        samples = []
+        for which, (_, level, codes) in enumerate(_measures("")):
+            samples += [F.struct(F.lit(which).alias("m"), level.alias("at"), F.array_distinct(_masked(codes)).alias("codes")), F.struct(F.lit(which).alias("m"), (level + 1).alias("at"), _bare(codes).alias("codes"))]
+        sets = rows.select("key", "rep", "comp", "main", F.explode(F.array(*samples)).alias("s")).select("key", "rep", "comp", "main", "s.*").where(F.size("codes") > 0)
+        place = ("key", "m", "at", "code")
+        code = sets.select("key", "rep", "comp", "main", "m", "at", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+        counts = cut(code.where("comp <> main").groupBy(*place).agg(F.count("*").alias("seen")), "rarity")
+        least = F.when(F.col("at") == 0, self.threshold - SLACK_WHOLE).otherwise(self.threshold - SLACK_SAMPLED)
+        # codes that no row outside has come first, and need not be there to be counted
+        seen = code.join(counts, list(place)).groupBy("key", "rep", "comp", "main", "m", "at", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "code"))).alias("seen"))
+        length = F.col("n") - F.ceil(least * F.col("n")) + 1 - (F.col("n") - F.size("seen"))
+        prefix = cut(seen.where(length > 0).select("key", "rep", "comp", "main", "m", "at", F.explode(F.slice("seen", F.lit(1), length.cast("int"))).alias("c")).select("key", "rep", "comp", "main", "m", "at", "c.code", "c.seen"), "prefixes")
+        apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep")))
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in place]
+        met = prefix.alias("a").join(prefix.where("comp <> main").alias("b"), reduce(lambda x, y: x & y, same) & apart)
+        return met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
 
 
 def text_hashes(text: str) -> tuple[Column, Column]:
@@ -300,13 +355,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     classes = sketched.where("worded AND id IS NOT NULL").groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes, "text-classes")
     reps = sketched.join(classes.select(F.col("rep").alias("id"), "h0", "h1"), ["id", "h0", "h1"]).where("n > 0")
-    reps = cut(reps.select("id", "h0", "h1", "n", "level", "codes", "bands"), "representatives")
+    reps = cut(reps.select("id", "h0", "h1", "bands", *MEASURED), "representatives")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("id").alias("rep")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     buckets = cut(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("rep").distinct().join(reps.select(F.col("id").alias("rep"), "h0", "h1"), "rep")
     texts = cut(rows.hint("merge").join(wanted.hint("merge"), (F.col("id") == F.col("rep")) & (rows["h0"] == wanted["h0"]) & (rows["h1"] == wanted["h1"])).select("rep", "text"), "candidates")
-    search = _Search(buckets, reps.select("id", "n", "level", "codes", "bands"), texts, threshold)
+    search = _Search(buckets, reps.select("id", "bands", *MEASURED), texts, threshold)
     for turn in range(STAR_ROUNDS):
         if not search.star(turn):
             break

@@ -1,4 +1,8 @@
+import bisect
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,7 +42,34 @@ def corpus(seed):
     return [(i, t, "s") for i, t in enumerate(texts)]
 
 
+def shingles(text):
+    """(all with the number of earlier ones, first ones) of a text's runs of five words."""
+    words = re.findall(r"[^ \t\n\x0b\x0c\r]+", text or "")
+    seen, every, first = Counter(), [], []
+    for i in range(len(words) - 4):
+        s = tuple(words[i : i + 5])
+        every.append((s, seen[s]))
+        if not seen[s]:
+            first.append(s)
+        seen[s] += 1
+    return every, first
+
+
+def aligned(a, b):
+    """M / (n + m - M) for the most shingles that both have in the same order, at most a quarter of the longer text apart."""
+    if not a or not b:
+        return 0.0
+    where = {s: i for i, s in enumerate(b)}
+    to = [where[s] for i, s in enumerate(a) if s in where and abs(where[s] - i) <= max(5, 0.25 * max(len(a), len(b)))]
+    piles = []  # patience sorting: as many piles as the longest increasing run has cards
+    for card in to:
+        k = next((k for k, top in enumerate(piles) if top >= card), len(piles)) if len(piles) < 50 else bisect.bisect_left(piles, card)
+        piles[k : k + 1] = [card]
+    return len(piles) / (len(a) + len(b) - len(piles))
+
+
 def brute(rows, threshold=0.8):
+    """Classes by plain Python: nothing of the module under test."""
     up = {r[0]: r[0] for r in rows}
 
     def root(x):
@@ -58,10 +89,10 @@ def brute(rows, threshold=0.8):
             join(first[t], i)
         else:
             first[t] = i
-            reps.append((i, kmers(t)[1]))
-    for k, (i, a) in enumerate(reps):
-        for j, b in reps[:k]:
-            if min(len(a), len(b)) >= threshold * max(len(a), len(b), 1) and len(a) and alignment(a, b) >= threshold:
+            reps.append((i, *shingles(t)))
+    for k, (i, *a) in enumerate(reps):
+        for j, *b in reps[:k]:
+            if root(i) != root(j) and any(min(len(x), len(y)) >= threshold * max(len(x), len(y)) and aligned(x, y) >= threshold for x, y in zip(a, b)):
                 join(i, j)
     return {i: root(i) for i in up}
 
@@ -88,7 +119,7 @@ def test_hashes_and_sketches():
     assert len(word_hashes(" a\tb\n\x0bc ")) == 3 and len(word_hashes(None)) == 0 and len(word_hashes("\xa0x")) == 1
     assert (word_hashes("x y x")[[0, 2]] == word_hashes("x")).all() and len(set(word_hashes("ab ba abb").tolist())) == 3
     labelled, different = kmers("a a a a a a a a")
-    assert len(labelled) == 2 and len(different) == 1 and len(kmers("a b c d")[0]) == 0
+    assert len(labelled) == 4 and len(different) == 1 and len(kmers("a b c d")[0]) == 0
     assert len(band_keys(labelled)) == 30 and len(band_keys(labelled[:0])) == 0
     long = kmers(" ".join(f"w{i}" for i in range(200_000)))[0]
     assert len(band_keys(long)) == 20 and len(set(band_keys(long).tolist())) == 20
@@ -127,3 +158,64 @@ def test_passage_said_twice_against_brute_force(spark, documents):
     want = brute(rows)
     assert sum(i != c for i, c in want.items()) >= 60
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()} == want
+
+
+def test_repeated_passages_count_as_often_as_they_are_said(spark, documents):
+    """Texts that repeat one phrase at length and differ in a few words are copies, as few edits make one of the other."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        phrase = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(8, 30))]
+        base = phrase * (2400 // len(phrase)) + [f"w{rng.randrange(100_000)}" for _ in range(8)]
+        rows += [base, base[:-8] + [f"w{rng.randrange(100_000)}" for _ in range(8)], phrase * (300 // len(phrase)) + base[-8:]]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(rows)]
+    want = brute(rows)
+    assert all(want[3 * k + 1] == 3 * k for k in range(12))
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_large_buckets(spark, documents, monkeypatch, few):
+    """Buckets of any size give the same classes, also where texts of several lengths share a passage, and some of them are copies."""
+    monkeypatch.setattr("sedge.llm.omh.FEW", few)
+    monkeypatch.setattr("sedge.llm.omh.STAR_ROUNDS", 0 if few == 2 else 2)
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = []
+    for _ in range(100):
+        base = fresh(rng.choice([0, 8, 12, 30])) + shared + fresh(rng.choice([3, 8, 20, 300]))
+        rows += [base, *(edited(rng, base, rng.randrange(1, 4)) for _ in range(rng.randrange(2)))]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(rows)]
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()} == brute(rows)
+
+
+def test_a_shared_passage_costs_rows_in_proportion(spark, documents, monkeypatch):
+    """Texts that share a passage, but are no copies, meet in linear numbers."""
+    from sedge.llm import omh
+
+    met = {}
+    for n in (400, 1600):
+        rng = random.Random(8)
+        passage = " ".join(f"p{k}" for k in range(24))
+        rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), "s") for i in range(n)]
+        pairs = []
+        cut = omh.cut
+        monkeypatch.setattr(omh, "cut", lambda df, label: (out := cut(df, label), pairs.append(out.count()) if label in ("met", "pairs") else None)[0])
+        assert near_duplicates(documents(rows)).where("kept").count() == n
+        monkeypatch.setattr(omh, "cut", cut)
+        met[n] = sum(pairs)
+    assert met[1600] <= 8 * max(met[400], 50)
+
+
+def test_recall_by_similarity():
+    """The share of pairs that meet in a band, by the similarity of their k-mers, for texts of 20 to 400 of them."""
+    rng = np.random.default_rng(4)
+    for similar, least in ((0.8, 0.99), (0.85, 0.995), (0.9, 1.0)):
+        hits = 0
+        for _ in range(200):
+            n = int(rng.integers(20, 400))
+            both = rng.integers(0, 2**63, round(n * similar), dtype=np.uint64)
+            one, two = rng.integers(0, 2**63, (2, max(1, (n - len(both)) // 2)), dtype=np.uint64)
+            hits += bool(set(band_keys(np.concatenate([both, one])).tolist()) & set(band_keys(np.concatenate([both, two])).tolist()))
+        assert hits >= least * 200

@@ -13,22 +13,38 @@ TOKEN = r"[\p{L}\p{N}]+"
 #: Weight of a lexeme without a label, and so of every lexeme here.
 LEXEME_WEIGHT = 0.1
 
+#: Takes an array of lower-case tokens to an array of lexemes; it may change tokens and leave tokens out.
 Analyzer = Callable[[Column], Column]
 
+# Greek function words, folded: articles, pronouns, conjunctions, prepositions and particles that say nothing about a text's subject.
+GREEK_STOP_WORDS = (
+    "ο η το οι τα του τησ των τον την τουσ τισ ενασ μια ενα ενοσ μιασ εναν και κι η ειτε ουτε αλλα ομωσ ενω αν οτι που πωσ να θα δεν μην μη "
+    "σε στο στη στην στον στα στισ στουσ στησ απο με για προσ κατα μετα παρα αντι χωρισ ωσ εωσ μεχρι αυτο αυτοσ αυτη αυτα αυτοι εκεινο εκεινοσ "
+    "εγω εσυ εμεισ εσεισ μου σου μασ σασ ειναι ηταν εχει εχουν οπωσ οταν οποιοσ οποια οποιο"
+).split()
+#: Endings of inflected Greek words, longest first, that the light stemmer takes off.
+GREEK_ENDINGS = "ματων|ματοσ|ματα|ουσ|εων|εωσ|εισ|ιων|ιου|ιοσ|ιασ|ιεσ|οσ|ου|οι|ων|ησ|εσ|ασ|ισ|ια|ει|ον|α|η|ι|ο|ω|ε|υ"
 
-def simple_analyzer(token: Column) -> Column:
-    """Lexemes of the default analyzer: lower case, nothing stemmed."""
-    return F.lower(token)
 
+def simple_analyzer(words: Column) -> Column:
+    """The default: tokens in lower case as they are, nothing left out or stemmed."""
+    return words
 
-def folded_analyzer(token: Column) -> Column:
-    """Lower case without Greek accents and breathings, final sigma as sigma."""
-    return F.translate(F.lower(token), "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
+
+def folded(words: Column) -> Column:
+    """Tokens without Greek accents and breathings, final sigma as sigma."""
+    return F.transform(words, lambda w: F.translate(w, "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ"))
+
+
+def greek_analyzer(words: Column) -> Column:
+    """Folded tokens without function words, and without the endings of inflection where three letters are left. A light stemmer, not a server's."""
+    kept = F.filter(folded(words), lambda w: ~w.isin(*GREEK_STOP_WORDS))
+    return F.transform(kept, lambda w: F.regexp_replace(w, f"(?<=\\p{{IsGreek}}{{3}})(?:{GREEK_ENDINGS})$", ""))
 
 
 def tokens(text: Column, analyzer: Analyzer = simple_analyzer) -> Column:
     """Lexemes of a text in order; the positions are the array's indexes. Null: none."""
-    return F.regexp_extract_all(analyzer(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return analyzer(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
 
 
 def query_terms(text: Column, analyzer: Analyzer = simple_analyzer) -> Column:
@@ -46,25 +62,23 @@ def rank_one_term(lexemes: Column, term: Column) -> Column:
     return F.size(F.filter(lexemes, lambda x: x == term)) * F.lit(LEXEME_WEIGHT)
 
 
-def _cover_density(words, terms) -> float:
-    """Sum over the minimal covers of weight / (1 + words in the cover that are not of the query)."""
-    wanted = set(terms if terms is not None else ())
-    if not wanted or words is None:
-        return 0.0
-    hits = [(i, w) for i, w in enumerate(words) if w in wanted]
-    last, total, since = {}, 0.0, -1
-    for i, w in hits:
-        last[w] = i
-        if len(last) == len(wanted) and (start := min(last.values())) > since:
-            total += LEXEME_WEIGHT / (1 + (i - start + 1 - len(wanted)))
-            since = start
-    return total
+def rank_cover(lexemes: Column, terms: Column) -> Column:
+    """Cover-density rank of a query of any number of terms; 0 where a term is missing.
 
+    The sum over the minimal covers of weight / (1 + words in the cover that are not of the query). One pass over the hits: each is the end
+    of a cover if the least of the terms' last places has moved on since the cover before.
+    """
+    n = F.size(terms)
+    hits = F.filter(F.transform(lexemes, lambda w, i: F.struct(i.alias("p"), F.array_position(terms, w).cast("int").alias("t"))), lambda h: h["t"] > 0)
+    none = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("since"))
 
-@F.pandas_udf(T.DoubleType())
-def rank_cover(lexemes: pd.Series, terms: pd.Series) -> pd.Series:
-    """Cover-density rank of a query of several terms; 0 where a term is missing."""
-    return pd.Series([_cover_density(w, t) for w, t in zip(lexemes, terms)], dtype="float64")
+    def step(acc, h):
+        last = F.transform(acc["last"], lambda x, i: F.when(i == h["t"] - 1, h["p"]).otherwise(x))
+        start = F.array_min(last)
+        cover = F.lit(LEXEME_WEIGHT) / (h["p"] - start + 2 - n)
+        return F.struct(last.alias("last"), (acc["total"] + F.when(start > acc["since"], cover).otherwise(0.0)).alias("total"), F.greatest(acc["since"], start).alias("since"))
+
+    return F.when(n > 0, F.aggregate(hits, none, step, lambda acc: acc["total"])).otherwise(0.0)
 
 
 def normal_name(name: Column) -> Column:
@@ -132,11 +146,6 @@ def reply_object(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def json_scalars(text: Column) -> Column:
-    """Top level of a JSON object as a map of strings."""
-    return F.from_json(text, "map<string,string>")
-
-
 def json_contains(text: Column, wanted: dict) -> Column:
     """Whether a JSON object contains ``wanted``, recursively: objects by key, arrays by some element, scalars by value."""
     return F.coalesce(_contains(text, "$", wanted), F.lit(False))

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sedge.operators.components import components
-from sedge.runtime import cut
+from sedge.operators.embedding import EmbeddingConfig, Provider, embed_missing
+from sedge.operators.graph import entities_with_vectors
+from sedge.operators.store import Store
+from sedge.runtime import cut, numbered
 
 THRESHOLD = 0.85
 MOST_IN_GROUP = 20
@@ -135,3 +138,27 @@ def consolidation_stats(entities: DataFrame, canonical: DataFrame, dry_run: bool
     found = canonical.agg(F.count("*").alias("groups_found"), F.coalesce(F.sum(F.size("duplicate_keys")), F.lit(0)).alias("duplicates_found"))
     merged = F.lit(0).cast("long") if dry_run else F.col("duplicates_found").cast("long")
     return total.join(found).withColumn("entities_merged", merged)
+
+
+def consolidate(entities: DataFrame, edges: DataFrame, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), threshold: float = THRESHOLD, most: int = MOST_IN_GROUP, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, edges, figures): all steps, from vectors for entities that have none to rewired edges.
+
+    Entities are taken in order of creation, then of key. A dry run gives figures, and entities and edges as they are.
+    """
+    ready = cut(numbered(entities_with_vectors(embed_missing(entities, provider, config)), "ord", F.col("created_at").asc_nulls_last(), F.col("name_key")), "consolidated")
+    groups = group_entities(ready, similar_pairs(ready, threshold), most)
+    canonical = cut(canonical_entities(ready, groups), "canonical")
+    figures = consolidation_stats(entities, canonical, dry_run)
+    if dry_run:
+        return entities, edges, figures
+    named = entities.drop("name_embedding").join(ready.select("name_key", "name_embedding"), "name_key", "left").select(*entities.columns)
+    return *rewire(named, edges, canonical), figures
+
+
+def consolidate_store(store: Store, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), threshold: float = THRESHOLD, most: int = MOST_IN_GROUP, dry_run: bool = False) -> DataFrame:
+    """Consolidate a store's graph and publish it as one change; return the figures."""
+    entities, edges, figures = consolidate(store.read("entities"), store.read("edges"), provider, config, threshold, most, dry_run)
+    figures = cut(figures, "figures")
+    if not dry_run:
+        store.replace(entities=entities, edges=edges)
+    return figures

@@ -17,7 +17,7 @@ MODELS = {
     "text-embedding-3-small": (1536, 8191),
     "text-embedding-3-large": (3072, 8191),
     "text-embedding-ada-002": (1536, 8191),
-    "nomic-embed-text": (768, 2048),
+    "nomic-embed-text-v2-moe:latest": (768, 512),
 }
 OTHER_MODEL = (1536, 8191)
 CHARS_PER_TOKEN = 4
@@ -29,14 +29,16 @@ class RateLimited(RuntimeError):
 
 @dataclass(frozen=True)
 class EmbeddingConfig:
-    model: str = "nomic-embed-text"
+    model: str = "nomic-embed-text-v2-moe:latest"
     batch: int = 100
     tries: int = 3
     delay: float = 1.0
+    #: Dimension of a model that is in no table.
+    size: int | None = None
 
     @property
     def dimension(self) -> int:
-        return MODELS.get(self.model, OTHER_MODEL)[0]
+        return self.size or MODELS.get(self.model, OTHER_MODEL)[0]
 
     @property
     def most_chars(self) -> int:
@@ -95,7 +97,7 @@ def embed_batch(texts: list[str | None], provider: Provider, config: EmbeddingCo
 
 
 def embed(rows: DataFrame, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), text: str = "content") -> DataFrame:
-    """``rows`` with embedding, embedding_model and embedding_error. Equal texts are embedded once, found by the md5 of the text."""
+    """``rows`` with embedding, embedding_model, embedding_generated_at and embedding_error. Equal texts are embedded once, found by the md5 of the text."""
     keyed = rows.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     once = keyed.groupBy("_key").agg(F.any_value(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
 
@@ -107,12 +109,13 @@ def embed(rows: DataFrame, provider: Provider, config: EmbeddingConfig = Embeddi
                 yield pd.DataFrame({"_key": part["_key"].tolist(), "embedding": [v for v, _ in done], "embedding_error": [e for _, e in done]})
 
     vectors = once.mapInPandas(run, "_key string, embedding array<float>, embedding_error string")
-    return keyed.drop("embedding").join(vectors, "_key", "left").drop("_key").withColumn("embedding_model", F.lit(config.model))
+    return keyed.drop("embedding").join(vectors, "_key", "left").drop("_key").withColumn("embedding_model", F.lit(config.model)).withColumn("embedding_generated_at", F.current_timestamp())
 
 
 def embed_missing(entities: DataFrame, provider: Provider, config: EmbeddingConfig = EmbeddingConfig()) -> DataFrame:
     """Entities with name vectors, made only where there is none, and summary vectors of all summaries that are not blank."""
-    bare = embed(entities.where(F.coalesce(F.size("name_embedding"), F.lit(0)) <= 0), provider, config, "name").select(*entities.columns)
+    bare = embed(entities.where(F.coalesce(F.size("name_embedding"), F.lit(0)) <= 0), provider, config, "name")
+    bare = bare.select(*[F.col("embedding").alias(c) if c == "name_embedding" else F.col(c) for c in entities.columns])
     named = entities.where(F.size("name_embedding") > 0).unionByName(bare)
     told = embed(named.where(F.trim(F.coalesce("summary", F.lit(""))) != "").select("name_key", "summary"), provider, config, "summary").select("name_key", F.col("embedding").alias("summary_embedding"))
     return named.join(told, "name_key", "left")

@@ -7,13 +7,16 @@ chunk_index, metadata, token_count). Results that are cut to k rows are ordered
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from sedge.functions.text import Analyzer, json_contains, matches, query_terms, rank_cover, rank_one_term, simple_analyzer, tokens
 from sedge.functions.vectors import clamp, cosine_to
+from sedge.operators.embedding import EmbeddingConfig, Provider, embed_batch
 from sedge.runtime import cut, scratch_path
 
 MOST_RESULTS = 50
@@ -32,10 +35,11 @@ def check_dimension(embedding: Column, size: int) -> Column:
     return embedding.isNull() | (F.size(embedding) == size)
 
 
-def _titled(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranked hits with their document's title and source. The ranking comes first, so k rows meet the documents, not all chunks."""
+def _titled(hits: DataFrame, documents: DataFrame, score: str) -> DataFrame:
+    """Ranked hits with their document's title and source, best first. The ranking comes first, so k rows meet the documents and are
+    sorted again, not all chunks."""
     names = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("source").alias("document_source"))
-    return hits.join(names, "document_id")
+    return hits.join(names, "document_id").orderBy(F.desc(score), "chunk_id")
 
 
 def vector_topk(chunks: DataFrame, documents: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -44,7 +48,7 @@ def vector_topk(chunks: DataFrame, documents: DataFrame, query: list[float], k:
     Every chunk has its document (the store's foreign key), so the top k is taken before the join.
     """
     scored = chunks.where(F.col("embedding").isNotNull()).select(F.col("id").alias("chunk_id"), "document_id", "content", cosine_to(F.col("embedding"), query).alias("similarity"), "metadata")
-    return _titled(scored.orderBy(F.desc("similarity"), "chunk_id").limit(k), documents)
+    return _titled(scored.orderBy(F.desc("similarity"), "chunk_id").limit(k), documents, "similarity")
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -103,10 +107,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def text_scores(text: Column, query: str, analyzer: Analyzer = simple_analyzer) -> tuple[Column, Column]:
-    """(matches, rank) of a text for a plain query of all its terms. One term is ranked without Python."""
+    """(matches, rank) of a text for a plain query of all its terms."""
     words = tokens(text, analyzer)
     terms = query_terms(F.lit(query), analyzer)
-    return matches(words, terms), F.when(F.size(terms) == 1, rank_one_term(words, F.get(terms, F.lit(0))))
+    return matches(words, terms), F.when(F.size(terms) == 1, rank_one_term(words, F.get(terms, F.lit(0)))).otherwise(rank_cover(words, terms))
 
 
 def hybrid_topk(chunks: DataFrame, documents: DataFrame, query: list[float], text: str, k: int = 10, text_weight: float = 0.3, analyzer: Analyzer = simple_analyzer) -> DataFrame:
@@ -114,22 +118,13 @@ def hybrid_topk(chunks: DataFrame, documents: DataFrame, query: list[float], tex
 
     Both sides are subsets of the same chunks, so the outer join of the two searches is one scan of the chunks that either takes.
     """
-    found, rank = text_scores(F.col("content"), text, analyzer)
-    terms = query_terms(F.lit(text), analyzer)
-    simple = len(_driver_terms(text)) == 1
-    ranked = rank if simple else rank_cover(tokens(F.col("content"), analyzer), terms)
+    found, ranked = text_scores(F.col("content"), text, analyzer)
     either = chunks.withColumn("_match", found).where(F.col("embedding").isNotNull() | F.col("_match"))
     vector = F.coalesce(cosine_to(F.col("embedding"), query), F.lit(0.0))
     scored = either.withColumn("vector_similarity", vector).withColumn("text_similarity", F.when(F.col("_match"), ranked).otherwise(0.0))
     combined = F.col("vector_similarity") * (1 - text_weight) + F.col("text_similarity") * text_weight
     top = scored.select(F.col("id").alias("chunk_id"), "document_id", "content", combined.alias("combined_score"), "vector_similarity", "text_similarity", "metadata")
-    return _titled(top.orderBy(F.desc("combined_score"), "chunk_id").limit(k), documents)
-
-
-def _driver_terms(text: str) -> set[str]:
-    import regex
-
-    return set(regex.findall(r"[\p{L}\p{N}]+", text.lower()))
+    return _titled(top.orderBy(F.desc("combined_score"), "chunk_id").limit(k), documents, "combined_score")
 
 
 def as_results(hits: DataFrame, score: str) -> DataFrame:
@@ -137,6 +132,38 @@ def as_results(hits: DataFrame, score: str) -> DataFrame:
     return hits.withColumn("score", clamp(F.col(score))).drop(score)
 
 
+def query_vector(text: str, provider: Provider, config: EmbeddingConfig = EmbeddingConfig()) -> list[float]:
+    """The vector of a query's text, cut and tried again like any other; blank text gives zeros, and a failure is raised."""
+    ((vector, error),) = embed_batch([text], provider, config)
+    if error is not None:
+        raise RuntimeError(error)
+    return [float(x) for x in vector]
+
+
+def search_vector(chunks: DataFrame, documents: DataFrame, text: str, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), limit: int = 10) -> DataFrame:
+    """The best ``limit`` (1 to 50) chunks for a text, with scores held to 0..1, best first. Vectors of another length than the model's count as missing."""
+    hits = vector_topk(_of_model(chunks, config), documents, query_vector(text, provider, config), checked_limit(limit))
+    return as_results(hits, "similarity")
+
+
+def search_hybrid(chunks: DataFrame, documents: DataFrame, text: str, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), limit: int = 10, text_weight: float = 0.3, analyzer: Analyzer = simple_analyzer) -> DataFrame:
+    """The same by vectors and words; the weight of words is 0 to 1."""
+    if not 0 <= text_weight <= 1:
+        raise ValueError("text_weight must be between 0 and 1")
+    hits = hybrid_topk(_of_model(chunks, config), documents, query_vector(text, provider, config), text, checked_limit(limit), text_weight, analyzer)
+    return as_results(hits, "combined_score")
+
+
+def _of_model(chunks: DataFrame, config: EmbeddingConfig) -> DataFrame:
+    return chunks.withColumn("embedding", F.when(check_dimension(F.col("embedding"), config.dimension), F.col("embedding")))
+
+
+def count_documents(documents: DataFrame, metadata_filter: dict | None = None) -> DataFrame:
+    """One row: ``total``, the number of documents that a listing goes through, whatever its page."""
+    if metadata_filter:
+        documents = documents.where(json_contains(F.col("metadata"), metadata_filter))
+    return documents.agg(F.count("*").alias("total"))
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     """Count, mean and sum of tokens by document, before any join with the wide documents."""
     return chunks.groupBy("document_id").agg(F.count("id").alias("chunk_count"), F.avg("token_count").alias("avg_tokens_per_chunk"), F.sum("token_count").alias("total_tokens"))
@@ -146,9 +173,10 @@ def list_documents(documents: DataFrame, chunks: DataFrame, limit: int = 100, of
     """A page of documents, newest first, with their numbers of chunks; optionally those whose metadata contain an object."""
     if metadata_filter:
         documents = documents.where(json_contains(F.col("metadata"), metadata_filter))
-    page = documents.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+    # a page is small, and is needed for its ids and again for its rows
+    page = cut(documents.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit), "page")
     counts = chunks.join(page.select(F.col("id").alias("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.count("id").alias("chunk_count"))
-    return page.join(counts, F.col("id") == F.col("document_id"), "left").select("id", "title", "source", "metadata", "created_at", "updated_at", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return page.join(counts, F.col("id") == F.col("document_id"), "left").select("id", "title", "source", "metadata", "created_at", "updated_at", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")).orderBy(F.desc("created_at"), "id")
 
 
 def document_summaries(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -170,16 +198,32 @@ def get_document(documents: DataFrame, chunks: DataFrame, document_id) -> DataFr
     return found.select("id", "title", "source", "content", "metadata", "created_at", "updated_at", F.coalesce("chunks", F.array().cast(own.schema["chunks"].dataType)).alias("chunks"))
 
 
-def comprehensive_search(vector: DataFrame | None, graph: DataFrame | None) -> DataFrame:
-    """Vector hits (chunk_id, content, similarity) and graph facts (uuid, fact) in one frame, told apart by ``leg``; either may be left out."""
-    legs = []
-    if vector is not None:
-        legs.append(vector.select(F.lit("vector").alias("leg"), F.col("chunk_id").cast("string").alias("id"), F.col("content").alias("text"), F.col("similarity").alias("score")))
-    if graph is not None:
-        legs.append(graph.select(F.lit("graph").alias("leg"), F.col("uuid").alias("id"), F.col("fact").alias("text"), F.lit(None).cast("double").alias("score")))
-    if not legs:
+def comprehensive_search(vector: Callable[[], DataFrame] | None, graph: Callable[[], DataFrame] | None) -> DataFrame:
+    """Vector hits (chunk_id, content, similarity) and graph facts (uuid, fact) in one frame: leg, id, text, score, error and total_results.
+
+    Either search may be left out. Each runs by itself, so that one that fails leaves the other's results, and a row of its own
+    with its error; total_results counts results, not errors.
+    """
+    if vector is None and graph is None:
         raise ValueError("no search was asked for")
-    return legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
+    shape = "leg string, id string, text string, score double, error string"
+    columns = {
+        "vector": ("chunk_id", "content", F.col("similarity").cast("double") if vector else None),
+        "graph": ("uuid", "fact", F.lit(None).cast("double")),
+    }
+    legs, failed = [], []
+    for leg, search in (("vector", vector), ("graph", graph)):
+        if search is None:
+            continue
+        id, text, score = columns[leg]
+        try:
+            legs.append(cut(search().select(F.lit(leg).alias("leg"), F.col(id).cast("string").alias("id"), F.col(text).alias("text"), score.alias("score"), F.lit(None).cast("string").alias("error")), leg))
+        except Exception as e:  # the other search's results are worth having
+            failed.append((leg, None, None, None, str(e).split("\n")[0]))
+    total = sum(x.count() for x in legs)
+    if failed:
+        legs.append(SparkSession.active().createDataFrame(failed, shape))
+    return reduce(DataFrame.unionByName, legs).withColumn("total_results", F.lit(total).cast("long"))
 
 
 def run_sql(spark, query: str, *args) -> DataFrame:

@@ -1,12 +1,15 @@
-"""A store of versioned parquet tables: inserts, cascades and clearing, each published by one rename of a small pointer file.
+"""A store of versioned parquet tables: inserts, cascades and clearing, each published as one new version.
 
-A table is rewritten or appended beside its old files; readers follow the pointer, so they see a change whole or not at all.
+A table is rewritten or appended beside its old files. A version is a small file that lists the files of all tables; it appears by a rename that
+fails if there is one of its number, so of two writers one publishes and the other makes its change again from the new version. Readers see a
+change whole or not at all.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -17,6 +20,9 @@ MESSAGES = "id string not null, session_id string not null, role string not null
 ENTITIES = "name_key string not null, name string, type string, summary string, name_embedding array<float>, source_doc string, created_at timestamp"
 EDGES = "src_key string not null, dst_key string not null, fact string, predicate string, source_doc string, chunk_id string, created_at timestamp"
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "sessions": SESSIONS, "messages": MESSAGES, "entities": ENTITIES, "edges": EDGES}
+GRAPH = ("entities", "edges")
+#: Times that a change is made again because another writer was first.
+TRIES = 20
 #: Child table, its column, and the parent table whose id it names.
 REFERENCES = (("chunks", "document_id", "documents"), ("messages", "session_id", "sessions"))
 
@@ -24,6 +30,7 @@ REFERENCES = (("chunks", "document_id", "documents"), ("messages", "session_id",
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.jvm = spark, root.rstrip("/"), spark.sparkContext._jvm
+        self._staged: list[str] = []
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -31,27 +38,63 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict[str, list[str]]:
-        if not self._fs().exists(self._path("current.json")):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/current.json", wholetext=True).collect()))
-
-    def _publish(self, pointer: dict[str, list[str]]) -> None:
-        fs, draft = self._fs(), self._path(f"draft-{uuid.uuid4().hex}")
-        fs.mkdirs(self._path(""))
+    def versions(self) -> list[int]:
+        fs, folder = self._fs(), self._path("versions")
+        if not fs.exists(folder):
+            return []
+        return sorted(int(n[1:-5]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("v") and n.endswith(".json"))
+
+    def _pointer(self, version: int | None = None) -> tuple[int, dict[str, list[str]]]:
+        """(version, files of each table), of the latest version if none is named."""
+        version = max(self.versions(), default=0) if version is None else version
+        if version == 0:
+            return 0, {}
+        return version, json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/versions/v{version:08d}.json", wholetext=True).collect()))
+
+    def _publish(self, base: int, pointer: dict[str, list[str]]) -> bool:
+        """Make ``pointer`` the version after ``base``; False if another writer was first."""
+        fs, draft, target = self._fs(), self._path(f"versions/draft-{uuid.uuid4().hex}"), self._path(f"versions/v{base + 1:08d}.json")
+        fs.mkdirs(self._path("versions"))
         out = fs.create(draft, True)
         out.write(json.dumps(pointer).encode())
         out.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(draft, self._path("current.json"), options)
-
-    def read(self, name: str) -> DataFrame:
-        paths = self._pointer().get(name, [])
+        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(draft, target, options)
+        except Exception:
+            fs.delete(draft, False)
+            if fs.exists(target):
+                return False
+            raise
+        return True
+
+    def _change(self, build: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+        """Publish what ``build`` makes of the latest version's files; build again if another writer was first. What is not published is removed."""
+        for _ in range(TRIES):
+            base, pointer = self._pointer()
+            self._staged = []
+            try:
+                if self._publish(base, build(pointer)):
+                    return
+            except BaseException:
+                self._drop(self._staged)
+                raise
+            self._drop(self._staged)
+        raise RuntimeError(f"other writers were first {TRIES} times")
+
+    def _drop(self, paths: list[str]) -> None:
+        for path in paths:
+            self._fs().delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def _files(self, name: str, paths: list[str]) -> DataFrame:
         kind = self.schema(name)
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._files(name, self._pointer(version)[1].get(name, []))
+
     @staticmethod
     def schema(name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name])
@@ -63,40 +106,52 @@ class Store:
             c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit("{}" if f.name == "metadata" else None).cast(f.dataType)
             columns.append((c if f.nullable else F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"{name}.{f.name} is null")))).alias(f.name))
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        self._staged.append(path)
         df.select(*columns).write.parquet(path)
         return path
 
     def insert(self, **rows: DataFrame) -> None:
         """Append to several tables in one published change."""
-        staged = {name: self._stage(name, df) for name, df in rows.items()}
-        pointer = self._pointer()
-        self._publish({**pointer, **{n: [*pointer.get(n, []), p] for n, p in staged.items()}})
+        self._change(lambda old: {**old, **{n: [*old.get(n, []), self._stage(n, df)] for n, df in rows.items()}})
 
     def replace(self, **rows: DataFrame) -> None:
         """Put new contents in place of several tables in one published change."""
-        staged = {name: self._stage(name, df) for name, df in rows.items()}
-        self._publish({**self._pointer(), **{n: [p] for n, p in staged.items()}})
+        self._change(lambda old: {**old, **{n: [self._stage(n, df)] for n, df in rows.items()}})
 
-    def upsert_documents(self, documents: DataFrame, chunks: DataFrame) -> None:
-        """Documents with their chunks, in place of those of the same ids, so that reading a file again does not double it."""
+    def upsert_documents(self, documents: DataFrame, chunks: DataFrame, **graph: DataFrame) -> None:
+        """Documents with their chunks, in place of those of the same ids, so that reading a file again does not double it.
+
+        With ``entities`` and ``edges`` these are published in the same change, in place of what there is.
+        """
         ids = documents.select("id").distinct()
-        old = self.read("documents").join(ids, "id", "left_anti")
-        rest = self.read("chunks").join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-        staged = {"documents": [self._stage("documents", old), self._stage("documents", documents)], "chunks": [self._stage("chunks", rest), self._stage("chunks", chunks)]}
-        self._publish({**self._pointer(), **staged})
+
+        def build(old):
+            kept = self._files("documents", old.get("documents", [])).join(ids, "id", "left_anti")
+            rest = self._files("chunks", old.get("chunks", [])).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+            staged = {"documents": [self._stage("documents", kept), self._stage("documents", documents)], "chunks": [self._stage("chunks", rest), self._stage("chunks", chunks)]}
+            return {**old, **staged, **{n: [self._stage(n, df)] for n, df in graph.items()}}
+
+        self._change(build)
 
     def delete(self, parent: str, ids: DataFrame) -> None:
         """Delete rows by id, and the rows of other tables that name them."""
-        changed = {parent: self.read(parent).join(ids.select("id"), "id", "left_anti")}
-        for child, column, of in REFERENCES:
-            if of == parent:
-                changed[child] = cascade(self.read(child), column, ids)
-        self.replace(**changed)
+
+        def build(old):
+            changed = {parent: self._files(parent, old.get(parent, [])).join(ids.select("id"), "id", "left_anti")}
+            for child, column, of in REFERENCES:
+                if of == parent:
+                    changed[child] = cascade(self._files(child, old.get(child, [])), column, ids)
+            return {**old, **{n: [self._stage(n, df)] for n, df in changed.items()}}
+
+        self._change(build)
 
     def clear(self, graph: bool = True) -> None:
         """Empty all tables, those of the graph as well unless told otherwise."""
-        keep = {} if graph else {n: p for n, p in self._pointer().items() if n in ("entities", "edges")}
-        self._publish(keep)
+        self._change(lambda old: {} if graph else {n: p for n, p in old.items() if n in GRAPH})
+
+    def clear_graph(self) -> None:
+        """Empty the graph's tables alone."""
+        self._change(lambda old: {n: p for n, p in old.items() if n not in GRAPH})
 
 
 def cascade(children: DataFrame, column: str, deleted: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from sedge.functions.chunking import ChunkConfig, SectionSplitter, chunk_column
 from sedge.functions.text import json_merge
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed
 from sedge.operators.graph import Extractor, entity_records, extract, new_edges, parse_replies, upsert_entities
+from sedge.operators.store import Store
 from sedge.runtime import cut
+from sedge.sources.files import as_documents, text_files
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,9 @@ def build_graph(chunks: DataFrame, documents: DataFrame, extractor: Extractor, e
     read = cut(read.join(sources, "document_id").select("document_id", "chunk_index", "source_doc", F.col("chunk_index").cast("string").alias("chunk_id"), "created_at", "entities", "relationships", "error"), "episodes")
     episodes = read.withColumn("ord", F.struct("source_doc", "chunk_index"))
     records = entity_records(episodes)
-    counts = episodes.select("document_id", "chunk_index", F.size("entities").alias("entities_found"), F.size("relationships").alias("relationships_found"), "error")
+    # as many entities as records are sent for a chunk: its own names and those of relationship ends, once each
+    sent = records.groupBy("ord").agg(F.count("*").alias("sent"))
+    counts = episodes.join(sent, "ord", "left").select("document_id", "chunk_index", F.coalesce("sent", F.lit(0)).alias("entities_found"), F.size("relationships").alias("relationships_found"), "error")
     return upsert_entities(entities, records), new_edges(episodes), counts
 
 
@@ -61,6 +65,25 @@ def run_ingest(documents: DataFrame, provider: Provider, extractor: Extractor |
     return out
 
 
+def ingest_folder(folder: str, store: Store, provider: Provider, extractor: Extractor | None = None, config: IngestConfig = IngestConfig(), clean: bool = False) -> DataFrame:
+    """Everything from a folder's text files to the store, published as one change; return the figures by document.
+
+    Files that were read before replace what they gave. With ``clean`` all tables are emptied first; without an ``extractor`` the graph is left as it is.
+    """
+    documents = cut(as_documents(text_files(store.spark, folder)), "documents")
+    if clean:
+        store.clear()
+    chunks = cut(embed(chunk_documents(documents, config.chunks, config.simple), provider, config.embedding), "chunks")
+    if extractor is None:
+        store.upsert_documents(documents, chunks)
+        return document_results(documents, chunks)
+    entities, edges, episodes = build_graph(chunks, documents, extractor, store.read("entities"))
+    again = documents.select(F.col("source").alias("source_doc"))
+    kept = store.read("edges").join(again, "source_doc", "left_anti")
+    store.upsert_documents(documents, chunks, entities=cut(entities, "entities"), edges=cut(kept.unionByName(edges.select(*kept.columns)), "edges"))
+    return document_results(documents, chunks, episodes)
+
+
 def document_results(documents: DataFrame, chunks: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
     """Figures by document: chunks_created, episodes_created, entities_extracted, relationships_created and errors."""
     made = chunks.groupBy("document_id").agg(F.count("*").alias("chunks_created"))

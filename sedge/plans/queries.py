@@ -56,15 +56,15 @@ def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 1000 characters with an overlap of 200, for all documents but those of one source, which stay without."""
-    d = table(spark, sf_dir, "documents").where("source <> 'src9'")
+    """Chunks of 1000 characters with an overlap of 200, of all documents."""
+    d = table(spark, sf_dir, "documents")
     pieces = d.select("doc_id", F.posexplode(fixed_stride(F.col("text"), 1000, 200)).alias("i", "content"))
     return pieces.select((F.col("doc_id") * 100000 + F.col("i")).alias("id"), F.col("doc_id").alias("document_id"), "content", F.col("i").alias("chunk_index"), F.lit("{}").alias("metadata"), X.token_count(F.col("content")).alias("token_count"))
 
 
 P_SQL = """p AS (SELECT doc_id, i, substr(text, i * {step} + 1, {size}) AS content FROM (
   SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= {size} THEN 1 ELSE ceil((length(text) - {size}) / {step}.0)::BIGINT + 1 END)) AS i FROM documents))"""
-C_SQL = P_SQL.format(step=800, size=1000) + """, c AS (SELECT doc_id * 100000 + i AS id, doc_id AS document_id, content, i::INT AS chunk_index, (length(content) // 4)::INT AS token_count FROM p JOIN documents USING (doc_id) WHERE source <> 'src9')"""
+C_SQL = P_SQL.format(step=800, size=1000) + """, c AS (SELECT doc_id * 100000 + i AS id, doc_id AS document_id, content, i::INT AS chunk_index, (length(content) // 4)::INT AS token_count FROM p)"""
 
 
 def stored_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -98,10 +98,23 @@ def vector_topk_batch(spark, sf_dir):
     return retrieval.vector_topk_batch(e, asked, 5).select("query_id", "chunk_id", _round("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 0.0 WHEN vec_id % 3 = 0 THEN 0.0 ELSE round({COS}, 6) END AS similarity FROM embeddings""")
+ODD = f"CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 0.0 WHEN vec_id % 3 = 0 THEN 0.0 ELSE {COS} END"
+
+
+def odd_vectors():
+    """Null, zero and shortened vectors among the others."""
+    return F.when(F.col("vec_id") % 7 == 0, F.lit(None).cast("array<float>")).when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+
+
+@query(f"""SELECT vec_id AS chunk_id, round({ODD}, 6) AS similarity FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 7 <> 0 ORDER BY round({ODD}, 9) DESC, vec_id LIMIT 10000""")
 def vector_topk_nulls(spark, sf_dir):
-    odd = F.when(F.col("vec_id") % 7 == 0, F.lit(None).cast("array<float>")).when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine_to(odd, stored_vector(spark, sf_dir)), 6).alias("similarity"))
+    chunks = whole_chunks(spark, sf_dir).withColumn("vec_id", F.col("id")).withColumn("embedding", odd_vectors()).where("vec_id IS NOT NULL")
+    return retrieval.vector_topk(chunks, documents(spark, sf_dir), stored_vector(spark, sf_dir), 10000).select("chunk_id", _round("similarity"))
+
+
+@query(f"SELECT vec_id, round({ODD}, 6) AS similarity FROM embeddings")
+def cosine_odd_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine_to(odd_vectors(), stored_vector(spark, sf_dir)), 6).alias("similarity"))
 
 
 @query("SELECT event_id, greatest(0.0, least(1.0, value / 50 - 0.5)) AS score FROM events")
@@ -124,11 +137,18 @@ def fulltext_match_all_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(found).select("doc_id")
 
 
-@query()
+#: Hits of the terms in order; the last places of all three, the sum so far and where the cover before began, folded over them.
+_LEAST = "least(CASE WHEN x.t = 1 THEN x.p ELSE s.a END, CASE WHEN x.t = 2 THEN x.p ELSE s.b END, CASE WHEN x.t = 3 THEN x.p ELSE s.c END)"
+R_SQL = f"""r AS (SELECT doc_id AS id, list_reduce(list_filter(list_transform({TOKENS}, lambda w, i: {{'t': CASE w WHEN 'the' THEN 1 WHEN 'and' THEN 2 WHEN 'of' THEN 3 ELSE 0 END, 'p': i, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT, 'sum': 0::DOUBLE, 'since': 0::BIGINT}}), lambda x: x.t > 0),
+  lambda s, x: {{'t': 0, 'p': 0::BIGINT, 'a': CASE WHEN x.t = 1 THEN x.p ELSE s.a END, 'b': CASE WHEN x.t = 2 THEN x.p ELSE s.b END, 'c': CASE WHEN x.t = 3 THEN x.p ELSE s.c END,
+    'sum': s.sum + CASE WHEN {_LEAST} > s.since THEN 0.1::DOUBLE / (x.p - {_LEAST} - 1) ELSE 0 END, 'since': greatest(s.since, {_LEAST})}},
+  {{'t': 0, 'p': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT, 'sum': 0::DOUBLE, 'since': 0::BIGINT}}).sum AS s FROM documents WHERE list_has_all({TOKENS}, ['the', 'and', 'of']))"""
+
+
+@query(f"WITH {R_SQL} SELECT id AS doc_id, round(s, 6) AS score FROM r")
 def fulltext_rank_cover(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    words, terms = X.tokens(F.col("text")), X.query_terms(F.lit(TERMS))
-    return d.where(X.matches(words, terms)).select("doc_id", F.round(X.rank_cover(words, terms), 6).alias("score"))
+    found, rank = retrieval.text_scores(F.col("text"), TERMS)
+    return table(spark, sf_dir, "documents").where(found).select("doc_id", F.round(rank, 6).alias("score"))
 
 
 H_SQL = f"""WITH {D_SQL}, v AS (SELECT vec_id AS id, {COS} AS s FROM embeddings JOIN documents ON doc_id = vec_id),
@@ -138,8 +158,8 @@ SELECT chunk_id, round(v * (1 - @w@::DOUBLE) + t * @w@::DOUBLE, 6) AS combined_s
 FROM h JOIN d ON d.id = chunk_id ORDER BY round(v * (1 - @w@::DOUBLE) + t * @w@::DOUBLE, 9) DESC, chunk_id LIMIT 10"""
 
 
-def _hybrid(spark, sf_dir, weight):
-    hits = retrieval.hybrid_topk(whole_chunks(spark, sf_dir), documents(spark, sf_dir), stored_vector(spark, sf_dir), TERM, 10, weight)
+def _hybrid(spark, sf_dir, weight, text=TERM):
+    hits = retrieval.hybrid_topk(whole_chunks(spark, sf_dir), documents(spark, sf_dir), stored_vector(spark, sf_dir), text, 10, weight)
     return hits.select("chunk_id", _round("combined_score"), _round("vector_similarity"), _round("text_similarity"), "document_title", "document_source")
 
 
@@ -153,6 +173,29 @@ def hybrid_text_only(spark, sf_dir):
     return _hybrid(spark, sf_dir, 1.0)
 
 
+@query(H_SQL.replace("@w@", "0.5").replace("WITH ", f"WITH {R_SQL}, ", 1).replace(H_SQL[H_SQL.index("t AS (SELECT doc_id") : H_SQL.index("h AS (")], "t AS (SELECT id, s FROM r),\n"))
+def hybrid_terms(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 0.5, TERMS)
+
+
+#: A question, and what the stand-in provider makes of it.
+QUESTION, MODEL = "the", embedding.EmbeddingConfig("stand-in", size=64)
+QUESTION_SQL = f"list_cosine_similarity(embedding::DOUBLE[], {embedding.hashing_provider(64)([QUESTION])[0]}::DOUBLE[])"
+
+
+@query(f"""WITH {D_SQL} SELECT vec_id AS chunk_id, round(greatest(0, least(1, {QUESTION_SQL})), 6) AS score, title AS document_title
+FROM embeddings JOIN d ON id = vec_id ORDER BY {QUESTION_SQL} DESC, vec_id LIMIT 20""")
+def vector_search_text(spark, sf_dir):
+    hits = retrieval.search_vector(whole_chunks(spark, sf_dir), documents(spark, sf_dir), QUESTION, embedding.hashing_provider(64), MODEL, 20)
+    return hits.select("chunk_id", _round("score"), "document_title")
+
+
+@query(f"""SELECT chunk_id, greatest(0, least(1, combined_score)) AS score, document_title FROM ({H_SQL.replace("@w@", "0.3").replace(COS, QUESTION_SQL)})""")
+def hybrid_search_text(spark, sf_dir):
+    hits = retrieval.search_hybrid(whole_chunks(spark, sf_dir), documents(spark, sf_dir), QUESTION, embedding.hashing_provider(64), MODEL)
+    return hits.select("chunk_id", _round("score"), "document_title")
+
+
 L_SQL = f"""WITH {D_SQL}, {C_SQL}, n AS (SELECT document_id, count(*) AS k FROM c GROUP BY document_id)
 SELECT id, title, source, created_at, coalesce(k, 0) AS chunk_count FROM d LEFT JOIN n ON id = document_id {{where}} ORDER BY created_at DESC, id LIMIT {{limit}} OFFSET {{offset}}"""
 
@@ -176,6 +219,11 @@ def list_documents_filtered(spark, sf_dir):
     return _listed(spark, sf_dir, 20, 0, {"lang": "de"})
 
 
+@query("SELECT count(*) AS total FROM documents WHERE lang = 'de'")
+def list_total(spark, sf_dir):
+    return retrieval.count_documents(documents(spark, sf_dir), {"lang": "de"})
+
+
 @query(f"""WITH {D_SQL}, {C_SQL} SELECT d.id, title, source, count(c.id) AS chunk_count, round(avg(token_count), 6) AS avg_tokens_per_chunk, sum(token_count)::BIGINT AS total_tokens
 FROM d LEFT JOIN c ON d.id = document_id GROUP BY d.id, title, source""")
 def document_summaries(spark, sf_dir):
@@ -440,10 +488,14 @@ k AS (SELECT * FROM w ORDER BY round(s, 9) DESC, name_key LIMIT 10)
 SELECT name_key AS source_node, 'bought by ' || c_custkey AS fact, false AS is_summary FROM k JOIN customer ON c_custkey % 1000 = vec_id
 UNION ALL SELECT name_key, name || ': vector ' || vec_id, true FROM k WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 1000 = vec_id)""")
 def graph_search(spark, sf_dir):
+    return graph_hits(spark, sf_dir).select("source_node", "fact", "is_summary")
+
+
+def graph_hits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     nodes = e.select(F.concat(F.lit("vector-"), "vec_id").alias("name_key"), F.concat(F.lit("Vector "), "vec_id").alias("name"), F.concat(F.lit("vector "), "vec_id").alias("summary"), F.col("embedding").alias("name_embedding"))
     edges = table(spark, sf_dir, "customer").select(F.concat(F.lit("vector-"), F.col("c_custkey") % 1000).alias("src_key"), F.concat(F.lit("customer-"), "c_custkey").alias("dst_key"), F.concat(F.lit("bought by "), "c_custkey").alias("fact"), F.lit("sold_to").alias("predicate"))
-    return graph.graph_search(nodes, edges, stored_vector(spark, sf_dir)).select("source_node", "fact", "is_summary")
+    return graph.graph_search(nodes, edges, stored_vector(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {E_SQL}, b AS (SELECT src_key AS x, dst_key AS y FROM e UNION SELECT dst_key, src_key FROM e),
@@ -453,14 +505,18 @@ def depth_k(spark, sf_dir):
     return graph.reachable(entity_frames(spark, sf_dir)[1], "Europe", 2)
 
 
-@query()
+@query(r"""WITH n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda w: trim(w, '.,')), lambda w: regexp_full_match(w, '\p{L}+')) AS names FROM documents),
+k AS (SELECT *, names[:8] AS kept FROM n)
+SELECT doc_id, len(kept)::INT AS entities, (CASE WHEN len(names) > 8 THEN len(list_filter(range(1, len(names)), lambda i: list_contains(kept, names[i]) AND list_contains(kept, names[i + 1]))) ELSE greatest(len(names) - 1, 0) END)::INT AS relationships,
+       NULL::VARCHAR AS error FROM k""")
 def extraction_parse(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
 
     def extractor(text: str) -> str:
-        names = [w.strip(".,") for w in text.split()]
-        entities = ",".join(f'{{"name":"{n}","type":"word","summary":"in the text"}}' for n in names if n.isalpha())
-        return "```json\n{\"entities\":[" + entities + "],\"relationships\":[]}\n```"
+        names = [n for w in text.split() if (n := w.strip(".,")).isalpha()]
+        entities = ",".join(f'{{"name":"{n}","type":"word","summary":"in the text"}}' for n in names)
+        links = ",".join(f'{{"subject":"{a}","predicate":"before","object":"{b}","fact":""}}' for a, b in zip(names, names[1:]))
+        return "```json\n{\"entities\":[" + entities + "],\"relationships\":[" + links + "]}\n```"
 
     rows = graph.parse_replies(graph.extract(d.select("doc_id", "text"), extractor, "text"))
     return rows.select("doc_id", F.size("entities").alias("entities"), F.size("relationships").alias("relationships"), "error")
@@ -526,6 +582,13 @@ def consolidate_rewire(spark, sf_dir):
     return consolidate.rewire(rows, supply_edges(spark, sf_dir), cut(canonical, "canonical"))[1].select("src_key", "dst_key", "fact", "chunk_id")
 
 
+@query(f"""WITH {G_SQL} SELECT name_key, CASE WHEN name_key = canonical_key THEN u.summary ELSE p_type END AS summary FROM g LEFT JOIN k USING (leader) LEFT JOIN u USING (leader)
+WHERE canonical_key IS NULL OR canonical_key = name_key""")
+def consolidate_merged(spark, sf_dir):
+    rows, canonical = _canonical(spark, sf_dir)
+    return consolidate.rewire(rows, supply_edges(spark, sf_dir), cut(canonical, "canonical"))[0].select("name_key", "summary")
+
+
 @query(f"WITH {G_SQL} SELECT (SELECT count(*) FROM part) AS total_entities, count(*) AS groups_found, sum(n - 1)::BIGINT AS duplicates_found, 0::BIGINT AS entities_merged FROM k")
 def consolidate_dry_run(spark, sf_dir):
     rows, canonical = _canonical(spark, sf_dir)
@@ -538,7 +601,7 @@ def consolidate_dry_run(spark, sf_dir):
 @query("SELECT count(*) AS rows, count(DISTINCT text) AS vectors FROM documents")
 def embed_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    config = embedding.EmbeddingConfig("nomic-embed-text")
+    config = embedding.EmbeddingConfig()
     done = cut(embedding.embed(d, embedding.hashing_provider(config.dimension), config).select(F.md5("content").alias("k"), F.xxhash64("embedding").alias("v")), "embedded")
     return done.agg(F.count("*").alias("rows"), F.countDistinct("k", "v").alias("vectors"))
 
@@ -559,9 +622,15 @@ def ingest_documents(spark, sf_dir):
     return ingest.chunk_documents(docs, ChunkConfig(1500, 250)).select("id", "document_id", "chunk_index", "token_count", "metadata")
 
 
-@query(f"""SELECT 'vector' AS leg, vec_id::VARCHAR AS id, round(s, 6) AS score FROM (SELECT vec_id, {COS} AS s FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY 2 DESC, 1 LIMIT 10)
-UNION ALL SELECT 'graph', 'fact-' || s_suppkey, NULL FROM supplier""")
+@query(f"""WITH v AS (SELECT vec_id::VARCHAR AS id, {COS} AS s FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY 2 DESC, vec_id LIMIT 10),
+w AS (SELECT 'vector-' || vec_id AS name_key, 'Vector ' || vec_id AS name, {COS} AS s, vec_id FROM embeddings), k AS (SELECT * FROM w ORDER BY round(s, 9) DESC, name_key LIMIT 10),
+g AS (SELECT sha256(name_key || '|customer-' || c_custkey || '|sold_to|bought by ' || c_custkey) AS id FROM k JOIN customer ON c_custkey % 1000 = vec_id
+      UNION ALL SELECT sha256(name_key || '|' || name || ': vector ' || vec_id) FROM k WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 1000 = vec_id)),
+n AS (SELECT (SELECT count(*) FROM v) + (SELECT count(*) FROM g) AS total_results)
+SELECT 'vector' AS leg, id, round(s, 6) AS score, total_results FROM v, n UNION ALL SELECT 'graph', id, NULL, total_results FROM g, n""")
 def comprehensive_search(spark, sf_dir):
-    hits = retrieval.vector_topk(whole_chunks(spark, sf_dir), documents(spark, sf_dir), stored_vector(spark, sf_dir))
-    facts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("fact-"), "s_suppkey").alias("uuid"), F.col("s_name").alias("fact"))
-    return retrieval.comprehensive_search(hits, facts).select("leg", "id", _round("score"))
+    found = retrieval.comprehensive_search(
+        lambda: retrieval.vector_topk(whole_chunks(spark, sf_dir), documents(spark, sf_dir), stored_vector(spark, sf_dir)),
+        lambda: graph_hits(spark, sf_dir),
+    )
+    return found.select("leg", "id", _round("score"), "total_results")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -56,6 +56,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with a column ``name``: 0, 1, 2 ... in an order that is total. Ranges are sorted apart and shifted by the counts before them, so no task sees all rows."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a partition
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, place.cast("long")).drop("_range", "_before")  # as many rows as shuffle partitions
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; call it after results have been written."""
     jvm = spark.sparkContext._jvm

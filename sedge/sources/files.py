@@ -21,9 +21,12 @@ def document_id(source: Column) -> Column:
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, source (relative to the folder) and content of all text files below a folder. A folder without any gives no rows."""
+    """path, source (relative to the folder) and content of all text files below a folder, in order of path. A folder that has none, or is not there, gives no rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return as_texts(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"), folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(folder)
-    return as_texts(files, folder)
+    return as_texts(files, folder).orderBy("path")
 
 
 def as_texts(files: DataFrame, folder: str) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sedge.operators import consolidate, embedding, graph, retrieval, sessions
 from sedge.operators.components import components
-from sedge.operators.store import Store
-from sedge.plans.ingest import IngestConfig, document_results, rollup, run_ingest
+from sedge.functions.text import greek_analyzer
+from sedge.operators.store import ENTITIES, Store
+from sedge.plans import queries
+from sedge.plans.ingest import IngestConfig, document_results, ingest_folder, rollup, run_ingest
+from sedge.runtime import numbered
 from sedge.sources.files import as_documents, text_files
 from sedge.streaming.ingest import ingest_stream, stream_texts
 
@@ -50,7 +53,7 @@ def test_vector_topk_plan_and_ties(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "s", "c", "{}", None, None) for i in range(6)], DOCUMENTS)
     hits = retrieval.vector_topk(spark.createDataFrame(rows, CHUNKS), docs, [1.0, 0.0], 4)
     assert "TakeOrderedAndProject" in hits._jdf.queryExecution().executedPlan().toString()
-    assert [(r["chunk_id"], r["similarity"]) for r in hits.orderBy(F.desc("similarity"), "chunk_id").collect()] == [(0, 1.0), (1, 1.0), (2, 1.0), (4, 0.0)]
+    assert [(r["chunk_id"], r["similarity"]) for r in hits.collect()] == [(0, 1.0), (1, 1.0), (2, 1.0), (4, 0.0)]
 
 
 @pytest.mark.parametrize("limit, ok", [(0, False), (1, True), (50, True), (51, False)])
@@ -295,3 +298,132 @@ def test_topk_of_more_queries_than_a_block_holds(spark, monkeypatch):
     unit = lambda m: m.astype("f8") / np.linalg.norm(m.astype("f8"), axis=1)[:, None]
     best = np.argsort(-unit(q) @ unit(x).T, axis=1)[:, :4]
     assert got == {(1000 + i, k + 1): int(c) for i, row in enumerate(best) for k, c in enumerate(row)}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name, order", [("vector_topk", ("similarity", "chunk_id")), ("hybrid_topk", ("combined_score", "chunk_id")), ("hybrid_terms", ("combined_score", "chunk_id")), ("vector_search_text", ("score", "chunk_id")), ("list_documents", ("created_at", "id"))])
+def test_results_come_in_order(spark, name, order):
+    rows = queries.QUERIES[name](spark, SF).collect()
+    first, then = order
+    assert len(rows) > 5 and rows == sorted(sorted(rows, key=lambda r: r[then]), key=lambda r: r[first], reverse=True)
+
+
+def _chunks(spark):
+    rows = [(1, 1, "alpha beta", [1.0, 0.0], 0, "{}", 1), (2, 2, "beta gamma", [-1.0, 0.0], 0, "{}", 1), (3, 3, "alpha", [1.0, 1.0, 1.0], 0, "{}", 1), (4, 4, "alpha beta alpha", None, 0, "{}", 1)]
+    return spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([(i, f"t{i}", "s", "c", "{}", None, None) for i in range(1, 5)], DOCUMENTS)
+
+
+def test_search_by_text(spark):
+    chunks, docs = _chunks(spark)
+    config, provider = embedding.EmbeddingConfig("own", size=2), lambda texts: [[1.0, 0.0] for _ in texts]
+    hits = retrieval.search_vector(chunks, docs, "alpha", provider, config)
+    assert [(r["chunk_id"], r["score"]) for r in hits.collect()] == [(1, 1.0), (2, 0.0)]  # held to 0, and a vector of another model is none
+    both = retrieval.search_hybrid(chunks, docs, "alpha beta", provider, config, 4, 0.5)
+    assert [r["chunk_id"] for r in both.collect()] == [1, 4, 2]
+    for bad in (0, 51):
+        with pytest.raises(ValueError):
+            retrieval.search_vector(chunks, docs, "alpha", provider, config, bad)
+    with pytest.raises(ValueError):
+        retrieval.search_hybrid(chunks, docs, "alpha", provider, config, 5, 1.5)
+    with pytest.raises(RuntimeError):
+        retrieval.query_vector("alpha", lambda texts: 1 / 0, embedding.EmbeddingConfig(tries=1))
+
+
+def test_an_analyzer_may_split_and_drop(spark):
+    chunks, docs = _chunks(spark)
+    halves = lambda words: F.flatten(F.transform(words, lambda w: F.array(F.substring(w, 1, 2), F.substring(w, 3, 9))))
+    rows = retrieval.hybrid_topk(chunks, docs, [1.0, 0.0], "alpha", analyzer=halves).collect()
+    assert all(r["combined_score"] is not None for r in rows) and {r["chunk_id"] for r in rows if r["text_similarity"] > 0} == {1, 3, 4}
+    greek = spark.createDataFrame([("Οι δρόμοι της πόλης και ο δρόμος",)], "t string").select(queries.X.tokens(F.col("t"), greek_analyzer).alias("x")).first()["x"]
+    assert greek == ["δρομ", "πολ", "δρομ"]
+
+
+def test_one_failing_search_leaves_the_other(spark):
+    chunks, docs = _chunks(spark)
+    good = lambda: retrieval.vector_topk(chunks, docs, [1.0, 0.0], 2)
+    bad = lambda: chunks.select(F.raise_error(F.lit("no graph")).cast("string").alias("uuid"), F.lit("f").alias("fact"))
+    rows = retrieval.comprehensive_search(good, bad).collect()
+    assert [(r["leg"], r["id"], r["total_results"]) for r in rows] == [("vector", "1", 2), ("vector", "3", 2), ("graph", None, 2)] and "no graph" in rows[2]["error"]
+    assert {r["leg"] for r in retrieval.comprehensive_search(good, None).collect()} == {"vector"}
+    with pytest.raises(ValueError):
+        retrieval.comprehensive_search(None, None)
+
+
+@pytest.mark.parametrize("model, size, chars", [("text-embedding-3-small", 1536, 32764), ("text-embedding-3-large", 3072, 32764), ("text-embedding-ada-002", 1536, 32764), ("nomic-embed-text-v2-moe:latest", 768, 2048), ("another", 1536, 32764)])
+def test_models(model, size, chars):
+    config, seen = embedding.EmbeddingConfig(model), []
+    embedding.embed_batch(["x" * 100_000], lambda texts: seen.extend(texts) or [[0.0]], config)
+    assert (config.dimension, len(seen[0])) == (size, chars)
+    assert embedding.EmbeddingConfig().model == "nomic-embed-text-v2-moe:latest"
+
+
+def test_of_two_writers_none_is_lost(spark, tmp_path):
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    row = lambda i: spark.sql(f"SELECT 'd{i}' AS id, 't' AS title, 's' AS source, 'c' AS content")
+    publish, turns = one._publish, []
+
+    def late(base, pointer):
+        if not turns:  # the other writer gets in between
+            turns.append(1)
+            two.insert(documents=row(2))
+        return publish(base, pointer)
+
+    one._publish = late
+    one.insert(documents=row(1))
+    assert sorted(r["id"] for r in one.read("documents").collect()) == ["d1", "d2"] and one.versions() == [1, 2]
+    assert len(list((tmp_path / "s" / "documents").iterdir())) == 2  # what lost is removed
+    one.insert(entities=spark.createDataFrame([("k", "K", None, None, None, None, None)], ENTITIES.replace(" not null", "")))
+    one.clear_graph()
+    assert one.read("entities").count() == 0 and one.read("documents").count() == 2
+
+
+def test_folder_to_store_to_consolidated_graph(spark, tmp_path):
+    assert text_files(spark, f"file://{tmp_path}/nowhere").count() == 0
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, who in (("b.md", "Ada Byron"), ("a.txt", "Ada Lovelace"), ("c.txt", "Else")):
+        (folder / name).write_text(f"{who} wrote this.")
+    assert [r["source"] for r in text_files(spark, f"file://{folder}").collect()] == ["a.txt", "b.md", "c.txt"]
+
+    def extractor(text):
+        who = " ".join(text.split()[: 2 if "Ada" in text else 1])
+        return f'{{"entities": [{{"name": "{who}", "summary": "of {who}"}}], "relationships": [{{"subject": "{who}", "predicate": "wrote", "object": "This", "fact": "{who} wrote this"}}]}}'
+
+    provider = lambda texts: [[1.0, 0.1 * ("Byron" in t)] if "Ada" in t else [0.0, 1.0 if "Else" in t else -1.0] for t in texts]
+    store, config = Store(spark, f"file://{tmp_path}/store"), IngestConfig(embedding=embedding.EmbeddingConfig("own", size=2))
+    figures = ingest_folder(f"file://{folder}", store, provider, extractor, config)
+    total = rollup(figures).first()
+    # an end that no chunk declares is a record as well
+    assert (total["documents"], total["chunks_created"], total["entities_extracted"], total["relationships_created"]) == (3, 3, 6, 3)
+    ingest_folder(f"file://{folder}", store, provider, extractor, config)
+    counts = {n: store.read(n).count() for n in ("documents", "chunks", "entities", "edges")}
+    assert counts == {"documents": 3, "chunks": 3, "entities": 4, "edges": 3}
+    assert store.read("chunks").where("size(embedding) = 2").count() == 3
+    dry = consolidate.consolidate_store(store, provider, config.embedding, 0.9, dry_run=True).first()
+    assert (dry["groups_found"], dry["entities_merged"]) == (1, 0) and store.read("entities").count() == 4
+    done = consolidate.consolidate_store(store, provider, config.embedding, 0.9).first()
+    assert (done["total_entities"], done["entities_merged"]) == (4, 1)
+    left = {r["name_key"]: r["summary"] for r in store.read("entities").collect()}
+    assert set(left) == {"ada lovelace", "else", "this"} and set(left["ada lovelace"].split(" | ")) == {"of Ada Byron", "of Ada Lovelace"}
+    assert {r["src_key"] for r in store.read("edges").collect()} == {"ada lovelace", "else"} and store.read("edges").count() == 3
+    assert store.read("entities").where("name_embedding IS NULL").count() == 0
+    ingest_folder(f"file://{folder}", store, provider, None, config, clean=True)
+    assert store.read("entities").count() == 0 and store.read("documents").count() == 3
+
+
+def test_missing_vectors_are_made(spark):
+    rows = [("a", "A", "t", "said", [9.0, 9.0]), ("b", "B", "t", " ", None), ("c", "C", "t", None, [])]
+    df = spark.createDataFrame(rows, "name_key string, name string, type string, summary string, name_embedding array<float>")
+    got = {r["name_key"]: (r["name_embedding"], r["summary_embedding"]) for r in embedding.embed_missing(df, lambda texts: [[float(len(t)), 1.0] for t in texts], embedding.EmbeddingConfig("own", size=2)).collect()}
+    assert got == {"a": ([9.0, 9.0], [4.0, 1.0]), "b": ([1.0, 1.0], None), "c": ([1.0, 1.0], None)}
+    stamped = embedding.embed(spark.createDataFrame([("x",)], "content string"), lambda texts: [[1.0] for _ in texts]).first()
+    assert stamped["embedding_generated_at"] is not None and stamped["embedding_model"] == embedding.EmbeddingConfig().model
+
+
+def test_numbered(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 3 END AS g")
+    rows = numbered(df, "n", F.col("g").asc_nulls_last(), F.col("id")).collect()
+    order = sorted(((r["g"] is None, r["g"], r["id"], r["n"]) for r in rows), key=lambda x: (x[0], x[1] or 0, x[2]))
+    assert [x[3] for x in order] == list(range(5000))

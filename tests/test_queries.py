@@ -23,7 +23,18 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
 
 
 def test_extraction_reads_whole_texts(spark, tmp_path):
-    texts = [" ".join(["1"] * 30 + ["alpha", "beta", "gamma."]), " ".join(["word"] * 40), "one two", None]
+    texts = [" ".join(["1"] * 30 + ["alpha", "beta", "gamma."]), " ".join(["word"] * 40), "one two", "a b c d e f g h i j a b", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["entities"] for r in QUERIES["extraction_parse"](spark, str(tmp_path)).collect()}
-    assert got == {0: 3, 1: 8, 2: 2, 3: 0}
+    got = {r["doc_id"]: (r["entities"], r["relationships"]) for r in QUERIES["extraction_parse"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 2), 1: (8, 39), 2: (2, 1), 3: (8, 8), 4: (0, 0)}
+
+
+def test_documents_without_chunks(spark):
+    """No document of the tables lacks chunks, so it is tested here."""
+    from sedge.operators import retrieval
+
+    docs = spark.sql("SELECT id, 't' AS title, 's' AS source, 'c' AS content, '{}' AS metadata, timestamp_seconds(id) AS created_at, timestamp_seconds(id) AS updated_at FROM range(4)")
+    chunks = spark.sql("SELECT id, id % 2 AS document_id, 'c' AS content, cast(id AS int) AS chunk_index, '{}' AS metadata, 3 AS token_count FROM range(5)")
+    assert [(r["id"], r["chunk_count"]) for r in retrieval.list_documents(docs, chunks).collect()] == [(3, 0), (2, 0), (1, 2), (0, 3)]
+    assert sorted((r["id"], r["chunk_count"], r["total_tokens"]) for r in retrieval.document_summaries(docs, chunks).collect()) == [(0, 3, 9), (1, 2, 6), (2, 0, None), (3, 0, None)]
+    assert retrieval.get_document(docs, chunks, 3).first()["chunks"] == [] and [r["chunk_index"] for r in retrieval.document_chunks(chunks, 0).collect()] == [0, 2, 4]

@@ -8,9 +8,10 @@ of their shingles, less what is out of order. By labels, long repeated passages
 a text that says twice what the other says once is a copy of it.
 
 Equal texts form a class first. Buckets are not expanded into pairs: each member is compared with one pivot at a time, and
-only what is still unconnected after some rounds is compared with all other components in its buckets. In buckets of more than FEW members
-these meet by their rarest k-mers: of two sets that share enough, each has a shared element among so many of its first in any order, so with the order by
-rarity a passage that all members share brings none of them together. The links found connect whatever comparing every candidate pair would connect.
+only what is still unconnected after some rounds is compared with all other components in its buckets. Members of buckets in which more than FEW
+are outside the largest component meet by their rarest k-mers instead: of two sets that share enough, each has a shared element among so many of its first in
+any order, so with the order by rarity a passage that all share brings none of them together. The links found connect whatever comparing
+every candidate pair would connect.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ BAND_SHARE = 0.25
 BLOCK = 65_536
 #: Different k-mers that are kept for a look at a pair before it is aligned: all of a text of so many, else one in 2, 4, 8 ... by hash.
 SAMPLED = 256
-#: How far below the threshold the similarity of what is kept may be: for all k-mers, as short codes may coincide, and for a share of them, six deviations.
-SLACK_WHOLE, SLACK_SAMPLED = 0.01, 0.2
-#: Members of a bucket that are compared each with each.
+#: How far below the threshold the similarity of what is kept may be: for all k-mers, as short codes may coincide, and for a share of them, 4.5 deviations.
+SLACK_WHOLE, SLACK_SAMPLED = 0.01, 0.15
+#: Members outside a bucket's largest component that are compared with every other member.
 FEW = 64
 STAR_ROUNDS = 2
 
@@ -230,7 +231,7 @@ def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether two sketches can be near copies by either measure: lengths within the threshold, and enough of the kept k-mers in common.
 
     For texts of up to SAMPLED k-mers this is their Jaccard similarity; for longer ones an estimate that pairs at the threshold
-    pass but for one in 10**8 or so. Lengths within the threshold are one level apart at most.
+    pass but for one in some hundred thousand. Lengths within the threshold are one level apart at most.
     """
 
     def close(x, y):
@@ -294,45 +295,48 @@ class _Search:
         A pair that shares several buckets comes from the one of least key.
         """
         members = self.members()
-        most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("main"), "size")
+        most = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("main"), (F.col("size") - F.col("m.n")).alias("outside"))
         # marked first, so that the join of a key's members is a join alone, whose hot keys adaptive execution splits
         marked = cut(members.join(cut(most, "largest"), "key"), "marked")
         known = self.sketches.select("id", "bands", *MEASURED)
-        rows = marked.where(F.col("size") <= FEW).join(known, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "bands", *MEASURED)
+        rows = marked.where(F.col("outside") <= FEW).join(known, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "bands", *MEASURED)
         apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep")))
         first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
-        pair = (F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"))
-        pairs = rows.alias("a").join(rows.where("comp <> main").alias("b"), (F.col("a.key") == F.col("b.key")) & apart & first & _alike("a", "b", self.threshold)).select(*pair)
-        big = marked.where(F.col("size") > FEW)
-        if not big.isEmpty():
-            met = cut(self._by_rarest(big.join(known, F.col("rep") == F.col("id"))), "met")
-            one, other = (known.alias(k) for k in "ab")
-            found = met.join(one, F.col("u") == F.col("a.id")).join(other, F.col("v") == F.col("b.id"))
-            pairs = pairs.unionByName(found.where(_alike("a", "b", self.threshold)).select("u", "v"))
+        pairs = rows.alias("a").join(rows.where("comp <> main").alias("b"), (F.col("a.key") == F.col("b.key")) & apart & first & _alike("a", "b", self.threshold))
+        pairs = pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"))
+        many = cut(marked.where(F.col("outside") > FEW).select("rep", "comp").distinct(), "crowded")
+        if not many.isEmpty():
+            pairs = pairs.unionByName(self._by_rarest(many))
         return self.compare(pairs.distinct())
 
-    def _by_rarest(self, rows: DataFrame) -> DataFrame:
-        """(u, v): pairs of large buckets that may be alike, by the prefixes of their samples in order of rarity.
+    def _by_rarest(self, members: DataFrame) -> DataFrame:
+        """(u, v): pairs of members(rep, comp) of different components that look alike and share one of their rarest k-mers, by either measure.
 
-        A sample is taken at its own level and at the next, as pairs may be one level apart. The order counts how many rows outside the bucket's
-        largest component have a code, so codes that those do not have come first and meet nothing.
+        A set of n that is alike to another shares threshold * n of its k-mers or more, so one of any n - ceil(threshold * n) + 1. These are
+        taken in order of how many members have them; those that one alone has come first and meet nothing.
         """
-        samples = []
-        for which, (_, level, codes) in enumerate(_measures("")):
-            samples += [F.struct(F.lit(which).alias("m"), level.alias("at"), F.array_distinct(_masked(codes)).alias("codes")), F.struct(F.lit(which).alias("m"), (level + 1).alias("at"), _bare(codes).alias("codes"))]
-        sets = rows.select("key", "rep", "comp", "main", F.explode(F.array(*samples)).alias("s")).select("key", "rep", "comp", "main", "s.*").where(F.size("codes") > 0)
-        place = ("key", "m", "at", "code")
-        code = sets.select("key", "rep", "comp", "main", "m", "at", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-        counts = cut(code.where("comp <> main").groupBy(*place).agg(F.count("*").alias("seen")), "rarity")
-        least = F.when(F.col("at") == 0, self.threshold - SLACK_WHOLE).otherwise(self.threshold - SLACK_SAMPLED)
-        # codes that no row outside has come first, and need not be there to be counted
-        seen = code.join(counts, list(place)).groupBy("key", "rep", "comp", "main", "m", "at", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "code"))).alias("seen"))
-        length = F.col("n") - F.ceil(least * F.col("n")) + 1 - (F.col("n") - F.size("seen"))
-        prefix = cut(seen.where(length > 0).select("key", "rep", "comp", "main", "m", "at", F.explode(F.slice("seen", F.lit(1), length.cast("int"))).alias("c")).select("key", "rep", "comp", "main", "m", "at", "c.code", "c.seen"), "prefixes")
-        apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.comp") == F.col("a.main")) | (F.col("a.rep") < F.col("b.rep")))
-        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in place]
-        met = prefix.alias("a").join(prefix.where("comp <> main").alias("b"), reduce(lambda x, y: x & y, same) & apart)
-        return met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
+        tokens = cut(self.texts.join(members.select("rep"), "rep").mapInArrow(_tokens, "rep long, m int, n long, h long"), "k-mers")
+        shared = tokens.groupBy("m", "h").agg(F.count("*").alias("seen")).where("seen > 1")
+        some = tokens.join(shared, ["m", "h"])
+        place = F.row_number().over(Window.partitionBy("rep", "m").orderBy("seen", "h"))
+        alone = F.col("n") - F.count("*").over(Window.partitionBy("rep", "m"))
+        # a bit more than the threshold asks for, against rounding
+        most = F.col("n") - F.ceil(F.col("n") * (self.threshold - 1e-9)) + 1
+        prefix = cut(some.withColumn("place", place).withColumn("alone", alone).where(F.col("place") + F.col("alone") <= most).select("rep", "m", "h"), "prefixes")
+        known = prefix.join(members, "rep").join(self.sketches, F.col("rep") == F.col("id")).select("rep", "comp", "m", "h", *MEASURED)
+        met = known.alias("a").join(known.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & _alike("a", "b", self.threshold))
+        return cut(met.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct(), "met")
+
+
+def _tokens(batches):
+    """(rep, measure, number of its k-mers, k-mer) of texts: the different ones, and all labelled ones where these are more."""
+    for batch in batches:
+        for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            labelled, different = kmers(text)
+            for m, values in enumerate([different, labelled][: 1 + (len(labelled) > len(different))]):
+                for at in range(0, len(values), BLOCK):
+                    part = values[at : at + BLOCK].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(np.full(len(part), m, np.int32)), pa.array(np.full(len(part), len(values))), pa.array(part)], ["rep", "m", "n", "h"])
 
 
 def text_hashes(text: str) -> tuple[Column, Column]:

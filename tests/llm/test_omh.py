@@ -201,7 +201,7 @@ def test_a_shared_passage_costs_rows_in_proportion(spark, documents, monkeypatch
         rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), "s") for i in range(n)]
         pairs = []
         cut = omh.cut
-        monkeypatch.setattr(omh, "cut", lambda df, label: (out := cut(df, label), pairs.append(out.count()) if label in ("met", "pairs") else None)[0])
+        monkeypatch.setattr(omh, "cut", lambda df, label: (out := cut(df, label), pairs.append(out.count()) if label in ("met", "pairs", "prefixes") else None)[0])
         assert near_duplicates(documents(rows)).where("kept").count() == n
         monkeypatch.setattr(omh, "cut", cut)
         met[n] = sum(pairs)

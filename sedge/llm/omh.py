@@ -40,8 +40,8 @@ BLOCK = 65_536
 SAMPLED = 256
 #: How far below the threshold the similarity of what is kept may be: for all k-mers, as short codes may coincide, and for a share of them, 4.5 deviations.
 SLACK_WHOLE, SLACK_SAMPLED = 0.01, 0.15
-#: Members outside a bucket's largest component that are compared with every other member.
-FEW = 64
+#: Members outside a bucket's largest component that are compared with every other member, so that a member costs as many comparisons at most.
+FEW = 2_048
 STAR_ROUNDS = 2
 
 _rng = np.random.default_rng(20)

@@ -174,7 +174,7 @@ def test_repeated_passages_count_as_often_as_they_are_said(spark, documents):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()} == want
 
 
-@pytest.mark.parametrize("few", [64, 2])
+@pytest.mark.parametrize("few", [2048, 64, 2])
 def test_large_buckets(spark, documents, monkeypatch, few):
     """Buckets of any size give the same classes, also where texts of several lengths share a passage, and some of them are copies."""
     monkeypatch.setattr("sedge.llm.omh.FEW", few)
@@ -194,6 +194,7 @@ def test_a_shared_passage_costs_rows_in_proportion(spark, documents, monkeypatch
     """Texts that share a passage, but are no copies, meet in linear numbers."""
     from sedge.llm import omh
 
+    monkeypatch.setattr(omh, "FEW", 64)
     met = {}
     for n in (400, 1600):
         rng = random.Random(8)

@@ -43,12 +43,12 @@ def chunk_documents(documents: DataFrame, config: ChunkConfig = ChunkConfig(), s
 def build_graph(chunks: DataFrame, documents: DataFrame, extractor: Extractor, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, edges, episodes): what the chunks say, merged into ``entities``; episodes has counts and errors by chunk.
 
-    Chunks are taken in order of source and index, whatever their place in the cluster. A chunk that fails is recorded and skipped.
+    Chunks are taken in order of source, document and index, whatever their place in the cluster. A chunk that fails is recorded and skipped.
     """
     sources = documents.select(F.col("id").alias("document_id"), F.col("source").alias("source_doc"))
     read = parse_replies(extract(chunks.select("document_id", "chunk_index", "content", "created_at"), extractor))
     read = cut(read.join(sources, "document_id").select("document_id", "chunk_index", "source_doc", F.col("chunk_index").cast("string").alias("chunk_id"), "created_at", "entities", "relationships", "error"), "episodes")
-    episodes = read.withColumn("ord", F.struct("source_doc", "chunk_index"))
+    episodes = read.withColumn("ord", F.struct("source_doc", "document_id", "chunk_index"))
     records = entity_records(episodes)
     # as many entities as records are sent for a chunk: its own names and those of relationship ends, once each
     sent = records.groupBy("ord").agg(F.count("*").alias("sent"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sedge.functions import text as X
-from sedge.functions.chunking import ChunkConfig, chunk_column, fixed_stride, pieces_column
+from sedge.functions.chunking import STRUCTURE, ChunkConfig, chunk_column, fixed_stride, pieces_column
 from sedge.functions.vectors import clamp, cosine_to
 from sedge.operators import consolidate, embedding, graph, retrieval, sessions
 from sedge.operators.store import cascade
@@ -276,12 +276,69 @@ def _chunked(spark, sf_dir, simple):
     return rows.select("doc_id", "c.*")
 
 
-@query()
+#: Paragraphs, cut behind sentence ends where they are above 1000 characters; parts joined up to that; where each chunk is, in turn.
+W_SQL = r"""WITH RECURSIVE q AS (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) AS p, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) AS nth FROM documents),
+r AS (SELECT doc_id, nth, trim(p, @ws) AS text, 0::BIGINT AS start, 0 AS i FROM q WHERE trim(p, @ws) <> ''
+  UNION ALL SELECT doc_id, nth, text, greatest(cut(text, start) - 200, start + 1), i + 1 FROM r WHERE start + 1000 < length(text)),
+parts AS (SELECT doc_id, nth, i, trim(CASE WHEN start + 1000 >= length(text) THEN substr(text, start + 1) ELSE substr(text, start + 1, cut(text, start) - start) END, @ws) AS part FROM r),
+packed AS (SELECT doc_id, list_reduce(list({'done': []::VARCHAR[], 'held': part} ORDER BY nth, i),
+  lambda a, x: CASE WHEN a.held = '' THEN {'done': a.done, 'held': x.held} WHEN length(a.held) + 2 + length(x.held) <= 1000 THEN {'done': a.done, 'held': a.held || chr(10) || chr(10) || x.held} ELSE {'done': list_append(a.done, a.held), 'held': x.held} END,
+  {'done': []::VARCHAR[], 'held': ''}) AS s FROM parts WHERE part <> '' GROUP BY doc_id),
+pieces AS (SELECT doc_id, CASE WHEN s.held <> '' THEN list_append(s.done, s.held) ELSE s.done END AS ps FROM packed),
+found AS (SELECT doc_id, ps, list_reduce(list_transform(ps, lambda p: {'seen': 0::BIGINT, 'trues': []::BIGINT[], 'first': string_split(p, chr(10) || chr(10))[1]}),
+  lambda a, x: {'seen': greatest(a.seen, CASE WHEN strpos(substr(text, a.seen + 1), x.first) = 0 THEN -1 ELSE a.seen + strpos(substr(text, a.seen + 1), x.first) - 1 END),
+                'trues': list_append(a.trues, CASE WHEN strpos(substr(text, a.seen + 1), x.first) = 0 THEN -1 ELSE a.seen + strpos(substr(text, a.seen + 1), x.first) - 1 END), 'first': ''},
+  {'seen': 0::BIGINT, 'trues': []::BIGINT[], 'first': ''}).trues AS trues FROM pieces JOIN documents USING (doc_id)),
+c AS (SELECT doc_id, unnest(ps) AS content, unnest(trues) AS true_start, generate_subscripts(ps, 1) - 1 AS k FROM found)
+SELECT doc_id, content, k::INT AS index, start::INT AS start_char, (start + length(content))::INT AS end_char, true_start::INT AS true_start, (length(content) // 4)::INT AS token_count, 'simple' AS split_method
+FROM (SELECT *, coalesce(sum(greatest(0, length(content) - 200)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c)"""
+#: The cut behind the last sentence end in the 200 characters up to the one at start + 1000.
+CUT_WIDE = r"(CASE WHEN regexp_matches(substr(text, start + 802, 200), '[.!?\n]') THEN start + 1002 - strpos(regexp_replace(reverse(substr(text, start + 802, 200)), '[.!?\n]', chr(1)), chr(1)) ELSE start + 1000 END)"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(W_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS))
 def chunk_simple_pack(spark, sf_dir):
     return _chunked(spark, sf_dir, True)
 
 
-@query()
+def _sections(k: int, pattern: str) -> str:
+    """Sections split once more, in order; the separators are sections too."""
+    pattern = pattern.replace("'", "''")
+    parts = f"string_split(regexp_replace(s, '({pattern})', chr(1) || '\\1' || chr(1), 'gms'), chr(1))"
+    return f"s{k} AS (SELECT doc_id, list_append(nth, i) AS nth, s FROM (SELECT doc_id, nth, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS i FROM s{k - 1}) WHERE trim(s, @ws) <> '')"
+
+
+#: Sections by each boundary in turn; runs of sections up to 2000 are joined up to 1000, longer ones cut behind sentence ends, pieces below 100 left out;
+#: texts up to 1000, and those that leave no piece, are cut behind sentence ends as a whole.
+M_SQL = (
+    """WITH RECURSIVE s0 AS (SELECT doc_id, []::BIGINT[] AS nth, text AS s FROM documents WHERE length(text) > 1000 AND trim(text, @ws) <> ''), """
+    + ", ".join(_sections(k, pattern) for k, pattern in enumerate(STRUCTURE, 1))
+    + f""", sections AS (SELECT doc_id, s, row_number() OVER w AS n, length(s) > 2000 AS long, count(*) FILTER (length(s) > 2000) OVER (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS run
+  FROM s{len(STRUCTURE)} WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
+runs AS (SELECT doc_id, min(n) AS n, list_reduce(list({{'done': []::VARCHAR[], 'held': s}} ORDER BY n),
+  lambda a, x: CASE WHEN a.held = '' THEN {{'done': a.done, 'held': x.held}} WHEN length(a.held) + 2 + length(x.held) <= 1000 THEN {{'done': a.done, 'held': a.held || chr(10) || chr(10) || x.held}} ELSE {{'done': list_append(a.done, a.held), 'held': x.held}} END,
+  {{'done': []::VARCHAR[], 'held': ''}}) AS s FROM sections WHERE NOT long GROUP BY doc_id, run),
+joined AS (SELECT doc_id, n, generate_subscripts(ps, 1) AS i, trim(unnest(ps), @ws) AS piece FROM (SELECT doc_id, n, list_append(s.done, s.held) AS ps FROM runs)),
+r AS (SELECT doc_id, n, s AS text, 0::BIGINT AS start, 1 AS i FROM sections WHERE long UNION ALL SELECT doc_id, n, text, greatest(cut(text, start) - 200, start + 1), i + 1 FROM r WHERE start + 1000 < length(text)),
+made AS (SELECT * FROM joined UNION ALL SELECT doc_id, n, i, CASE WHEN start + 1000 >= length(text) THEN substr(text, start + 1) ELSE substr(text, start + 1, cut(text, start) - start) END FROM r),
+semantic AS (SELECT doc_id, list(piece ORDER BY n, i) AS ps FROM made WHERE length(trim(piece, @ws)) >= 100 GROUP BY doc_id),
+t AS (SELECT doc_id, text, 0::BIGINT AS start, 1 AS i FROM documents WHERE trim(text, @ws) <> '' AND doc_id NOT IN (SELECT doc_id FROM semantic)
+  UNION ALL SELECT doc_id, text, greatest(cut(text, start) - 200, start + 1), i + 1 FROM t WHERE start + 1000 < length(text)),
+simple AS (SELECT doc_id, list(CASE WHEN start + 1000 >= length(text) THEN substr(text, start + 1) ELSE substr(text, start + 1, cut(text, start) - start) END ORDER BY i) AS ps FROM t GROUP BY doc_id),
+every AS (SELECT doc_id, ps, 'semantic' AS how FROM semantic UNION ALL SELECT doc_id, ps, 'simple' FROM simple),
+found AS (SELECT doc_id, how, ps, list_reduce(list_transform(ps, lambda p: {{'pos': 0::BIGINT, 'seen': 0::BIGINT, 'starts': []::BIGINT[], 'trues': []::BIGINT[], 'p': p}}),
+  lambda a, x: {{'pos': CASE WHEN strpos(substr(text, a.pos + 1), x.p) = 0 THEN a.pos ELSE a.pos + strpos(substr(text, a.pos + 1), x.p) - 1 END + length(x.p),
+                'seen': greatest(a.seen, CASE WHEN strpos(substr(text, a.seen + 1), x.p) = 0 THEN 0 ELSE a.seen + strpos(substr(text, a.seen + 1), x.p) END),
+                'starts': list_append(a.starts, CASE WHEN strpos(substr(text, a.pos + 1), x.p) = 0 THEN a.pos ELSE a.pos + strpos(substr(text, a.pos + 1), x.p) - 1 END),
+                'trues': list_append(a.trues, CASE WHEN strpos(substr(text, a.seen + 1), x.p) = 0 THEN -1 ELSE a.seen + strpos(substr(text, a.seen + 1), x.p) - 1 END), 'p': ''}},
+  {{'pos': 0::BIGINT, 'seen': 0::BIGINT, 'starts': []::BIGINT[], 'trues': []::BIGINT[], 'p': ''}}) AS f FROM every JOIN documents USING (doc_id)),
+c AS (SELECT doc_id, how, unnest(ps) AS piece, unnest(f.starts) AS start, unnest(f.trues) AS true_start, generate_subscripts(ps, 1) - 1 AS k FROM found)
+SELECT doc_id, trim(piece, @ws) AS content, k::INT AS index, start::INT AS start_char, (start + length(piece))::INT AS end_char, true_start::INT AS true_start, (length(trim(piece, @ws)) // 4)::INT AS token_count, how AS split_method FROM c"""
+)
+
+
+@query(M_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS))
 def chunk_semantic(spark, sf_dir):
     return _chunked(spark, sf_dir, False)
 
@@ -606,17 +663,25 @@ def embed_dedup(spark, sf_dir):
     return done.agg(F.count("*").alias("rows"), F.countDistinct("k", "v").alias("vectors"))
 
 
-@query("WITH " + P_SQL.format(step=800, size=1000) + """, c AS (SELECT doc_id, count(*) AS k FROM p GROUP BY doc_id)
-SELECT count(*) AS documents, sum(k)::BIGINT AS chunks_created, sum(k)::BIGINT AS episodes_created, sum(2 * k)::BIGINT AS entities_extracted, sum(k)::BIGINT AS relationships_created, 0::BIGINT AS errors FROM documents JOIN c USING (doc_id)""")
+@query(f"""SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks_created, count(*) AS episodes_created, (2 * count(*))::BIGINT AS entities_extracted, count(*)::BIGINT AS relationships_created, 0::BIGINT AS errors
+FROM ({W_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS)})""")
 def ingest_rollup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    pieces = d.select("doc_id", F.posexplode(fixed_stride(F.col("text"), 1000, 200)).alias("chunk_index", "content"))
-    chunks = pieces.select(F.col("doc_id").alias("document_id"), "chunk_index")
-    told = chunks.select("document_id", F.lit(2).alias("entities_found"), F.lit(1).alias("relationships_found"), F.lit(None).cast("string").alias("error"))
-    return ingest.rollup(ingest.document_results(d.select(F.col("doc_id").alias("id"), F.lit("t").alias("title")), chunks, told))
+    """Chunks of all documents, each an episode that names one entity and links it to one that it does not declare."""
+    docs = cut(documents(spark, sf_dir), "documents")
+    chunks = cut(ingest.chunk_documents(docs, ChunkConfig(), simple=True), "chunks")
+    reply = '{"entities": [{"name": "Length %d"}], "relationships": [{"subject": "Reader", "predicate": "read", "object": "Length %d", "fact": "read"}]}'
+    episodes = ingest.build_graph(chunks, docs, lambda text: reply % (len(text), len(text)))[2]
+    return ingest.rollup(ingest.document_results(docs, chunks, episodes))
+
+
+#: The same with chunks of 1500 and an overlap of 250, as rows of the store.
+I_SQL = M_SQL.replace("cut(text, start)", CUT_WIDE.replace("start + 802", "start + 1302").replace("start + 1002", "start + 1502")).replace("start + 1000", "start + 1500").replace("> 1000", "> 1500").replace("<= 1000", "<= 1500").replace("- 200", "- 250").replace("@ws", BLANKS)
 
 
-@query()
+@query(f"""SELECT sha256(doc_id || '|' || index) AS id, doc_id AS document_id, index AS chunk_index, token_count,
+  to_json({{'chunk_method': 'semantic', 'end_char': end_char, 'lang': lang, 'n_chars': n_chars, 'source': source, 'split_method': split_method, 'start_char': start_char,
+           'title': string_split(text, chr(10))[1], 'total_chunks': count(*) OVER (PARTITION BY doc_id), 'true_start': true_start}})::VARCHAR AS metadata
+FROM ({I_SQL}) JOIN documents USING (doc_id)""")
 def ingest_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return ingest.chunk_documents(docs, ChunkConfig(1500, 250)).select("id", "document_id", "chunk_index", "token_count", "metadata")

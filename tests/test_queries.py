@@ -22,6 +22,24 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
+def test_what_the_subpackage_needs_is_not_swallowed(tmp_path):
+    """Only the subpackage and the pipeline may be missing; another module that is not there is an error."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.exists(f"{root}/corpus_pipeline.py"):
+        pytest.skip("the pipeline is left out")
+    shutil.copytree(f"{root}/sedge", tmp_path / "sedge", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    (tmp_path / "public_tokenizers.py").write_text("import a_module_that_is_not_there")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert done.returncode and "a_module_that_is_not_there" in done.stderr
+
+
 def test_extraction_reads_whole_texts(spark, tmp_path):
     texts = [" ".join(["1"] * 30 + ["alpha", "beta", "gamma."]), " ".join(["word"] * 40), "one two", "a b c d e f g h i j a b", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

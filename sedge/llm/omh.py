@@ -242,7 +242,14 @@ def _alike(a: str, b: str, threshold: float) -> Column:
 
     different, labelled = (close(x, y) for x, y in zip(_measures(f"{a}."), _measures(f"{b}.")))
     repeats = F.col(f"{a}.all_n").isNotNull() | F.col(f"{b}.all_n").isNotNull()
-    return different | (repeats & labelled)
+    # each different k-mer that only one of them has takes one of its labelled ones at least; known for all where samples are whole
+    whole = (F.col(f"{a}.level") == 0) & (F.col(f"{b}.level") == 0)
+    in_both = F.size(F.array_intersect(_masked(F.col(f"{a}.codes")), _masked(F.col(f"{b}.codes"))))
+    (n, _, _), (all_n, _, _) = _measures(f"{a}.")
+    (m, _, _), (all_m, _, _) = _measures(f"{b}.")
+    most, least = F.least(all_n - n, all_m - m) + in_both, threshold - SLACK_WHOLE
+    possible = ~whole | (most * (1 + least) >= least * (all_n + all_m))
+    return different | (repeats & labelled & possible)
 
 
 class _Search:

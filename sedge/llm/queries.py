@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sedge.llm.bpe import roundtrip
 from sedge.llm.chat import chat_digest, format_chat, to_turns
 from sedge.llm.lines import dedup_lines
+from sedge.llm.merkle import fold, leaf, merkle_paths, proof_digest
 from sedge.llm.mixing import mix_sources
+from sedge.llm.negatives import hard_negatives
 from sedge.llm.omh import near_duplicates
 from sedge.llm.pq import near_vectors
 from sedge.llm.quality import host_quality
@@ -156,6 +158,63 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authentication paths of all documents; those whose id's checksum 3 divides are tampered with, and found out."""
+    values = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    lowered = F.translate("text", LETTERS, LETTERS.lower())
+    seen = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(*{**values, "text": lowered}.values())).otherwise(leaf(*values.values()))
+    found = merkle_paths(table(spark, sf_dir, "documents"), seen=seen)
+    folded = found.withColumn("folded_root", fold(F.col("seen"), F.col("path")))
+    return folded.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: Levels of the groups' trees, then of the tree of their roots; what stands left and right of every node; steps of all leaves in order, folded.
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT *, row_number() OVER () AS rid, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_concat([xor(a, c)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM documents),
+d AS (SELECT rid, doc_id, lang, {_LEAF.format("text")} AS leaf, CASE WHEN crc % 3 = 0 THEN {_LEAF.format(f"translate(text, '{LETTERS}', '{LETTERS.lower()}')")} ELSE {_LEAF.format("text")} END AS seen FROM crc),
+p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+low AS (SELECT tree, 0 AS level, place, n, leaf AS h FROM p
+  UNION ALL SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY tree, level, place // 8, n),
+sub AS (SELECT tree, h FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, tree AS place, count(*) OVER () AS n, h FROM sub
+  UNION ALL SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY level, place // 8, n),
+nodes AS (SELECT 0 AS part, tree, level, place, h FROM low WHERE n > 1 UNION ALL SELECT 1, 0, level, place, h FROM high WHERE n > 1),
+sides AS (SELECT a.part, a.tree, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM nodes a JOIN nodes b ON a.part = b.part AND a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 GROUP BY ALL),
+steps AS (SELECT rid, 0 AS part, level, l, r FROM p JOIN sides s ON s.part = 0 AND s.tree = p.tree AND s.place = p.place // (8 ** s.level)::BIGINT
+  UNION ALL SELECT rid, 1, level, l, r FROM p JOIN sides s ON s.part = 1 AND s.place = p.tree // (8 ** s.level)::BIGINT),
+folded AS (SELECT p.rid, sha256(coalesce(string_agg(l || r, '' ORDER BY part, level), '')) AS proof,
+  list_reduce(list_prepend({{'l': '', 'r': '', 'h': any_value(seen)}}, coalesce(list({{'l': l, 'r': r, 'h': ''}} ORDER BY part, level) FILTER (l IS NOT NULL), [])), lambda a, x: {{'l': '', 'r': '', 'h': sha256(x.l || a.h || x.r)}}).h AS h
+  FROM p LEFT JOIN steps USING (rid) GROUP BY p.rid)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, proof AS proof_sha256, folded.h AS folded_root, folded.h = root.h AS verified
+FROM p JOIN sub USING (tree) JOIN folded USING (rid), (SELECT h FROM high WHERE n = 1) AS root
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, among all; every seventh label is moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
@@ -167,6 +226,8 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_host_quality": op9_host_quality,
     "op10_order_minhash": op10_order_minhash,
+    "op12_merkle": op12_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -176,4 +237,6 @@ ORACLE: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_sharding": OP8_SQL,
     "op9_host_quality": OP9_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

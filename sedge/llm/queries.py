@@ -17,6 +17,7 @@ from sedge.llm.omh import near_duplicates
 from sedge.llm.pq import near_vectors
 from sedge.llm.quality import host_quality
 from sedge.llm.shards import shard
+from sedge.llm.suffix import dedup_substrings
 from sedge.llm.toxicity import score_toxicity, train
 from sedge.llm.warc import read_archives, write_archives
 from sedge.runtime import scratch_path, table
@@ -158,6 +159,26 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that a string of 100 covers which starts earlier too."""
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows; those that a smaller id or the same row has earlier, in runs; what is left between the runs, in hex.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, doc_id, i, b[i + 1 : i + 100] AS s FROM (SELECT *, unnest(range(0, n - 99)) AS i FROM d)),
+c AS (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least, min(i) OVER (PARTITION BY s, rid) AS first FROM w),
+g AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 100, true) AS new FROM c WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL) OR first < i),
+r AS (SELECT rid, min(i) AS a, max(i) + 100 AS z FROM (SELECT *, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM g) GROUP BY rid, run),
+k AS (SELECT rid, b, z AS a, lead(a, 1, n) OVER (PARTITION BY rid ORDER BY z) AS z FROM (SELECT d.rid, b, n, 0 AS a, 0 AS z FROM d UNION ALL SELECT d.rid, b, n, r.a, r.z FROM d JOIN r USING (rid)))
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, kept AS kept_sha256
+FROM d LEFT JOIN (SELECT rid, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY rid) USING (rid)
+JOIN (SELECT rid, sha256(unhex(coalesce(string_agg(CASE WHEN z > a THEN hex(b[a + 1 : z]) ELSE '' END, '' ORDER BY a), ''))) AS kept FROM k GROUP BY rid) USING (rid)
+"""
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -226,6 +247,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_host_quality": op9_host_quality,
     "op10_order_minhash": op10_order_minhash,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle": op12_merkle,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -237,6 +259,7 @@ ORACLE: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_sharding": OP8_SQL,
     "op9_host_quality": OP9_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_merkle": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

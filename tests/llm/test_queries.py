@@ -9,6 +9,6 @@ def test_query(spark, name):
     check_query(spark, QUERIES[name], ORACLE.get(name))
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_is_registered_once(number):
     assert len([n for n in QUERIES if n.startswith(f"op{number}_")]) == 1

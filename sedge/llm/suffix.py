@@ -29,7 +29,7 @@ SHARD = 4 << 20
 #: Samples of a range, all shards together, and bytes of pieces that one task merges, both on average.
 RANGE = 1 << 20
 PIECES = 4 << 20
-#: Pieces of a sample that meet in one task.
+#: Different pieces of a sample that meet in one task.
 HOT = 1 << 15
 KEY_BITS = 48
 #: How a sample is shared: not at all, inside its shard alone, with other shards, with too many.
@@ -209,6 +209,22 @@ def _same_wide(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(*halves) >= length
 
 
+def _different(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, about how many different runs of windows have it) of a shard, sorted: runs differ if their extent or their first, middle or last eight bytes do."""
+    first, last, place, key = samples(text, sizes, length)
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    words = np.ndarray(len(text) - 7, "<u8", text.tobytes(), 0, (1,))
+    run = key.copy()
+    for part in ((last - first) * length + place - first, words[first], words[(first + last + length) // 2 - 4], words[last + length - 8]):
+        run = _mixed(run ^ part.astype(np.uint64)) * ODD
+    at = np.unique(run, return_index=True)[1]
+    keys, counts = np.unique(key[at], return_counts=True)
+    # one run that occurs twice is shared as well
+    total = np.unique(key, return_counts=True)[1]
+    return keys, np.where(total > 1, np.maximum(counts, 2), counts)
+
+
 def _sharded(length: int, most: int):
     """Arrow function: documents to shards with their texts and sorted samples."""
 
@@ -222,7 +238,7 @@ def _sharded(length: int, most: int):
             held.sort(key=lambda x: x[0])
             sizes = np.array([len(t) for _, t in held], np.int64)
             text = b"".join(t for _, t in held)
-            keys, counts = np.unique(samples(np.frombuffer(text, np.uint8), sizes, length)[3], return_counts=True)
+            keys, counts = _different(np.frombuffer(text, np.uint8), sizes, length)
             row = {"shard": [(task << 32) | made], "texts": [zstandard.compress(text, 3)], "ids": [[i for i, _ in held]], "sizes": [sizes], "n_keys": [len(keys)], "n_bytes": [len(text)]}
             row |= {"keys": [_pack(np.diff(keys, prepend=np.uint64(0)))], "counts": [_pack(np.minimum(counts, 65535).astype(np.uint16))]}
             made, held, size = made + 1, [], 0
@@ -424,11 +440,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id: str = "doc_id",
     Earlier is in a row of smaller id, or further left in the same row; strings are judged on the input, not on what is left. ``kept`` is binary, as a run may
     begin inside a character; ``spans`` are the maximal runs removed, in bytes from the row's start. Null text counts as empty. Rows of one id are documents
     of their own, neither of which is earlier, so equal rows keep the same. Rows without an id come after all others, none before another. Texts shorter
-    than ``length`` lose nothing. Other columns are ignored; an empty table gives no rows. ``length`` is at least 4. ``shard`` (bytes) and ``hot`` (pieces of a
+    than ``length`` lose nothing. Other columns are ignored; an empty table gives no rows. ``length`` is at least 8. ``shard`` (bytes) and ``hot`` (pieces of a
     sample) change the work alone.
     """
-    if length < 4:
-        raise ValueError("length must be at least 4")
+    if length < 8:
+        raise ValueError("length must be at least 8")
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     shards = cut(rows.mapInArrow(_sharded(length, shard), "shard long, texts binary, ids array<long>, sizes array<long>, n_keys long, n_bytes long, keys binary, counts binary"), "shards")
     ranges = max(1, -(-(shards.agg(F.sum("n_keys")).first()[0] or 0) // RANGE))

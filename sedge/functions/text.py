@@ -70,6 +70,11 @@ def rank_cover(lexemes: Column, terms: Column) -> Column:
     """
     n = F.size(terms)
     hits = F.filter(F.transform(lexemes, lambda w, i: F.struct(i.alias("p"), F.array_position(terms, w).cast("int").alias("t"))), lambda h: h["t"] > 0)
+    return F.when(n > 0, cover_sum(hits, n)).otherwise(0.0)
+
+
+def cover_sum(hits: Column, n: Column) -> Column:
+    """The sum over the minimal covers of ``n`` terms, from their hits (place p, term t from 1) in order of place."""
     none = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("since"))
 
     def step(acc, h):
@@ -78,7 +83,7 @@ def rank_cover(lexemes: Column, terms: Column) -> Column:
         cover = F.lit(LEXEME_WEIGHT) / (h["p"] - start + 2 - n)
         return F.struct(last.alias("last"), (acc["total"] + F.when(start > acc["since"], cover).otherwise(0.0)).alias("total"), F.greatest(acc["since"], start).alias("since"))
 
-    return F.when(n > 0, F.aggregate(hits, none, step, lambda acc: acc["total"])).otherwise(0.0)
+    return F.aggregate(hits, none, step, lambda acc: acc["total"])
 
 
 def normal_name(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sedge.operators.components import components
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed_missing
 from sedge.operators.graph import entities_with_vectors
-from sedge.operators.store import Store
+from sedge.operators.store import Change, Snapshot, Store
 from sedge.runtime import cut, numbered
 
 THRESHOLD = 0.85
@@ -156,9 +156,19 @@ def consolidate(entities: DataFrame, edges: DataFrame, provider: Provider, confi
 
 
 def consolidate_store(store: Store, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), threshold: float = THRESHOLD, most: int = MOST_IN_GROUP, dry_run: bool = False) -> DataFrame:
-    """Consolidate a store's graph and publish it as one change; return the figures."""
-    entities, edges, figures = consolidate(store.read("entities"), store.read("edges"), provider, config, threshold, most, dry_run)
-    figures = cut(figures, "figures")
-    if not dry_run:
-        store.replace(entities=entities, edges=edges)
-    return figures
+    """Consolidate a store's graph and publish it as one change; return the figures.
+
+    The change is made from one version and published behind it. If another writer has changed the graph by then, it is made again from the new version, so no update is lost.
+    """
+    figures: list[DataFrame] = []
+
+    def build(old: Snapshot) -> Change:
+        entities, edges, found = consolidate(old.read("entities"), old.read("edges"), provider, config, threshold, most, dry_run)
+        figures.append(cut(found, "figures"))
+        return Change() if dry_run else Change(put={"entities": entities, "edges": edges})
+
+    if dry_run:
+        build(store.snapshot())
+    else:
+        store.commit(build)
+    return figures[-1]

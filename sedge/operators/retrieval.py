@@ -113,13 +113,19 @@ def text_scores(text: Column, query: str, analyzer: Analyzer = simple_analyzer)
     return matches(words, terms), F.when(F.size(terms) == 1, rank_one_term(words, F.get(terms, F.lit(0)))).otherwise(rank_cover(words, terms))
 
 
-def hybrid_topk(chunks: DataFrame, documents: DataFrame, query: list[float], text: str, k: int = 10, text_weight: float = 0.3, analyzer: Analyzer = simple_analyzer) -> DataFrame:
+def hybrid_topk(chunks: DataFrame, documents: DataFrame, query: list[float], text: str, k: int = 10, text_weight: float = 0.3, analyzer: Analyzer = simple_analyzer, matches: DataFrame | None = None) -> DataFrame:
     """The k chunks of greatest similarity * (1 - w) + text rank * w; a missing side counts 0.
 
-    Both sides are subsets of the same chunks, so the outer join of the two searches is one scan of the chunks that either takes.
+    Both sides are subsets of the same chunks, so the outer join of the two searches is one scan of the chunks that either takes. With ``matches``(chunk_id, score),
+    what an index found for the text, no text is tokenised.
     """
-    found, ranked = text_scores(F.col("content"), text, analyzer)
-    either = chunks.withColumn("_match", found).where(F.col("embedding").isNotNull() | F.col("_match"))
+    if matches is None:
+        found, ranked = text_scores(F.col("content"), text, analyzer)
+        either = chunks.withColumn("_match", found)
+    else:
+        told = matches.select(F.col("chunk_id").alias("_chunk"), F.col("score").alias("_score"))
+        either, ranked = chunks.join(told, F.col("id") == F.col("_chunk"), "left").withColumn("_match", F.col("_score").isNotNull()), F.col("_score")
+    either = either.where(F.col("embedding").isNotNull() | F.col("_match"))
     vector = F.coalesce(cosine_to(F.col("embedding"), query), F.lit(0.0))
     scored = either.withColumn("vector_similarity", vector).withColumn("text_similarity", F.when(F.col("_match"), ranked).otherwise(0.0))
     combined = F.col("vector_similarity") * (1 - text_weight) + F.col("text_similarity") * text_weight
@@ -186,6 +192,12 @@ def document_summaries(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("id", "title", "source", "created_at", "updated_at", "metadata", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "avg_tokens_per_chunk", "total_tokens")
 
 
+def kept_summaries(documents: DataFrame, totals: DataFrame) -> DataFrame:
+    """The same from sums that a store kept (``Snapshot.totals``), so that no chunk is read."""
+    joined = documents.join(totals, F.col("id") == F.col("document_id"), "left")
+    return joined.select("id", "title", "source", "created_at", "updated_at", "metadata", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "avg_tokens_per_chunk", "total_tokens")
+
+
 def document_chunks(chunks: DataFrame, document_id) -> DataFrame:
     """A document's chunks in order; none for an unknown id."""
     return chunks.where(F.col("document_id") == document_id).orderBy("chunk_index").select(F.col("id").alias("chunk_id"), "content", "chunk_index", "metadata")

@@ -1,17 +1,28 @@
-"""A store of versioned parquet tables: inserts, cascades and clearing, each published as one new version.
+"""A store of versioned parquet tables that is written by the change and merged when it is read.
 
-A table is rewritten or appended beside its old files. A version is a small file that lists the files of all tables; it appears by a rename that
-fails if there is one of its number, so of two writers one publishes and the other makes its change again from the new version. Readers see a
-change whole or not at all.
+A change adds folders beside what is there: new rows, and keys whose earlier rows are gone. Rows and keys are dealt into buckets by the table's key, so a
+reader that knows its keys opens their buckets alone, and a bucket can be merged without the others. A version is a small file that lists the folders
+of all tables, each with the number of the version it came with; keys of version s take away rows of versions before s. It appears by a rename
+that fails if there is one of its number, so of two writers one publishes. The other publishes its folders as they are on top of the new version, or,
+if it had read a table that has changed since, makes its change again from the new version. Readers see a change whole or not at all, and a version they
+hold stays as it is until it is vacuumed.
+
+Sums by document follow each change of the chunks by its own rows, and so do the postings of a store that has an analyzer.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from sedge.functions.text import Analyzer
+from sedge.operators import postings as P
 
 DOCUMENTS = "id string not null, title string not null, source string not null, content string not null, metadata string, created_at timestamp, updated_at timestamp"
 CHUNKS = "id string not null, document_id string not null, content string not null, embedding array<float>, chunk_index int not null, metadata string, token_count int, created_at timestamp"
@@ -19,18 +30,95 @@ SESSIONS = "id string not null, user_id string, metadata string, created_at time
 MESSAGES = "id string not null, session_id string not null, role string not null, content string not null, metadata string, created_at timestamp"
 ENTITIES = "name_key string not null, name string, type string, summary string, name_embedding array<float>, source_doc string, created_at timestamp"
 EDGES = "src_key string not null, dst_key string not null, fact string, predicate string, source_doc string, chunk_id string, created_at timestamp"
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "sessions": SESSIONS, "messages": MESSAGES, "entities": ENTITIES, "edges": EDGES}
+#: Parts of sums by document: chunks, chunks with a number of tokens, and those numbers' sum.
+TOTALS = "document_id string not null, chunks long not null, counted long not null, tokens long"
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "sessions": SESSIONS, "messages": MESSAGES, "entities": ENTITIES, "edges": EDGES, "totals": TOTALS, "postings": P.POSTINGS}
+#: The column that deals a table's rows into buckets, and by whose values they are deleted. Postings are dealt by lexeme and deleted by document.
+KEYS = {"documents": "id", "chunks": "document_id", "sessions": "id", "messages": "session_id", "entities": "name_key", "edges": "source_doc", "totals": "document_id", "postings": "lexeme"}
 GRAPH = ("entities", "edges")
-#: Times that a change is made again because another writer was first.
+#: Tables that follow the chunks.
+DERIVED = ("totals", "postings")
+#: Child table by the parent whose id its key names.
+CHILDREN = {"documents": "chunks", "sessions": "messages"}
+#: Times that a change is published again because another writer was first.
 TRIES = 20
-#: Child table, its column, and the parent table whose id it names.
-REFERENCES = (("chunks", "document_id", "documents"), ("messages", "session_id", "sessions"))
+BUCKETS = 8
+#: Folders of a bucket that are left beside one another.
+MOST_FOLDERS = 8
+#: A folder this many times smaller than the bucket's largest is merged with its like, not with that.
+TIER = 4
+
+
+@dataclass
+class Change:
+    """Rows to ``add``, tables to ``put`` in place of what there is, ids (column ``id``) whose rows to ``drop`` first, and tables to ``empty``."""
+
+    add: dict[str, DataFrame] = field(default_factory=dict)
+    put: dict[str, DataFrame] = field(default_factory=dict)
+    drop: dict[str, DataFrame] = field(default_factory=dict)
+    empty: Iterable[str] = ()
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+class Snapshot:
+    """The tables of one version. It remembers which of them were read."""
+
+    def __init__(self, store: Store, version: int, pointer: dict):
+        self.store, self.version, self.pointer, self.seen = store, version, pointer, set()
+
+    def entries(self, name: str, kind: str) -> list[dict]:
+        return self.pointer.get("tables", {}).get(name, {}).get(kind, [])
+
+    def parts(self, name: str, keys: list | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(rows with ``_seq``, the version they came with or a later one that deletes no more of them; deleted keys (key, deleted_at), None if there are none), of the buckets of ``keys``."""
+        self.seen.add(name)
+        buckets = None if keys is None else self.store.buckets_of(keys, self.pointer)
+        deletes = sorted({e["seq"] for e in self.entries(name, "deletes")})
+        # rows that the same deletions come after are read at once
+        epochs: dict[int, list[str]] = {}
+        for e in self.entries(name, "data"):
+            until = next((d - 1 for d in deletes if d > e["seq"]), deletes[-1] if deletes else 0)
+            epochs.setdefault(until, []).extend(self.store.bucket_paths(e, buckets))
+        kind = self.store.schema(name)
+        read = [self.store.spark.read.schema(kind).parquet(*paths).withColumn("_seq", F.lit(seq).cast("long")) for seq, paths in sorted(epochs.items()) if paths]
+        rows = reduce(DataFrame.unionByName, read) if read else self.store.spark.createDataFrame([], kind).withColumn("_seq", F.lit(0).cast("long"))
+        # postings are deleted by document, which has nothing to do with their buckets
+        gone = [(e["seq"], paths) for e in self.entries(name, "deletes") if (paths := self.store.bucket_paths(e, None if name == "postings" else buckets))]
+        if not gone:
+            return rows, None
+        keys_gone = reduce(DataFrame.unionByName, [self.store.spark.read.schema("key string").parquet(*paths).withColumn("deleted_at", F.lit(seq).cast("long")) for seq, paths in gone])
+        return rows, keys_gone.groupBy("key").agg(F.max("deleted_at").alias("deleted_at"))
+
+    def read(self, name: str, keys: list | None = None) -> DataFrame:
+        """The rows of a table; with ``keys`` those of the keys' buckets alone, which hold all rows of these keys and others."""
+        rows, gone = self.parts(name, keys)
+        return _alive(rows, gone, KEYS[name]).drop("_seq")
+
+    def totals(self) -> DataFrame:
+        """(document_id, chunk_count, avg_tokens_per_chunk, total_tokens) of documents that have chunks, from the sums that were kept with every change."""
+        sums = self.read("totals").groupBy("document_id").agg(F.sum("chunks").alias("chunk_count"), F.sum("counted").alias("_counted"), F.sum("tokens").alias("total_tokens"))
+        return sums.select("document_id", "chunk_count", F.when(F.col("_counted") > 0, F.col("total_tokens") / F.col("_counted")).alias("avg_tokens_per_chunk"), "total_tokens")
+
+
+def _alive(rows: DataFrame, gone: DataFrame | None, key: str) -> DataFrame:
+    """Rows that no later version deleted."""
+    if gone is None:
+        return rows
+    kept = rows.join(gone, F.col(key) == F.col("key"), "left").where(F.col("deleted_at").isNull() | (F.col("deleted_at") <= F.col("_seq")))
+    return kept.drop("key", "deleted_at")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    """``buckets`` holds for a store's first version and is kept from then on. With an ``analyzer`` chunks are indexed by their lexemes; every writer has to name the same."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, analyzer: Analyzer | None = None):
         self.spark, self.root, self.jvm = spark, root.rstrip("/"), spark.sparkContext._jvm
-        self._staged: list[str] = []
+        self.buckets, self.analyzer = buckets, analyzer
+
+    # Files
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -44,14 +132,14 @@ class Store:
             return []
         return sorted(int(n[1:-5]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("v") and n.endswith(".json"))
 
-    def _pointer(self, version: int | None = None) -> tuple[int, dict[str, list[str]]]:
-        """(version, files of each table), of the latest version if none is named."""
+    def _pointer(self, version: int | None = None) -> tuple[int, dict]:
+        """(version, its lists), of the latest version if none is named."""
         version = max(self.versions(), default=0) if version is None else version
         if version == 0:
-            return 0, {}
+            return 0, {"buckets": self.buckets, "tables": {}}
         return version, json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/versions/v{version:08d}.json", wholetext=True).collect()))
 
-    def _publish(self, base: int, pointer: dict[str, list[str]]) -> bool:
+    def _publish(self, base: int, pointer: dict) -> bool:
         """Make ``pointer`` the version after ``base``; False if another writer was first."""
         fs, draft, target = self._fs(), self._path(f"versions/draft-{uuid.uuid4().hex}"), self._path(f"versions/v{base + 1:08d}.json")
         fs.mkdirs(self._path("versions"))
@@ -70,88 +158,255 @@ class Store:
             raise
         return True
 
-    def _change(self, build: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
-        """Publish what ``build`` makes of the latest version's files; build again if another writer was first. What is not published is removed."""
-        for _ in range(TRIES):
-            base, pointer = self._pointer()
-            self._staged = []
-            try:
-                if self._publish(base, build(pointer)):
-                    return
-            except BaseException:
-                self._drop(self._staged)
-                raise
-            self._drop(self._staged)
-        raise RuntimeError(f"other writers were first {TRIES} times")
-
-    def _drop(self, paths: list[str]) -> None:
-        for path in paths:
-            self._fs().delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
-
-    def _files(self, name: str, paths: list[str]) -> DataFrame:
-        kind = self.schema(name)
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+    def buckets_of(self, keys: list, pointer: dict) -> set[int]:
+        """The buckets of a few known keys."""
+        rows = self.spark.createDataFrame([(str(k),) for k in keys], "key string")
+        return {r[0] for r in rows.select(bucket_of(F.col("key"), pointer["buckets"])).collect()}
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self._files(name, self._pointer(version)[1].get(name, []))
+    def bucket_paths(self, entry: dict, buckets: set[int] | None) -> list[str]:
+        return [f"{self.root}/{entry['path']}/bucket={b}" for b in entry["bytes"] if buckets is None or int(b) in buckets]
 
     @staticmethod
     def schema(name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name])
 
-    def _stage(self, name: str, df: DataFrame) -> str:
-        """Write rows in the table's shape; a null in a column that must have a value fails the write."""
+    def _write(self, name: str, df: DataFrame, key: str, buckets: int) -> dict:
+        """A new folder of ``df`` by buckets: its path, and the bytes of each bucket."""
+        path = f"{name}/{uuid.uuid4().hex}"
+        dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).hint("rebalance", "bucket")
+        if name == "postings":
+            dealt = dealt.sortWithinPartitions("bucket", "lexeme", "block")  # so that row groups can be told by their lexemes
+        dealt.write.partitionBy("bucket").option("parquet.writer.version", "v2").parquet(f"{self.root}/{path}")
+        fs = self._fs()
+        found = [s.getPath() for s in fs.listStatus(self._path(path)) if s.isDirectory()]
+        return {"path": path, "bytes": {p.getName().split("=")[1]: fs.getContentSummary(p).getLength() for p in found if p.getName().startswith("bucket=")}}
+
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows in the table's shape; a null in a column that must have a value fails the write."""
         columns = []
         for f in self.schema(name).fields:
             c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit("{}" if f.name == "metadata" else None).cast(f.dataType)
             columns.append((c if f.nullable else F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"{name}.{f.name} is null")))).alias(f.name))
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        self._staged.append(path)
-        df.select(*columns).write.parquet(path)
-        return path
+        return df.select(*columns)
 
-    def insert(self, **rows: DataFrame) -> None:
-        """Append to several tables in one published change."""
-        self._change(lambda old: {**old, **{n: [*old.get(n, []), self._stage(n, df)] for n, df in rows.items()}})
+    def _drop(self, staged: list[dict]) -> None:
+        for entry in staged:
+            self._fs().delete(self._path(entry["path"]), True)
 
-    def replace(self, **rows: DataFrame) -> None:
-        """Put new contents in place of several tables in one published change."""
-        self._change(lambda old: {**old, **{n: [self._stage(n, df)] for n, df in rows.items()}})
+    # Changes
 
-    def upsert_documents(self, documents: DataFrame, chunks: DataFrame, **graph: DataFrame) -> None:
-        """Documents with their chunks, in place of those of the same ids, so that reading a file again does not double it.
+    def _staged(self, change: Change, buckets: int, indexed: bool) -> tuple[list[tuple[str, str, dict]], list[str]]:
+        """(table, kind, folder) of everything that a change writes, and the tables that it empties."""
+        empty = [*change.empty, *change.put]
+        if "chunks" in empty:
+            empty += DERIVED
+        folders: list[tuple[str, str, dict]] = []
+        try:
+            for name, ids in change.drop.items():
+                entry = self._write(f"{name}-deletes", ids.select(F.col("id").cast("string").alias("key")).where("key IS NOT NULL").distinct(), "key", buckets)
+                folders.append((name, "deletes", entry))
+                if name == "chunks":
+                    folders += [(d, "deletes", entry) for d in DERIVED if d == "totals" or indexed]
+            for name, df in [*change.put.items(), *change.add.items()]:
+                entry = self._write(name, self._shaped(name, df), KEYS[name], buckets)
+                folders.append((name, "data", entry))
+                if name == "chunks" and (paths := self.bucket_paths(entry, None)):
+                    fresh = self.spark.read.schema(self.schema("chunks")).parquet(*paths)
+                    sums = fresh.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("token_count").alias("counted"), F.sum("token_count").alias("tokens"))
+                    folders.append(("totals", "data", self._write("totals", sums, "document_id", buckets)))
+                    if indexed:
+                        folders.append(("postings", "data", self._write("postings", P.postings(fresh, self.analyzer), "lexeme", buckets)))
+        except BaseException:
+            self._drop([e for _, _, e in folders])
+            raise
+        return folders, empty
+
+    @staticmethod
+    def _applied(pointer: dict, folders: list[tuple[str, str, dict]], empty: list[str], seq: int) -> dict:
+        """``pointer`` after a change: tables emptied, then keys deleted, then rows added."""
+        tables = {n: {k: list(v) for k, v in t.items()} for n, t in pointer["tables"].items() if n not in empty}
+        for name, kind, entry in folders:
+            if entry["bytes"] and not (kind == "deletes" and not tables.get(name, {}).get("data")):  # nothing that could be deleted
+                tables.setdefault(name, {}).setdefault(kind, []).append({**entry, "seq": seq})
+        return {**pointer, "tables": tables}
+
+    def commit(self, build: Callable[[Snapshot], Change]) -> int:
+        """Publish the change that ``build`` makes of a snapshot, and return its version.
 
-        With ``entities`` and ``edges`` these are published in the same change, in place of what there is.
+        If another writer is first, the folders are published on top of its version, unless it changed a table that ``build`` read: then ``build`` is called again. What is not published is removed.
         """
-        ids = documents.select("id").distinct()
+        for _ in range(TRIES):
+            base, pointer = self._pointer()
+            snapshot = Snapshot(self, base, pointer)
+            change = build(snapshot)
+            indexed = pointer.get("indexed", self.analyzer is not None)
+            if indexed and self.analyzer is None and "chunks" in {*change.add, *change.put}:
+                raise ValueError("the store's chunks are indexed; open it with their analyzer")
+            folders, empty = self._staged(change, pointer["buckets"], indexed)
+            try:
+                current = {**pointer, "indexed": indexed}
+                for _ in range(TRIES):
+                    if self._publish(base, self._applied(current, folders, empty, base + 1)):
+                        return base + 1
+                    base, latest = self._pointer()
+                    if any(latest["tables"].get(n) != pointer["tables"].get(n) for n in snapshot.seen) or latest["buckets"] != pointer["buckets"] or latest.get("indexed") != indexed:
+                        break
+                    current = latest
+            except BaseException:
+                self._drop([e for _, _, e in folders])
+                raise
+            self._drop([e for _, _, e in folders])
+        raise RuntimeError(f"other writers were first {TRIES} times")
 
-        def build(old):
-            kept = self._files("documents", old.get("documents", [])).join(ids, "id", "left_anti")
-            rest = self._files("chunks", old.get("chunks", [])).join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-            staged = {"documents": [self._stage("documents", kept), self._stage("documents", documents)], "chunks": [self._stage("chunks", rest), self._stage("chunks", chunks)]}
-            return {**old, **staged, **{n: [self._stage(n, df)] for n, df in graph.items()}}
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        return Snapshot(self, *self._pointer(version))
 
-        self._change(build)
+    def read(self, name: str, version: int | None = None, keys: list | None = None) -> DataFrame:
+        return self.snapshot(version).read(name, keys)
 
-    def delete(self, parent: str, ids: DataFrame) -> None:
-        """Delete rows by id, and the rows of other tables that name them."""
+    def insert(self, **rows: DataFrame) -> int:
+        """Append to several tables in one published change."""
+        return self.commit(lambda _: Change(add=rows))
+
+    def replace(self, **rows: DataFrame) -> int:
+        """Put new contents in place of several tables in one published change. Rows that were made from the store belong into :meth:`commit`."""
+        return self.commit(lambda _: Change(put=rows))
 
-        def build(old):
-            changed = {parent: self._files(parent, old.get(parent, [])).join(ids.select("id"), "id", "left_anti")}
-            for child, column, of in REFERENCES:
-                if of == parent:
-                    changed[child] = cascade(self._files(child, old.get(child, [])), column, ids)
-            return {**old, **{n: [self._stage(n, df)] for n, df in changed.items()}}
+    def upsert_documents(self, documents: DataFrame, chunks: DataFrame) -> int:
+        """Documents with their chunks, in place of those of the same ids, so that reading a file again does not double it."""
+        return self.commit(lambda old: upserted(old, documents, chunks))
 
-        self._change(build)
+    def delete(self, parent: str, ids: DataFrame) -> int:
+        """Delete rows by id, and the rows of other tables that name them."""
+        return self.commit(lambda _: Change(drop={n: ids for n in (parent, CHILDREN.get(parent)) if n}))
 
-    def clear(self, graph: bool = True) -> None:
+    def clear(self, graph: bool = True) -> int:
         """Empty all tables, those of the graph as well unless told otherwise."""
-        self._change(lambda old: {} if graph else {n: p for n, p in old.items() if n in GRAPH})
+        return self.commit(lambda _: Change(empty=everything(graph)))
 
-    def clear_graph(self) -> None:
+    def clear_graph(self) -> int:
         """Empty the graph's tables alone."""
-        self._change(lambda old: {n: p for n, p in old.items() if n not in GRAPH})
+        return self.commit(lambda _: Change(empty=GRAPH))
+
+    # Upkeep
+
+    def compact(self, whole: bool = False, most: int = MOST_FOLDERS) -> bool:
+        """Merge folders of buckets that have more than ``most``, or more than so many of deleted keys; ``whole`` leaves one folder a bucket and no deleted keys.
+
+        Of a bucket's folders those much smaller than its largest are merged with one another, as long as deleted keys are few; so a row is rewritten as often as its folder's size
+        grows by a factor, not with every batch. Other writers go on meanwhile: what they publish stays beside or behind what was merged. False if there was nothing to merge,
+        or what was merged has been replaced in the meantime.
+        """
+        base, pointer = self._pointer()
+        old = Snapshot(self, base, pointer)
+        merged: list[tuple[str, dict, dict[str, set[str]], set[str]]] = []
+        try:
+            for name, table in pointer["tables"].items():
+                chosen, cleared = _chosen(table, most, whole, by_bucket=name != "postings")
+                if not chosen:
+                    continue
+                part = Snapshot(self, base, {**pointer, "tables": {name: {"data": [{**e, "bytes": {b: n for b, n in e["bytes"].items() if b in chosen.get(e["path"], ())}} for e in table["data"]], "deletes": table.get("deletes", [])}}})
+                if name == "postings":
+                    rows = P.regrouped(P.alive(*part.parts(name)))
+                elif name == "totals":
+                    rows = part.read(name).groupBy("document_id").agg(*[F.sum(c).alias(c) for c in ("chunks", "counted", "tokens")])
+                else:
+                    rows = part.read(name)
+                merged.append((name, {**self._write(name, rows, KEYS[name], pointer["buckets"]), "seq": base}, chosen, cleared))
+            now, latest = base, pointer
+            for _ in range(TRIES if merged else 0):
+                tables = _with_merged(latest, merged, base)
+                if tables is None:
+                    return False
+                if self._publish(now, {**latest, "tables": tables}):
+                    merged = []
+                    return True
+                now, latest = self._pointer()
+            return False
+        finally:
+            self._drop([entry for _, entry, _, _ in merged])
+
+    def vacuum(self, keep: int = 1, seconds: float = 3600) -> int:
+        """Delete versions but the last ``keep``, and folders and buckets that none of these names; those younger than ``seconds`` stay, as a writer may be about to publish them. Return how many went."""
+        fs, versions = self._fs(), self.versions()
+        kept = versions[-keep:]
+        named: dict[str, set[str]] = {}
+        for version in kept:
+            for table in self._pointer(version)[1]["tables"].values():
+                for e in [*table.get("data", []), *table.get("deletes", [])]:
+                    named.setdefault(e["path"], set()).update(e["bytes"])
+        for version in versions[: -len(kept)]:
+            fs.delete(self._path(f"versions/v{version:08d}.json"), False)
+        old, went = (time.time() - seconds) * 1000, 0
+        for s in fs.listStatus(self._path("versions")) if kept else []:
+            if s.getPath().getName().startswith("draft-") and s.getModificationTime() <= old:
+                fs.delete(s.getPath(), False)
+        for name in [*TABLES, *(f"{n}-deletes" for n in TABLES)]:
+            for s in fs.listStatus(self._path(name)) if fs.exists(self._path(name)) else []:
+                buckets = named.get(f"{name}/{s.getPath().getName()}")
+                if s.getModificationTime() > old:
+                    continue
+                if buckets is None:
+                    fs.delete(s.getPath(), True)
+                    went += 1
+                    continue
+                for b in fs.listStatus(s.getPath()):
+                    if b.isDirectory() and b.getPath().getName().split("=")[-1] not in buckets:
+                        fs.delete(b.getPath(), True)
+                        went += 1
+        return went
+
+
+def _chosen(table: dict, most: int, whole: bool, by_bucket: bool) -> tuple[dict[str, set[str]], set[str]]:
+    """(buckets to merge of each folder, buckets whose deleted keys are done with then). Postings, whose deleted keys hold for all buckets, are merged all or not at all."""
+    data, deletes = table.get("data", []), table.get("deletes", [])
+    chosen: dict[str, set[str]] = {}
+    cleared: set[str] = set()
+    of_all = {b for e in [*data, *deletes] for b in e["bytes"]}
+    if not by_bucket:
+        if (whole and (len(data) > 1 or deletes)) or len(data) > most or len(deletes) > most:
+            return {e["path"]: set(e["bytes"]) for e in data}, of_all
+        return {}, set()
+    for bucket in of_all:
+        sizes = {e["path"]: e["bytes"][bucket] for e in data if bucket in e["bytes"]}
+        gone = sum(bucket in e["bytes"] for e in deletes)
+        if gone > most or (whole and (gone or len(sizes) > 1)):
+            these = set(sizes)
+        else:
+            small = {p for p, n in sizes.items() if n * TIER <= max(sizes.values())}
+            these = small if len(small) > most else set(sizes) if len(sizes) - len(small) > most else set()
+        if these == set(sizes) and (these or gone):
+            cleared.add(bucket)
+        for path in these:
+            chosen.setdefault(path, set()).add(bucket)
+    return chosen, cleared
+
+
+def _with_merged(pointer: dict, merged: list[tuple[str, dict, dict[str, set[str]], set[str]]], read: int) -> dict | None:
+    """The tables of a version with merged folders in place of those that were read for them at version ``read``; None if some of those are no longer there."""
+    tables = dict(pointer["tables"])
+    for name, entry, chosen, cleared in merged:
+        data, deletes = tables.get(name, {}).get("data", []), tables.get(name, {}).get("deletes", [])
+        if not all(any(e["path"] == path and buckets <= set(e["bytes"]) for e in data) for path, buckets in chosen.items()):
+            return None
+        left = [{**e, "bytes": {b: n for b, n in e["bytes"].items() if b not in chosen.get(e["path"], ())}} for e in data]
+        gone = [{**e, "bytes": {b: n for b, n in e["bytes"].items() if e["seq"] > read or b not in cleared}} for e in deletes]
+        tables[name] = {"data": sorted((e for e in [*left, entry] if e["bytes"]), key=lambda e: e["seq"]), "deletes": [e for e in gone if e["bytes"]]}
+    return tables
+
+
+def everything(graph: bool = True) -> list[str]:
+    """All tables, those of the graph as well unless told otherwise."""
+    return [n for n in TABLES if graph or n not in GRAPH]
+
+
+def upserted(old: Snapshot, documents: DataFrame, chunks: DataFrame) -> Change:
+    """The change that puts documents and their chunks in place of those of the same ids. A document keeps the time when it was first created."""
+    ids = documents.select("id").distinct()
+    first = old.read("documents").select(F.col("id").alias("_id"), F.col("created_at").alias("_first"))
+    created = F.coalesce("_first", F.col("created_at").cast("timestamp")) if "created_at" in documents.columns else F.col("_first")
+    stamped = documents.join(first, F.col("id").cast("string") == F.col("_id"), "left").withColumn("created_at", created).drop("_id", "_first")
+    return Change(drop={"documents": ids, "chunks": ids}, add={"documents": stamped, "chunks": chunks})
 
 
 def cascade(children: DataFrame, column: str, deleted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sedge.functions.chunking import ChunkConfig, SectionSplitter, chunk_column
 from sedge.functions.text import json_merge
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed
 from sedge.operators.graph import Extractor, entity_records, extract, new_edges, parse_replies, upsert_entities
-from sedge.operators.store import Store
+from sedge.operators.store import Change, Snapshot, Store, everything, upserted
 from sedge.runtime import cut
 from sedge.sources.files import as_documents, text_files
 
@@ -45,15 +45,20 @@ def build_graph(chunks: DataFrame, documents: DataFrame, extractor: Extractor, e
 
     Chunks are taken in order of source, document and index, whatever their place in the cluster. A chunk that fails is recorded and skipped.
     """
+    episodes, counts = read_episodes(chunks, documents, extractor)
+    return upsert_entities(entities, entity_records(episodes)), new_edges(episodes), counts
+
+
+def read_episodes(chunks: DataFrame, documents: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
+    """(episodes, counts and errors by chunk): what the extractor reads in each chunk. The episodes are written once, as each call has its price."""
     sources = documents.select(F.col("id").alias("document_id"), F.col("source").alias("source_doc"))
     read = parse_replies(extract(chunks.select("document_id", "chunk_index", "content", "created_at"), extractor))
     read = cut(read.join(sources, "document_id").select("document_id", "chunk_index", "source_doc", F.col("chunk_index").cast("string").alias("chunk_id"), "created_at", "entities", "relationships", "error"), "episodes")
     episodes = read.withColumn("ord", F.struct("source_doc", "document_id", "chunk_index"))
-    records = entity_records(episodes)
     # as many entities as records are sent for a chunk: its own names and those of relationship ends, once each
-    sent = records.groupBy("ord").agg(F.count("*").alias("sent"))
+    sent = entity_records(episodes).groupBy("ord").agg(F.count("*").alias("sent"))
     counts = episodes.join(sent, "ord", "left").select("document_id", "chunk_index", F.coalesce("sent", F.lit(0)).alias("entities_found"), F.size("relationships").alias("relationships_found"), "error")
-    return upsert_entities(entities, records), new_edges(episodes), counts
+    return episodes, counts
 
 
 def run_ingest(documents: DataFrame, provider: Provider, extractor: Extractor | None = None, config: IngestConfig = IngestConfig()) -> dict[str, DataFrame]:
@@ -68,20 +73,28 @@ def run_ingest(documents: DataFrame, provider: Provider, extractor: Extractor |
 def ingest_folder(folder: str, store: Store, provider: Provider, extractor: Extractor | None = None, config: IngestConfig = IngestConfig(), clean: bool = False) -> DataFrame:
     """Everything from a folder's text files to the store, published as one change; return the figures by document.
 
-    Files that were read before replace what they gave. With ``clean`` all tables are emptied first; without an ``extractor`` the graph is left as it is.
+    Files that were read before replace what they gave, and keep the time when they were first created. With ``clean`` the same change empties all tables, so what is there stays until
+    everything new is ready; without an ``extractor`` the graph is left as it is. What other writers publish meanwhile is kept: entities are
+    merged into those of the version that the change is published on.
     """
     documents = cut(as_documents(text_files(store.spark, folder)), "documents")
-    if clean:
-        store.clear()
     chunks = cut(embed(chunk_documents(documents, config.chunks, config.simple), provider, config.embedding), "chunks")
-    if extractor is None:
-        store.upsert_documents(documents, chunks)
-        return document_results(documents, chunks)
-    entities, edges, episodes = build_graph(chunks, documents, extractor, store.read("entities"))
-    again = documents.select(F.col("source").alias("source_doc"))
-    kept = store.read("edges").join(again, "source_doc", "left_anti")
-    store.upsert_documents(documents, chunks, entities=cut(entities, "entities"), edges=cut(kept.unionByName(edges.select(*kept.columns)), "edges"))
-    return document_results(documents, chunks, episodes)
+    if extractor is not None:
+        episodes, counts = read_episodes(chunks, documents, extractor)
+        counts = cut(counts, "counts")
+
+    def build(old: Snapshot) -> Change:
+        change = Change(add={"documents": documents, "chunks": chunks}, empty=everything()) if clean else upserted(old, documents, chunks)
+        if extractor is not None:
+            known = None if clean else old.read("entities")
+            change.put["entities"] = upsert_entities(known, entity_records(episodes))
+            change.add["edges"] = new_edges(episodes)
+            if not clean:
+                change.drop["edges"] = documents.select(F.col("source").alias("id"))
+        return change
+
+    store.commit(build)
+    return document_results(documents, chunks, counts if extractor is not None else None)
 
 
 def document_results(documents: DataFrame, chunks: DataFrame, episodes: DataFrame | None = None) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sedge.functions import text as X
 from sedge.functions.chunking import STRUCTURE, ChunkConfig, chunk_column, fixed_stride, pieces_column
 from sedge.functions.vectors import clamp, cosine_to
-from sedge.operators import consolidate, embedding, graph, retrieval, sessions
-from sedge.operators.store import cascade
+from sedge.operators import consolidate, embedding, graph, postings, retrieval, sessions
+from sedge.operators.store import Store, cascade
 from sedge.plans import ingest
-from sedge.runtime import cut, table
+from sedge.runtime import cut, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +196,62 @@ def hybrid_search_text(spark, sf_dir):
     return hits.select("chunk_id", _round("score"), "document_title")
 
 
+# The store: all documents as one chunk each, inserted; those in German put in place of themselves; and all that merged
+
+
+def indexed_store(spark, sf_dir):
+    docs, chunks = documents(spark, sf_dir), whole_chunks(spark, sf_dir)
+    named = docs.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source", F.lit("")).alias("source"), "content", "metadata", "created_at", "updated_at").where("content IS NOT NULL")
+    again = F.get_json_object("metadata", "$.lang") == "de"
+    store = Store(spark, scratch_path(spark, "store"), analyzer=X.simple_analyzer)
+    store.insert(documents=named, chunks=chunks.where("content IS NOT NULL"))
+    store.upsert_documents(named.where(again), chunks.where("content IS NOT NULL").where(again))
+    return store
+
+
+@query(ORACLE["fulltext_rank_cover"])
+def fulltext_index(spark, sf_dir):
+    hits = postings.search(indexed_store(spark, sf_dir).snapshot(), TERMS)
+    return hits.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {R_SQL} SELECT id AS doc_id, round(s, 6) AS score FROM r ORDER BY round(s, 9) DESC, id::VARCHAR LIMIT 20")
+def fulltext_index_topk(spark, sf_dir):
+    hits = postings.search(indexed_store(spark, sf_dir).snapshot(), TERMS, 20)
+    return hits.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLE["hybrid_terms"])
+def hybrid_index(spark, sf_dir):
+    """The hybrid search by the store's chunks and postings, with ids as numbers again so that ties fall as elsewhere."""
+    now = indexed_store(spark, sf_dir).snapshot()
+    number = lambda df, *names: df.select(*[F.col(c).cast("long").alias(c) if c in names else F.col(c) for c in df.columns])
+    chunks, matches = number(now.read("chunks"), "id", "document_id"), number(postings.search(now, TERMS), "chunk_id")
+    hits = retrieval.hybrid_topk(chunks, number(now.read("documents"), "id"), stored_vector(spark, sf_dir), TERMS, 10, 0.5, matches=matches)
+    return hits.select("chunk_id", _round("combined_score"), _round("vector_similarity"), _round("text_similarity"), "document_title", "document_source")
+
+
+_WIDE = P_SQL.format(step=1600, size=2000).replace("p AS", "wide AS", 1)
+
+
+@query(f"""WITH {P_SQL.format(step=800, size=1000)}, {_WIDE}, c AS (SELECT doc_id, length(p.content) // 4 AS n FROM p JOIN documents USING (doc_id) WHERE lang NOT IN ('de', 'fr')
+  UNION ALL SELECT doc_id, length(wide.content) // 4 FROM wide JOIN documents USING (doc_id) WHERE lang = 'de')
+SELECT doc_id AS id, source, count(n) AS chunk_count, round(avg(n), 6) AS avg_tokens_per_chunk, sum(n)::BIGINT AS total_tokens FROM documents LEFT JOIN c USING (doc_id) WHERE lang <> 'fr' GROUP BY doc_id, source""")
+def store_summaries(spark, sf_dir):
+    """Sums by document that a store kept: all documents inserted, the German ones chunked anew, the French ones deleted, folders merged."""
+    docs = documents(spark, sf_dir).withColumn("title", F.coalesce("title", F.lit(""))).where("content IS NOT NULL AND source IS NOT NULL")
+    lang = F.get_json_object("metadata", "$.lang")
+    wide = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.posexplode(fixed_stride(F.col("text"), 2000, 400)).alias("i", "content"))
+    wide = wide.select(F.concat_ws("-", "doc_id", "i").alias("id"), F.col("doc_id").alias("document_id"), "content", F.col("i").alias("chunk_index"), X.token_count(F.col("content")).alias("token_count"))
+    store = Store(spark, scratch_path(spark, "store"))
+    store.insert(documents=docs, chunks=stride_chunks(spark, sf_dir))
+    store.upsert_documents(docs.where(lang == "de"), wide)
+    store.compact(whole=True)
+    store.delete("documents", docs.where(lang == "fr").select("id"))
+    now = store.snapshot()
+    return retrieval.kept_summaries(now.read("documents"), now.totals()).select(F.col("id").cast("long").alias("id"), "source", "chunk_count", _round("avg_tokens_per_chunk"), "total_tokens")
+
+
 L_SQL = f"""WITH {D_SQL}, {C_SQL}, n AS (SELECT document_id, count(*) AS k FROM c GROUP BY document_id)
 SELECT id, title, source, created_at, coalesce(k, 0) AS chunk_count FROM d LEFT JOIN n ON id = document_id {{where}} ORDER BY created_at DESC, id LIMIT {{limit}} OFFSET {{offset}}"""
 

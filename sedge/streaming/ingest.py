@@ -24,11 +24,15 @@ def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 
 
 def ingest_stream(texts: DataFrame, store: Store, checkpoint: str, config: ChunkConfig = ChunkConfig()) -> StreamingQuery:
-    """Upsert every batch into the store. Ids are those of the sources, so a batch that is repeated after a failure changes nothing."""
+    """Upsert every batch into the store. Ids are those of the sources, so a batch that is repeated after a failure changes nothing.
+
+    A batch writes its own rows and the ids that it replaces; small folders are merged as they add up.
+    """
 
     def take(batch: DataFrame, _: int) -> None:
         documents = as_documents(batch)
         store.upsert_documents(documents, chunk_documents(documents, config))
+        store.compact()
 
     return texts.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

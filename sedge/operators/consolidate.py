@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from sedge.operators.components import components
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed_missing
 from sedge.operators.graph import entities_with_vectors
 from sedge.operators.store import Change, Snapshot, Store
@@ -15,6 +14,9 @@ from sedge.runtime import cut, numbered
 THRESHOLD = 0.85
 MOST_IN_GROUP = 20
 BLOCK = 2048
+#: Links that a task settles in a round, and open links of a node that it looks at.
+LINKS = 200_000
+SHOWN = 80
 
 
 def _scores(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -76,24 +78,72 @@ def greedy_leaders(nodes: list[int], linked: dict[int, set[int]], most: int = MO
     return leader
 
 
-def group_entities(entities: DataFrame, pairs: DataFrame, most: int = MOST_IN_GROUP) -> DataFrame:
-    """(ord, leader) of all entities. Grouping is greedy in order of ``ord``; it runs by connected component, which gives the same groups.
+def _settle(most: int):
+    """Pandas function of a range of leaders' links, in order: (node, owner) of the nodes that are settled as taken, and (node, null) of leaders whose group is full.
 
-    A component's links meet in one task, as the rule is sequential within it.
+    A link is open as long as an earlier link of one of its ends is: one of an earlier range or beyond those shown (``wait_a``, ``wait_b``: the least such node), or one of this range
+    that had to stay open.
     """
-    pairs = cut(pairs.select("a", "b"), "pairs")
-    own = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    links = pairs.join(own, F.col("a") == F.col("node")).select("component", "a", "b")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked: dict[int, set[int]] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            linked.setdefault(int(a), set()).add(int(b))
-        found = greedy_leaders([int(x) for x in set(pdf["a"]) | set(pdf["b"])], linked, most)
-        return pd.DataFrame({"o": list(found), "l": list(found.values())})
-
-    led = links.groupBy("component").applyInPandas(run, "o long, l long")
-    return entities.select("ord").join(led, F.col("ord") == F.col("o"), "left").select("ord", F.coalesce("l", "ord").alias("leader"))
+        pdf = pdf.sort_values(["a", "b"])
+        a, b, taken_by_a = (pdf[c].to_numpy() for c in ("a", "b", "taken"))
+        wait_a, wait_b = pdf["wait_a"].notna().to_numpy(), pdf["wait_b"].fillna(np.inf).to_numpy(np.float64)
+        owner: dict[int, int] = {}
+        full: list[int] = []
+        open_ends: set[int] = set()
+        bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            j = int(a[start])
+            if j in owner:
+                continue
+            k = start
+            if not wait_a[start] and j not in open_ends:
+                room = most - 1 - int(taken_by_a[start])
+                while k < stop and room:
+                    x = int(b[k])
+                    if x not in owner:
+                        if x in open_ends or wait_b[k] < j:
+                            break
+                        owner[x] = j
+                        room -= 1
+                    k += 1
+                if not room:
+                    full.append(j)
+                    continue
+            open_ends.update(int(x) for x in b[k:stop] if int(x) not in owner)
+        return pd.DataFrame({"node": pd.array([*owner, *full], "Int64"), "owner": pd.array([*owner.values(), *[pd.NA] * len(full)], "Int64")})
+
+    return run
+
+
+def group_entities(entities: DataFrame, pairs: DataFrame, most: int = MOST_IN_GROUP, links: int = LINKS) -> DataFrame:
+    """(ord, leader) of all entities: in order, a free one leads and takes the first free later ones similar to it, up to ``most`` with itself.
+
+    Rounds settle what no open link stands before. Links are dealt out in ranges of their earlier ends, ``links`` of each range at a time, and of a node with very many only the first SHOWN
+    that are open; a task goes through its range in order and leaves open what waits for an earlier range. Links of nodes that are taken, and of leaders with a full
+    group, go. The first range is settled in each round, and in a graph whose order says nothing about its links most of the others are as well, so no task
+    ever holds a component.
+    """
+    left = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    owners = entities.sparkSession.createDataFrame([], "node long, owner long")
+    while n := left.count():
+        ranged = left.repartitionByRange(-(-n // links), "a") if n > links else left.coalesce(1)
+        ranged = cut(ranged.withColumn("range", F.spark_partition_id() if n > links else F.lit(0)).withColumn("nth", F.row_number().over(Window.partitionBy("range", "a").orderBy("b"))), "ranged")
+        starts = ranged.groupBy("range").agg(F.min("a").alias("start"))
+        shown = F.col("nth") <= SHOWN
+        first = ranged.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"), F.min(F.when(~shown, F.col("a"))).alias("hidden"))
+        counts = owners.groupBy(F.col("owner").alias("leader")).agg(F.count("*").alias("taken"))
+        rows = ranged.where(shown).join(starts, "range").select("range", "a", "b", "start")
+        for end in ("a", "b"):
+            wait = F.least(F.when(F.col("first") < F.col("start"), F.col("first")), F.col("hidden")).alias(f"wait_{end}")
+            rows = rows.join(first, F.col(end) == F.col("node"), "left").select(*rows.columns, wait)
+        rows = rows.join(counts, F.col("a") == F.col("leader"), "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+        settled = cut(rows.select("range", "a", "b", "wait_a", "wait_b", "taken").groupBy("range").applyInPandas(_settle(most), "node long, owner long"), "settled")
+        taken = settled.where("owner IS NOT NULL")
+        owners = owners.unionByName(taken)
+        left = cut(left.join(settled.select(F.col("node").alias("a")), "a", "left_anti").join(taken.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"), "links")
+    return entities.select("ord").join(owners, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("owner", "ord").alias("leader"))
 
 
 def canonical_entities(entities: DataFrame, groups: DataFrame) -> DataFrame:

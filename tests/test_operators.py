@@ -144,6 +144,42 @@ def test_grouping_by_component_equals_grouping_at_once(spark, seed):
     assert {r["ord"]: r["leader"] for r in consolidate.group_entities(*frames, most=3).collect()} == want
 
 
+def grouped_as_at_once(spark, pairs, nodes, **options):
+    linked = {}
+    for a, b in pairs:
+        linked.setdefault(min(a, b), set()).add(max(a, b))
+    frames = spark.range(nodes).select(F.col("id").alias("ord")), spark.createDataFrame(pairs, "a long, b long")
+    got = {r["ord"]: r["leader"] for r in consolidate.group_entities(*frames, **options).collect()}
+    return got == consolidate.greedy_leaders(list(range(nodes)), linked, options.get("most", 20))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_over_many_ranges(spark, seed, monkeypatch):
+    monkeypatch.setattr(consolidate, "SHOWN", 4)
+    rng = random.Random(seed)
+    pairs = [tuple(rng.sample(range(120), 2)) for _ in range(400)]
+    assert grouped_as_at_once(spark, pairs + pairs[:9], 130, most=rng.choice([2, 4, 20]), links=40)
+
+
+def test_groups_of_a_chain_and_a_hub(spark):
+    """The orders that wait longest: each node for the one before it, and all for one that takes few of them."""
+    chain = [(i, i + 1) for i in range(200)]
+    assert grouped_as_at_once(spark, chain, 201, links=60)
+    hub = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 300)] + [(i, 300) for i in range(300)]
+    assert grouped_as_at_once(spark, hub, 301, links=200)
+    assert grouped_as_at_once(spark, [(5, 5), (7, 3)], 9)
+
+
+def test_no_task_of_grouping_holds_a_component(spark, monkeypatch):
+    """One component of 6,000 links: no range has more than it was given."""
+    rng, seen, settle = random.Random(3), [], consolidate._settle
+    pairs = sorted({tuple(sorted(rng.sample(range(3000), 2))) for _ in range(6000)})
+    cut = consolidate.cut
+    monkeypatch.setattr(consolidate, "cut", lambda df, label: (lambda out: (seen.append(max((r["count"] for r in out.groupBy("range").count().collect()), default=0)) if label == "ranged" else None, out)[1])(cut(df, label)))
+    assert settle and grouped_as_at_once(spark, pairs, 3000, links=1000)
+    assert max(seen) < 2500 and len(seen) < 12
+
+
 def test_pairs_in_blocks(spark):
     rng = random.Random(5)
     vectors = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(50)] + [[0.0] * 3, None, [1.0]]

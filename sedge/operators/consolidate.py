@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed_missing
 from sedge.operators.graph import entities_with_vectors
+from sedge.operators.lists import Lists, unit, usable
 from sedge.operators.store import Change, Snapshot, Store
 from sedge.runtime import cut, numbered
 
 THRESHOLD = 0.85
 MOST_IN_GROUP = 20
 BLOCK = 2048
+#: The lowest threshold for which vectors are put into lists unless told otherwise.
+PRUNE_FROM = 0.7
 #: Links that a task settles in a round, and open links of a node that it looks at.
 LINKS = 200_000
 SHOWN = 80
@@ -35,15 +40,21 @@ def _scores(a: pd.Series, b: pd.Series) -> np.ndarray:
     return out
 
 
-def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, pruned: bool | None = None) -> DataFrame:
     """(a, b, name_similarity): pairs of entities(ord, name_embedding, summary_embedding?), a before b, that name or summary vectors hold similar.
 
-    Similarity may be as low as is asked for, so all pairs have to be looked at: entities are dealt into blocks, and each task multiplies
-    two blocks. Its memory is bounded by the block, and only pairs that pass leave it.
+    From a threshold of PRUNE_FROM on (or if ``pruned`` says so, above 0) vectors are put into lists, and only lists that can hold similar ones meet. A lower threshold leaves nothing
+    out that way, so all pairs are looked at: entities are dealt into blocks, and each task multiplies two blocks. Either way a task's memory is bounded by the
+    block, and only pairs that pass leave it. Missing, zero and unequally long vectors have similarity 0.
     """
     if "summary_embedding" not in entities.columns:
         entities = entities.withColumn("summary_embedding", F.lit(None).cast("array<float>"))
     rows = cut(entities.select("ord", "name_embedding", "summary_embedding"), "vectors")
+    if (threshold >= PRUNE_FROM if pruned is None else pruned) and threshold > 0:
+        found = [p for column in ("name_embedding", "summary_embedding") for p in _pairs_by_lists(rows, threshold, block, column)]
+        if found:
+            return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("name_similarity").alias("name_similarity"))
+        return entities.sparkSession.createDataFrame([], "a long, b long, name_similarity double")
     n = max(1, -(-rows.count() // block))
     dealt = rows.withColumn("k", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int"))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"))))
@@ -61,21 +72,53 @@ def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD, block: int
     return spread.groupBy("i", "j").applyInPandas(run, "a long, b long, name_similarity double")
 
 
-def greedy_leaders(nodes: list[int], linked: dict[int, set[int]], most: int = MOST_IN_GROUP) -> dict[int, int]:
-    """Leader of each node: in order, a free node leads and takes the free later nodes similar to it, up to the group's size."""
-    leader: dict[int, int] = {}
-    for i in sorted(nodes):
-        if i in leader:
-            continue
-        leader[i] = i
-        room = most - 1
-        for j in sorted(x for x in linked.get(i, ()) if x > i):
-            if room <= 0:
-                break
-            if j not in leader:
-                leader[j] = i
-                room -= 1
-    return leader
+def _pairs_by_lists(rows: DataFrame, threshold: float, block: int, column: str) -> list[DataFrame]:
+    """Pairs that the vectors of ``column`` hold similar, a frame for each length of them.
+
+    A vector lies in its own list and asks the lists behind it that can hold a similar one; so a pair meets once, where the later of its two lists is. Lists are dealt out in blocks.
+    """
+    kept = rows.where(usable(F.col(column))).withColumn("size", F.size(column))
+    found = []
+    for size in sorted(r[0] for r in kept.select("size").distinct().collect()):
+        own = kept.where(F.col("size") == size)
+        lists = Lists.fit(own, column)
+        columns = "ord long, name_embedding array<float>, summary_embedding array<float>, cell int"
+
+        def assign(batches, lists=lists):
+            for pdf in batches:
+                cell, angle = lists.nearest(unit(np.stack(pdf[column].to_numpy()).astype(np.float64)))
+                yield pdf[["ord", "name_embedding", "summary_embedding"]].assign(cell=cell, angle=angle)
+
+        index = cut(own.select("ord", *[F.col(c).cast("array<float>").alias(c) for c in ("name_embedding", "summary_embedding")]).mapInPandas(assign, f"{columns}, angle double"), "listed")
+        lists = lists.with_radii({r["cell"]: r["r"] for r in index.groupBy("cell").agg(F.max("angle").alias("r")).collect()})  # at most MOST_LISTS
+
+        def ask(batches, lists=lists):
+            for pdf in batches:
+                for part in (pdf.iloc[at : at + block] for at in range(0, len(pdf), block)):
+                    asked = lists.meeting(unit(np.stack(part[column].to_numpy()).astype(np.float64)), part["cell"].to_numpy(), threshold)
+                    yield part[["ord", "name_embedding", "summary_embedding"]].assign(cell=[a.tolist() for a in asked])
+
+        asking = index.drop("angle").mapInPandas(ask, columns.replace("cell int", "cell array<int>")).withColumn("cell", F.explode("cell"))
+        members = index.drop("angle").withColumn("member", F.lit(True))
+        others = cut(members.unionByName(asking.withColumn("member", F.lit(False))), "meeting")
+        blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        counts = blocks(members, "l").join(blocks(others, "r"), "cell")
+        deal = lambda by, name: F.pmod(F.xxhash64(by, F.lit(name)), F.col(name)).cast("int")
+        all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = members.join(counts, "cell").withColumn("i", deal("ord", "l")).withColumn("j", all_of("r")).withColumn("left", F.lit(True))
+        right = others.join(counts, "cell").withColumn("j", deal("ord", "r")).withColumn("i", all_of("l")).withColumn("left", F.lit(False))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            one, two = pdf[pdf["left"]], pdf[~pdf["left"]]
+            a, b = one["ord"].to_numpy(), two["ord"].to_numpy()
+            once = ~two["member"].to_numpy()[None] | (a[:, None] < b[None])
+            scores = _scores(one[column], two[column])
+            at, to = np.nonzero((scores >= threshold) & once)
+            names = scores[at, to] if column == "name_embedding" else np.array([_scores(one["name_embedding"].iloc[[i]], two["name_embedding"].iloc[[j]])[0, 0] for i, j in zip(at, to)], np.float64)
+            return pd.DataFrame({"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to]), "name_similarity": names})
+
+        found.append(left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(run, "a long, b long, name_similarity double"))
+    return found
 
 
 def _settle(most: int):

@@ -188,6 +188,35 @@ def test_pairs_in_blocks(spark):
     assert whole and whole == sorted((r["a"], r["b"]) for r in consolidate.similar_pairs(df, 0.8, block=7).collect())
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.85, 0.999])
+def test_pairs_by_lists_equal_those_of_all_blocks(spark, threshold, monkeypatch):
+    monkeypatch.setattr("sedge.operators.lists.LIST_SIZE", 20)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(15, 16))
+    vector = lambda: [float(x) for x in centres[rng.integers(15)] + 0.3 * rng.normal(size=16)]
+    rows = [(i, vector(), vector() if i % 3 else None) for i in range(400)]
+    rows += [(400, [0.0] * 16, None), (401, None, rows[1][2]), (402, [1.0, float("nan")], rows[1][2]), (403, [1.0, 2.0], None), (404, [2.0, 4.0], None), (405, rows[0][1], None), (406, [], None)]
+    df = spark.createDataFrame(rows, "ord long, name_embedding array<float>, summary_embedding array<float>")
+    pairs = lambda **o: {(r["a"], r["b"]): round(r["name_similarity"], 6) for r in consolidate.similar_pairs(df, threshold, **o).collect() if r["name_similarity"] == r["name_similarity"]}
+    whole = pairs(pruned=False)
+    assert whole and (403, 404) in whole and (0, 405) in whole
+    assert pairs(pruned=True) == whole == pairs(pruned=True, block=16)
+
+
+def test_lists_that_are_far_apart_do_not_meet(spark):
+    """Rows that are shuffled grow with the vectors, not with their square: no cluster asks another's list."""
+    from sedge.operators.lists import Lists
+
+    rng = np.random.default_rng(1)
+    centres = np.eye(32)[:30]
+    x = centres[rng.integers(0, 30, 3000)] + 0.05 * rng.normal(size=(3000, 32)) / np.sqrt(32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    lists = Lists(centres)
+    own, angle = lists.nearest(x)
+    lists = lists.with_radii({i: float(angle[own == i].max()) for i in range(30)})
+    assert sum(len(a) for a in lists.meeting(x, own, 0.85)) == 0
+
+
 def test_rewire(spark):
     edge = "src_key string, dst_key string, fact string"
     entities = spark.createDataFrame([("a", "s"), ("b", ""), ("c", "")], "name_key string, summary string")

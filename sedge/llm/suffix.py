@@ -455,7 +455,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id: str = "doc_id",
     pieces = sent.where(F.col("kind") == SENT)
     parts = max(1, -(-(pieces.agg(F.sum(F.length("data"))).first()[0] or 0) // PIECES))
     spans = "shard long, first long, last long"
-    merged = pieces.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(_merge_pieces(length), spans)
+    merged = pieces.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).repartition(parts, "part").groupBy("part").applyInArrow(_merge_pieces(length), spans)
     digests = sent.where(F.col("kind") == DIGEST).select("shard", "at", "id", "data")
     least = digests.groupBy("data").agg(F.min("id").alias("least"))
     crowded = digests.join(least, "data").where("id > least").select("shard", F.col("at").alias("first"), F.col("at").alias("last"))

@@ -1,95 +1,98 @@
 """Postings of chunks by lexeme, and full-text search that opens the postings of its terms alone.
 
-A row is a block: the postings of one lexeme in one share of a batch's chunks, with the greatest number of occurrences among them. Shares are dealt by the chunk's id and
-hold about BLOCK chunks each, the same ones for every lexeme; so a frequent lexeme has many rows of bounded size, and what the best chunk of a share can reach
-is bounded by its rows' heads. Rows lie in order of lexeme and share, positions are delta-coded by the file format.
+Chunks are numbered where they lie: a share is BLOCK rows in a row of one file of the store, and a chunk's slot is its place in the share. A row of postings is what one lexeme has in one share: slots,
+positions, and the greatest number of occurrences in a chunk. So rows are made where the texts are read, a frequent lexeme has many rows of bounded size, and what the best chunk of a
+share can reach is bounded by its rows' heads. The names of the slots are a table of their own, from which deleted documents are missing; postings are never rewritten for them.
+Rows lie in order of lexeme and share, positions are delta-coded by the file format.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.functions.text import LEXEME_WEIGHT, Analyzer, cover_sum, query_terms, simple_analyzer, tokens
 
-POSTINGS = "lexeme string not null, block long not null, most int not null, postings array<struct<chunk_id:string,document_id:string,positions:array<int>>> not null"
-#: Chunks of a share, on average.
-BLOCK = 256
-#: Texts whose positions are sorted at a time.
-TEXTS = 512
+#: ``ends`` has where each slot's positions end among ``places``.
+POSTINGS = "lexeme string not null, file long not null, part int not null, most int not null, slots array<int> not null, ends array<int> not null, places array<int> not null"
+SHARES = "file long not null, part int not null, slot int not null, chunk_id string not null, document_id string not null"
+#: Chunks of a share.
+BLOCK = 1024
 #: Shares that are scored first, to learn what the others have to reach.
 FIRST_SHARES = 4
 #: Shares that are named to the reader, so that it skips the pages of others; more are told by a join.
 NAMED = 1_000
 
 
-def _occurrences(batches):
-    """Arrow function of (chunk_id, document_id, block, words): one row for each different word of each text, with its places."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            batch = whole.slice(at, TEXTS)
-            words = batch.column(3)
-            sizes = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            flat = words.flatten().dictionary_encode()
-            if not len(flat):
-                continue
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            code = flat.indices.fill_null(-1).to_numpy()
-            order = np.argsort(row * len(flat.dictionary) + code, kind="stable")
-            order = order[code[order] >= 0]
-            row, place, code = row[order], place[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
-            offsets = pa.array(np.append(first, len(row)).astype(np.int32))
-            of = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays(
-                [flat.dictionary.take(pa.array(code[first])), batch.column(2).take(of), batch.column(0).take(of), batch.column(1).take(of), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))],
-                ["lexeme", "block", "chunk_id", "document_id", "positions"],
-            )
-
-
-def _share(chunk_id: Column, chunks: int) -> Column:
-    """The number of a chunk's share, which no other batch has."""
-    batch = uuid.uuid4().int >> 97
-    return F.lit(batch << 32) + F.pmod(F.xxhash64(chunk_id), F.lit(max(1, -(-chunks // BLOCK))))
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    one = F.struct("chunk_id", "document_id", "positions")
-    return rows.groupBy("lexeme", "block").agg(F.max(F.size("positions")).alias("most"), F.collect_list(one).alias("postings"))  # about BLOCK of them
-
-
-def postings(chunks: DataFrame, analyzer: Analyzer = simple_analyzer) -> DataFrame:
-    """Rows of POSTINGS of chunks(id, document_id, content)."""
-    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", _share(F.col("id"), chunks.count()).alias("block"), tokens(F.col("content"), analyzer).alias("words"))
-    return _blocks(rows.mapInArrow(_occurrences, "lexeme string, block long, chunk_id string, document_id string, positions array<int>"))
-
-
-def alive(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """(lexeme, block, chunk_id, document_id, positions) of blocks with ``_seq``, without the documents that were deleted since."""
-    each = rows.select("lexeme", "block", "_seq", F.explode("postings").alias("p")).select("lexeme", "block", "_seq", "p.*")
-    if gone is not None:
-        each = each.join(gone, F.col("document_id") == F.col("key"), "left").where(F.col("deleted_at").isNull() | (F.col("deleted_at") <= F.col("_seq")))
-    return each.select("lexeme", "block", "chunk_id", "document_id", "positions")
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks of a folder with their share and slot, which follow from where they lie."""
+    row = F.col("_metadata.row_index")
+    return chunks.withColumns({"file": F.xxhash64("_metadata.file_path"), "part": F.floor(row / BLOCK).cast("int"), "slot": (row % BLOCK).cast("int")})
 
 
-def regrouped(each: DataFrame) -> DataFrame:
-    """Blocks of postings that were taken out of theirs, in new shares."""
-    chunks = each.agg(F.approx_count_distinct("chunk_id")).first()[0]
-    return _blocks(each.withColumn("block", _share(F.col("chunk_id"), chunks)))
+def shares(chunks: DataFrame) -> DataFrame:
+    """Rows of SHARES of a folder of chunks(id, document_id), as its reader gives them."""
+    return _numbered(chunks).select("file", "part", "slot", F.col("id").alias("chunk_id"), "document_id")
 
 
-def matched(each: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, document_id, score) of the chunks that hold every one of ``terms``, which differ."""
+def postings(chunks: DataFrame, analyzer: Analyzer = simple_analyzer) -> DataFrame:
+    """Rows of POSTINGS of a folder of chunks(content), as its reader gives them. A share that two tasks read has two rows for a lexeme, each with slots of its own."""
+    rows = _numbered(chunks).select("file", "part", "slot", tokens(F.col("content"), analyzer).alias("words"))
+    return rows.mapInArrow(_by_lexeme, POSTINGS.replace(" not null", ""))
+
+
+def _by_lexeme(batches):
+    """Arrow function of (file, part, slot, words)."""
+    for batch in batches:
+        file, part = (batch.column(i).to_numpy() for i in (0, 1))
+        bounds = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (part[1:] != part[:-1]), [True]])) if len(file) else []
+        for at, to in zip(bounds[:-1], bounds[1:]):
+            yield from _share_postings(batch.slice(int(at), int(to - at)))
+
+
+def _share_postings(share: pa.RecordBatch):
+    words = share.column(3)
+    sizes = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = flat.indices.fill_null(-1).to_numpy().astype(np.int64)
+    order = np.argsort(code * len(sizes) + row, kind="stable")  # by lexeme, then by slot, then by place
+    order = order[code[order] >= 0]
+    if not len(order):
+        return
+    row, place, code = row[order], place[order], code[order]
+    lexeme = np.concatenate([[True], code[1:] != code[:-1]])
+    slot = lexeme | np.concatenate([[True], row[1:] != row[:-1]])
+    first, begins = np.flatnonzero(lexeme), np.flatnonzero(slot)
+    ends = np.append(begins[1:], len(row))
+    of = np.searchsorted(begins, first)  # the first slot of each lexeme
+    counts = np.diff(np.append(of, len(begins)))
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+    yield pa.RecordBatch.from_arrays(
+        [
+            flat.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), share.column(0)[0].as_py())), pa.array(np.full(len(first), share.column(1)[0].as_py(), np.int32)),
+            pa.array(np.maximum.reduceat(ends - begins, of).astype(np.int32)),
+            lists(np.append(of, len(begins)), share.column(2).to_numpy()[row[begins]]), lists(np.append(of, len(begins)), ends - np.repeat(first, counts)), lists(np.append(first, len(row)), place),
+        ],
+        ["lexeme", "file", "part", "most", "slots", "ends", "places"],
+    )
+
+
+def matched(rows: DataFrame, terms: list[str], named: DataFrame) -> DataFrame:
+    """(chunk_id, document_id, score) of the chunks of ``named``, rows of SHARES, that hold every one of ``terms``, which differ."""
+    starts = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    one = lambda slot, i: F.struct(slot.alias("slot"), (F.get("ends", i) - starts(i)).alias("n"), F.slice("places", starts(i) + 1, F.get("ends", i) - starts(i)).alias("places"))
+    each = rows.select("lexeme", "file", "part", F.explode(F.transform("slots", one)).alias("p")).select("lexeme", "file", "part", "p.*")
     if len(terms) == 1:
-        return each.select("chunk_id", "document_id", (F.size("positions") * F.lit(LEXEME_WEIGHT)).alias("score"))
-    number = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("lexeme")).cast("int")
-    chunks = each.groupBy("chunk_id", "document_id").agg(F.collect_list(F.struct(number.alias("t"), "positions")).alias("found")).where(F.size("found") == len(terms))
-    hits = F.array_sort(F.flatten(F.transform("found", lambda f: F.transform(f["positions"], lambda p: F.struct(p.alias("p"), f["t"].alias("t"))))))
-    return chunks.select("chunk_id", "document_id", cover_sum(hits, F.lit(len(terms))).alias("score"))
+        scored = each.select("file", "part", "slot", (F.col("n") * F.lit(LEXEME_WEIGHT)).alias("score"))
+    else:
+        number = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("lexeme")).cast("int")
+        chunks = each.groupBy("file", "part", "slot").agg(F.collect_list(F.struct(number.alias("t"), "places")).alias("found")).where(F.size("found") == len(terms))
+        hits = F.array_sort(F.flatten(F.transform("found", lambda f: F.transform(f["places"], lambda p: F.struct(p.alias("p"), f["t"].alias("t"))))))
+        scored = chunks.select("file", "part", "slot", cover_sum(hits, F.lit(len(terms))).alias("score"))
+    return scored.join(named, ["file", "part", "slot"]).select("chunk_id", "document_id", "score")
 
 
 def terms_of(spark, text: str, analyzer: Analyzer = simple_analyzer) -> list[str]:
@@ -106,17 +109,29 @@ def search(snapshot, text: str, k: int | None = None, analyzer: Analyzer = simpl
     terms = terms_of(snapshot.store.spark, text, analyzer)
     if not terms:
         return snapshot.store.spark.createDataFrame([], "chunk_id string, document_id string, score double")
-    rows, gone = snapshot.parts("postings", keys=terms)
-    rows = rows.where(F.col("lexeme").isin(terms))
+    rows, named = snapshot.read("postings", keys=terms).where(F.col("lexeme").isin(terms)), snapshot.read("shares")
     if k is None:
-        return matched(alive(rows, gone), terms)
+        return matched(rows, terms, named)
     best = lambda df: df.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k)
-    reach = (F.sum("most") - (len(terms) - 1)) * F.lit(LEXEME_WEIGHT)
-    shares = rows.groupBy("block").agg(F.count("*").alias("n"), reach.alias("bound")).where(F.col("n") == len(terms))
-    first = [r["block"] for r in shares.orderBy(F.desc("bound"), "block").limit(FIRST_SHARES).collect()]
-    seen = best(matched(alive(rows.where(F.col("block").isin(first)), gone), terms)).select("score").collect()
+    heads = rows.groupBy("file", "part", "lexeme").agg(F.max("most").alias("most")).groupBy("file", "part").agg(F.count("*").alias("n"), F.sum("most").alias("most"))
+    reach = heads.where(F.col("n") == len(terms)).select("file", "part", ((F.col("most") - (len(terms) - 1)) * LEXEME_WEIGHT).alias("bound"))
+    first = reach.orderBy(F.desc("bound"), "file", "part").limit(FIRST_SHARES).collect()
+    seen = best(_scored(rows, named, terms, first)).select("score").collect()
     least = seen[-1]["score"] if len(seen) == k else 0.0
-    left = shares.where(F.col("bound") >= least - 1e-9)  # sums in another order may differ in their last digits
-    named = [r["block"] for r in left.select("block").limit(NAMED + 1).collect()]
-    rows = rows.where(F.col("block").isin(named)) if len(named) <= NAMED else rows.join(left.select("block"), "block", "left_semi")
-    return best(matched(alive(rows, gone), terms))
+    left = reach.where(F.col("bound") >= least - 1e-9).select("file", "part")  # sums in another order may differ in their last digits
+    some = left.limit(NAMED + 1).collect()
+    if len(some) <= NAMED:
+        return best(_scored(rows, named, terms, some))
+    return best(matched(rows.join(left, ["file", "part"], "left_semi"), terms, named))
+
+
+def _scored(rows: DataFrame, named: DataFrame, terms: list[str], some: list) -> DataFrame:
+    """Matches in a few shares, which the reader is told, so that it skips the pages of others."""
+    inside = _any_of(some)
+    return matched(rows.where(inside), terms, named.where(inside))
+
+
+def _any_of(some: list) -> Column:
+    files = sorted({r["file"] for r in some})
+    pairs = F.array(*[F.struct(F.lit(r["file"]).cast("long").alias("file"), F.lit(r["part"]).cast("int").alias("part")) for r in some])
+    return F.col("file").isin(files) & F.array_contains(pairs, F.struct("file", "part")) if some else F.lit(False)

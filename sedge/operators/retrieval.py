@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 from sedge.functions.text import Analyzer, json_contains, matches, query_terms, rank_cover, rank_one_term, simple_analyzer, tokens
 from sedge.functions.vectors import clamp, cosine_to
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed_batch
+from sedge.operators.lists import nearest
 from sedge.runtime import cut, scratch_path
 
 MOST_RESULTS = 50
@@ -51,6 +52,18 @@ def vector_topk(chunks: DataFrame, documents: DataFrame, query: list[float], k:
     return _titled(scored.orderBy(F.desc("similarity"), "chunk_id").limit(k), documents, "similarity")
 
 
+def vector_topk_listed(snapshot, query: list[float], k: int = 10, probes: int | None = None) -> DataFrame:
+    """The same from a store whose vectors are indexed: lists that can't hold one of the k best are not opened, nor are buckets without their chunks.
+
+    With ``probes`` only so many lists are, and the result may miss some.
+    """
+    hits = cut(nearest(snapshot, query, k, probes)[0], "hits")
+    owners = [r[0] for r in hits.select("document_id").distinct().collect()]  # at most k
+    chunks = snapshot.read("chunks", keys=owners).select(F.col("id").alias("chunk_id"), "content", "metadata")
+    documents = snapshot.read("documents", keys=owners)
+    return _titled(hits.join(chunks, "chunk_id").select("chunk_id", "document_id", "content", "similarity", "metadata"), documents, "similarity")
+
+
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the k best chunks for each of queries(query_id, embedding).
 

@@ -7,7 +7,7 @@ that fails if there is one of its number, so of two writers one publishes. The o
 if it had read a table that has changed since, makes its change again from the new version. Readers see a change whole or not at all, and a version they
 hold stays as it is until it is vacuumed.
 
-Sums by document follow each change of the chunks by its own rows, and so do the postings of a store that has an analyzer.
+Sums by document follow each change of the chunks by its own rows, and so do the postings of a store that has an analyzer, and the lists of one whose vectors are indexed.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sedge.functions.text import Analyzer
-from sedge.operators import postings as P
+from sedge.operators import lists as L, postings as P
+from sedge.runtime import cut
 
 DOCUMENTS = "id string not null, title string not null, source string not null, content string not null, metadata string, created_at timestamp, updated_at timestamp"
 CHUNKS = "id string not null, document_id string not null, content string not null, embedding array<float>, chunk_index int not null, metadata string, token_count int, created_at timestamp"
@@ -32,12 +33,15 @@ ENTITIES = "name_key string not null, name string, type string, summary string,
 EDGES = "src_key string not null, dst_key string not null, fact string, predicate string, source_doc string, chunk_id string, created_at timestamp"
 #: Parts of sums by document: chunks, chunks with a number of tokens, and those numbers' sum.
 TOTALS = "document_id string not null, chunks long not null, counted long not null, tokens long"
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "sessions": SESSIONS, "messages": MESSAGES, "entities": ENTITIES, "edges": EDGES, "totals": TOTALS, "postings": P.POSTINGS}
-#: The column that deals a table's rows into buckets, and by whose values they are deleted. Postings are dealt by lexeme and deleted by document.
-KEYS = {"documents": "id", "chunks": "document_id", "sessions": "id", "messages": "session_id", "entities": "name_key", "edges": "source_doc", "totals": "document_id", "postings": "lexeme"}
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "sessions": SESSIONS, "messages": MESSAGES, "entities": ENTITIES, "edges": EDGES, "totals": TOTALS, "postings": P.POSTINGS, "shares": P.SHARES, "centres": L.CENTRES, "vectors": L.VECTORS, "heads": L.HEADS}
+#: The column that deals a table's rows into buckets, and by whose values they are deleted; tables of BY_DOCUMENT are deleted by document.
+KEYS = {"documents": "id", "chunks": "document_id", "sessions": "id", "messages": "session_id", "entities": "name_key", "edges": "source_doc", "totals": "document_id", "postings": "lexeme", "shares": "file", "centres": "list", "vectors": "list", "heads": "list"}
+#: The order of rows in files of tables that are read by a few values of their first columns, so that pages can be told by them.
+ORDER = {"postings": ("lexeme", "file", "part"), "shares": ("file", "part", "slot"), "vectors": ("list", "id")}
 GRAPH = ("entities", "edges")
 #: Tables that follow the chunks.
-DERIVED = ("totals", "postings")
+DERIVED = ("totals", "postings", "shares", "vectors", "heads")
+BY_DOCUMENT = ("shares", "vectors")
 #: Child table by the parent whose id its key names.
 CHILDREN = {"documents": "chunks", "sessions": "messages"}
 #: Times that a change is published again because another writer was first.
@@ -85,8 +89,8 @@ class Snapshot:
         kind = self.store.schema(name)
         read = [self.store.spark.read.schema(kind).parquet(*paths).withColumn("_seq", F.lit(seq).cast("long")) for seq, paths in sorted(epochs.items()) if paths]
         rows = reduce(DataFrame.unionByName, read) if read else self.store.spark.createDataFrame([], kind).withColumn("_seq", F.lit(0).cast("long"))
-        # postings are deleted by document, which has nothing to do with their buckets
-        gone = [(e["seq"], paths) for e in self.entries(name, "deletes") if (paths := self.store.bucket_paths(e, None if name == "postings" else buckets))]
+        # documents have nothing to do with the buckets of these
+        gone = [(e["seq"], paths) for e in self.entries(name, "deletes") if (paths := self.store.bucket_paths(e, None if name in BY_DOCUMENT else buckets))]
         if not gone:
             return rows, None
         keys_gone = reduce(DataFrame.unionByName, [self.store.spark.read.schema("key string").parquet(*paths).withColumn("deleted_at", F.lit(seq).cast("long")) for seq, paths in gone])
@@ -95,7 +99,7 @@ class Snapshot:
     def read(self, name: str, keys: list | None = None) -> DataFrame:
         """The rows of a table; with ``keys`` those of the keys' buckets alone, which hold all rows of these keys and others."""
         rows, gone = self.parts(name, keys)
-        return _alive(rows, gone, KEYS[name]).drop("_seq")
+        return _alive(rows, gone, "document_id" if name in BY_DOCUMENT else KEYS[name]).drop("_seq")
 
     def totals(self) -> DataFrame:
         """(document_id, chunk_count, avg_tokens_per_chunk, total_tokens) of documents that have chunks, from the sums that were kept with every change."""
@@ -174,9 +178,9 @@ class Store:
         """A new folder of ``df`` by buckets: its path, and the bytes of each bucket."""
         path = f"{name}/{uuid.uuid4().hex}"
         dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).hint("rebalance", "bucket")
-        if name == "postings":
-            dealt = dealt.sortWithinPartitions("bucket", "lexeme", "block")  # so that row groups can be told by their lexemes
-        dealt.write.partitionBy("bucket").option("parquet.writer.version", "v2").parquet(f"{self.root}/{path}")
+        if name in ORDER:
+            dealt = dealt.sortWithinPartitions("bucket", *ORDER[name])
+        dealt.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2").parquet(f"{self.root}/{path}")
         fs = self._fs()
         found = [s.getPath() for s in fs.listStatus(self._path(path)) if s.isDirectory()]
         return {"path": path, "bytes": {p.getName().split("=")[1]: fs.getContentSummary(p).getLength() for p in found if p.getName().startswith("bucket=")}}
@@ -195,18 +199,20 @@ class Store:
 
     # Changes
 
-    def _staged(self, change: Change, buckets: int, indexed: bool) -> tuple[list[tuple[str, str, dict]], list[str]]:
+    def _staged(self, change: Change, old: Snapshot, indexed: bool) -> tuple[list[tuple[str, str, dict]], list[str]]:
         """(table, kind, folder) of everything that a change writes, and the tables that it empties."""
-        empty = [*change.empty, *change.put]
+        buckets, empty = old.pointer["buckets"], [*change.empty, *change.put]
         if "chunks" in empty:
             empty += DERIVED
+        # lists are fitted once, so chunks are put into those that there are
+        lists = L.stored(old) if "chunks" in {*change.add, *change.put} and "centres" not in empty and old.entries("centres", "data") else None
         folders: list[tuple[str, str, dict]] = []
         try:
             for name, ids in change.drop.items():
                 entry = self._write(f"{name}-deletes", ids.select(F.col("id").cast("string").alias("key")).where("key IS NOT NULL").distinct(), "key", buckets)
                 folders.append((name, "deletes", entry))
                 if name == "chunks":
-                    folders += [(d, "deletes", entry) for d in DERIVED if d == "totals" or indexed]
+                    folders += [(d, "deletes", entry) for d in ("totals", *BY_DOCUMENT)]
             for name, df in [*change.put.items(), *change.add.items()]:
                 entry = self._write(name, self._shaped(name, df), KEYS[name], buckets)
                 folders.append((name, "data", entry))
@@ -216,6 +222,11 @@ class Store:
                     folders.append(("totals", "data", self._write("totals", sums, "document_id", buckets)))
                     if indexed:
                         folders.append(("postings", "data", self._write("postings", P.postings(fresh, self.analyzer), "lexeme", buckets)))
+                        folders.append(("shares", "data", self._write("shares", P.shares(fresh), "file", buckets)))
+                    if lists is not None and (paths := self.bucket_paths(entry := self._write("vectors", L.listed(fresh, lists), "list", buckets), None)):
+                        folders.append(("vectors", "data", entry))
+                        rows = self.spark.read.schema(self.schema("vectors")).parquet(*paths)
+                        folders.append(("heads", "data", self._write("heads", L.heads(rows), "list", buckets)))
         except BaseException:
             self._drop([e for _, _, e in folders])
             raise
@@ -242,7 +253,7 @@ class Store:
             indexed = pointer.get("indexed", self.analyzer is not None)
             if indexed and self.analyzer is None and "chunks" in {*change.add, *change.put}:
                 raise ValueError("the store's chunks are indexed; open it with their analyzer")
-            folders, empty = self._staged(change, pointer["buckets"], indexed)
+            folders, empty = self._staged(change, snapshot, indexed)
             try:
                 current = {**pointer, "indexed": indexed}
                 for _ in range(TRIES):
@@ -288,6 +299,21 @@ class Store:
         """Empty the graph's tables alone."""
         return self.commit(lambda _: Change(empty=GRAPH))
 
+    def index_vectors(self, lists: int | None = None) -> int:
+        """Fit lists on the chunks' vectors and keep the vectors by list; from then on every change of the chunks is followed. Vectors of the length that is there most often are listed, others lie apart."""
+
+        def build(old: Snapshot) -> Change:
+            chunks = old.read("chunks").where("embedding IS NOT NULL")
+            sizes = chunks.where(L.usable(F.col("embedding"))).groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+            if sizes is None:
+                raise ValueError("no chunk has a vector")
+            fitted = L.Lists.fit(chunks.where(L.usable(F.col("embedding")) & (F.size("embedding") == sizes["size"])).select("embedding"), "embedding", lists)
+            rows = cut(L.listed(chunks, fitted), "vectors")
+            centres = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.centres)], L.CENTRES)
+            return Change(put={"centres": centres, "vectors": rows, "heads": L.heads(rows)})
+
+        return self.commit(build)
+
     # Upkeep
 
     def compact(self, whole: bool = False, most: int = MOST_FOLDERS) -> bool:
@@ -302,14 +328,14 @@ class Store:
         merged: list[tuple[str, dict, dict[str, set[str]], set[str]]] = []
         try:
             for name, table in pointer["tables"].items():
-                chosen, cleared = _chosen(table, most, whole, by_bucket=name != "postings")
+                chosen, cleared = _chosen(table, most, whole, by_bucket=name not in BY_DOCUMENT)
                 if not chosen:
                     continue
                 part = Snapshot(self, base, {**pointer, "tables": {name: {"data": [{**e, "bytes": {b: n for b, n in e["bytes"].items() if b in chosen.get(e["path"], ())}} for e in table["data"]], "deletes": table.get("deletes", [])}}})
-                if name == "postings":
-                    rows = P.regrouped(P.alive(*part.parts(name)))
-                elif name == "totals":
+                if name == "totals":
                     rows = part.read(name).groupBy("document_id").agg(*[F.sum(c).alias(c) for c in ("chunks", "counted", "tokens")])
+                elif name == "heads":
+                    rows = part.read(name).groupBy("list").agg(F.max("radius").alias("radius"), F.sum("vectors").alias("vectors"))
                 else:
                     rows = part.read(name)
                 merged.append((name, {**self._write(name, rows, KEYS[name], pointer["buckets"]), "seq": base}, chosen, cleared))
@@ -358,7 +384,7 @@ class Store:
 
 
 def _chosen(table: dict, most: int, whole: bool, by_bucket: bool) -> tuple[dict[str, set[str]], set[str]]:
-    """(buckets to merge of each folder, buckets whose deleted keys are done with then). Postings, whose deleted keys hold for all buckets, are merged all or not at all."""
+    """(buckets to merge of each folder, buckets whose deleted keys are done with then). Tables whose deleted keys hold for all buckets are merged all or not at all."""
     data, deletes = table.get("data", []), table.get("deletes", [])
     chosen: dict[str, set[str]] = {}
     cleared: set[str] = set()

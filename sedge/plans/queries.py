@@ -14,7 +14,7 @@ from sedge.functions import text as X
 from sedge.functions.chunking import STRUCTURE, ChunkConfig, chunk_column, fixed_stride, pieces_column
 from sedge.functions.vectors import clamp, cosine_to
 from sedge.operators import consolidate, embedding, graph, postings, retrieval, sessions
-from sedge.operators.store import Store, cascade
+from sedge.operators.store import Change, Store, cascade
 from sedge.plans import ingest
 from sedge.runtime import cut, scratch_path, table
 
@@ -196,16 +196,16 @@ def hybrid_search_text(spark, sf_dir):
     return hits.select("chunk_id", _round("score"), "document_title")
 
 
-# The store: all documents as one chunk each, inserted; those in German put in place of themselves; and all that merged
+# The store: all documents as one chunk each, inserted, and those in German put in place of themselves
 
 
 def indexed_store(spark, sf_dir):
-    docs, chunks = documents(spark, sf_dir), whole_chunks(spark, sf_dir)
-    named = docs.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source", F.lit("")).alias("source"), "content", "metadata", "created_at", "updated_at").where("content IS NOT NULL")
-    again = F.get_json_object("metadata", "$.lang") == "de"
+    """Its chunks are all it holds; vectors and titles are read from the tables."""
+    chunks = whole_chunks(spark, sf_dir).drop("embedding").where("content IS NOT NULL")
+    again = chunks.where(F.get_json_object("metadata", "$.lang") == "de")
     store = Store(spark, scratch_path(spark, "store"), analyzer=X.simple_analyzer)
-    store.insert(documents=named, chunks=chunks.where("content IS NOT NULL"))
-    store.upsert_documents(named.where(again), chunks.where("content IS NOT NULL").where(again))
+    store.insert(chunks=chunks)
+    store.commit(lambda old: Change(drop={"chunks": again.select("id")}, add={"chunks": again}))
     return store
 
 
@@ -223,14 +223,39 @@ def fulltext_index_topk(spark, sf_dir):
 
 @query(ORACLE["hybrid_terms"])
 def hybrid_index(spark, sf_dir):
-    """The hybrid search by the store's chunks and postings, with ids as numbers again so that ties fall as elsewhere."""
-    now = indexed_store(spark, sf_dir).snapshot()
-    number = lambda df, *names: df.select(*[F.col(c).cast("long").alias(c) if c in names else F.col(c) for c in df.columns])
-    chunks, matches = number(now.read("chunks"), "id", "document_id"), number(postings.search(now, TERMS), "chunk_id")
-    hits = retrieval.hybrid_topk(chunks, number(now.read("documents"), "id"), stored_vector(spark, sf_dir), TERMS, 10, 0.5, matches=matches)
+    """The hybrid search with the store's postings for the words, and ids as numbers again so that ties fall as elsewhere."""
+    found = postings.search(indexed_store(spark, sf_dir).snapshot(), TERMS)
+    matches = found.select(F.col("chunk_id").cast("long").alias("chunk_id"), "score")
+    hits = retrieval.hybrid_topk(whole_chunks(spark, sf_dir), documents(spark, sf_dir), stored_vector(spark, sf_dir), TERMS, 10, 0.5, matches=matches)
     return hits.select("chunk_id", _round("combined_score"), _round("vector_similarity"), _round("text_similarity"), "document_title", "document_source")
 
 
+@query(ORACLE["vector_topk"])
+def vector_lists(spark, sf_dir):
+    """The vector search by lists: fitted on all chunks, the German ones put in place of themselves afterwards."""
+    docs, chunks = documents(spark, sf_dir).where("content IS NOT NULL AND source IS NOT NULL"), whole_chunks(spark, sf_dir).where("content IS NOT NULL")
+    again = F.get_json_object("metadata", "$.lang") == "de"
+    store = Store(spark, scratch_path(spark, "store"))
+    store.insert(documents=docs.withColumn("title", F.coalesce("title", F.lit(""))), chunks=chunks)
+    store.index_vectors()
+    store.upsert_documents(docs.withColumn("title", F.coalesce("title", F.lit(""))).where(again), chunks.where(again))
+    hits = retrieval.vector_topk_listed(store.snapshot(), stored_vector(spark, sf_dir))
+    return hits.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "content", _round("similarity"), "document_title", "document_source")
+
+
+#: Every vector, and a copy of it without its first eight components.
+_COPIES = "SELECT vec_id * 2 AS vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id * 2 + 1, list_transform(embedding, lambda x, i: CASE WHEN i <= 8 THEN 0 ELSE x END)::DOUBLE[] FROM embeddings"
+
+
+@query(f"""WITH v AS ({_COPIES}) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS name_similarity
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.85""")
+def similar_pairs_by_lists(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "embedding")
+    cropped = F.when(F.col("copy") == 1, F.transform("embedding", lambda x, i: F.when(i < 8, F.lit(0).cast("float")).otherwise(x))).otherwise(F.col("embedding"))
+    found = consolidate.similar_pairs(e.select((F.col("vec_id") * 2 + F.col("copy")).alias("ord"), cropped.alias("name_embedding")))
+    return found.select("a", "b", _round("name_similarity"))
+
+
 _WIDE = P_SQL.format(step=1600, size=2000).replace("p AS", "wide AS", 1)
 
 

@@ -125,12 +125,12 @@ def test_only_the_terms_postings_are_opened(spark, tmp_path, monkeypatch):
     rows = [(f"c{i}", f"d{i}", " ".join(rng.choice(vocabulary) for _ in range(40)) + " common" * (40 if i in (7, 400) else 1 + i % 3), None, 0, None, 1) for i in range(600)]
     store.insert(chunks=spark.createDataFrame(rows, CHUNK))
     now = store.snapshot()
-    every, terms = now.parts("postings")[0], now.parts("postings", keys=["common", "w5"])[0]
+    every, terms = now.read("postings"), now.read("postings", keys=["common", "w5"])
     assert len(terms.inputFiles()) <= 2 < len(every.inputFiles())
     assert set(terms.inputFiles()) <= set(every.inputFiles())
     # shares whose bound is below the best ones' scores are not scored
     scored, whole = [], postings.matched
-    monkeypatch.setattr(postings, "matched", lambda each, terms: (scored.append(each.count()), whole(each, terms))[1])
+    monkeypatch.setattr(postings, "matched", lambda rows, terms, named: (scored.append(named.count()), whole(rows, terms, named))[1])
     assert [r["chunk_id"] for r in postings.search(now, "common", 2).collect()] == ["c400", "c7"]
     assert len(scored) == 2 and scored[1] <= 6 * 16 < 600
 
@@ -225,3 +225,55 @@ def test_a_failed_change_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="is null"):
         store.commit(lambda old: Change(add={"documents": good, "messages": spark.sql("SELECT 'm' AS id")}))
     assert store.versions() == [] and files(tmp_path / "s" / "documents") == {}
+
+
+def test_lists_against_a_scan(spark, tmp_path, monkeypatch):
+    """Vectors in clusters, odd ones among them, changed after the lists were fitted: the rows of a scan from a part of the lists."""
+    import numpy as np
+
+    from sedge.operators import lists
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    vector = lambda i: [float(x) for x in centres[i % 40] + 0.2 * rng.normal(size=24)]
+    rows = lambda ids: [(f"c{i}", f"d{i}", f"text {i}", vector(i), 0, None, 1) for i in ids]
+    odd = [("z0", "z", "t", [0.0] * 24, 0, None, 1), ("z1", "z", "t", [1.0], 1, None, 1), ("z2", "z", "t", None, 2, None, 1), ("z3", "z", "t", [float("nan")] * 24, 3, None, 1)]
+    documents = lambda ids: spark.createDataFrame([(f"d{i}", f"t{i}", "s", "c", None, None, None) for i in ids] + [("z", "z", "s", "c", None, None, None)], DOCUMENT)
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
+    with pytest.raises(ValueError):
+        lists.nearest(store.snapshot(), [1.0])
+    store.insert(documents=documents(range(800)), chunks=spark.createDataFrame(rows(range(800)) + odd[:3], CHUNK))
+    store.index_vectors(40)
+
+    def check(opened):
+        now = store.snapshot()
+        for n in range(3):
+            q = vector(n)
+            hits, count = lists.nearest(now, q, 7)
+            want = retrieval.vector_topk(now.read("chunks"), now.read("documents"), q, 7).collect()
+            assert [(r["chunk_id"], round(r["similarity"], 9)) for r in hits.collect()] == [(r["chunk_id"], round(r["similarity"], 9)) for r in want]
+            assert count <= opened
+        found = retrieval.vector_topk_listed(now, q, 7)
+        assert [r["chunk_id"] for r in found.collect()] == [r["chunk_id"] for r in want] and found.columns == retrieval.vector_topk(now.read("chunks"), now.read("documents"), q).columns
+        return now
+
+    now = check(30)
+    assert len(now.read("vectors", keys=[3]).inputFiles()) < len(now.read("vectors").inputFiles())
+    store.upsert_documents(documents(range(0, 800, 7)), spark.createDataFrame(rows(range(0, 800, 7)), CHUNK))
+    store.delete("documents", spark.createDataFrame([(f"d{i}",) for i in range(0, 800, 11)], "id string"))
+    check(30)
+    assert store.compact(whole=True)
+    now = check(30)
+    # all rows, those without a direction at 0, and probes
+    whole = lists.nearest(now, vector(0), 10_000)[0]
+    assert whole.count() == now.read("chunks").where("embedding IS NOT NULL").count()
+    recall = []
+    for n in range(10):
+        q = vector(n)
+        want = {r["chunk_id"] for r in lists.nearest(now, q, 10)[0].collect()}
+        hits, count = lists.nearest(now, q, 10, probes=5)
+        assert count == 5
+        recall.append(len(want & {r["chunk_id"] for r in hits.collect()}) / 10)
+    assert np.mean(recall) >= 0.9
+    store.clear()
+    assert store.read("vectors").count() == 0

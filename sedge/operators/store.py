@@ -16,9 +16,11 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sedge.functions.text import Analyzer
@@ -207,36 +209,57 @@ class Store:
         # lists are fitted once, so chunks are put into those that there are
         lists = L.stored(old) if "chunks" in {*change.add, *change.put} and "centres" not in empty and old.entries("centres", "data") else None
         folders: list[tuple[str, str, dict]] = []
+
+        def write(name: str, df: DataFrame, key: str, *uses: tuple[str, str]) -> dict:
+            entry = self._write(name, df, key, buckets)
+            folders.extend((table, kind, entry) for table, kind in uses)
+            return entry
+
+        def delete(ids: DataFrame, names: list[str]) -> None:
+            uses = [*names, *(["totals", *BY_DOCUMENT] if "chunks" in names else [])]
+            write(f"{names[0]}-deletes", ids.select(F.col("id").cast("string").alias("key")).where("key IS NOT NULL").distinct(), "key", *[(n, "deletes") for n in uses])
+
+        def add(name: str, df: DataFrame) -> None:
+            entry = write(name, self._shaped(name, df), KEYS[name], (name, "data"))
+            if name == "chunks" and entry["bytes"]:
+                fresh = self.spark.read.schema(self.schema("chunks")).parquet(*self.bucket_paths(entry, None))
+                sums = fresh.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("token_count").alias("counted"), F.sum("token_count").alias("tokens"))
+                derived = [lambda: write("totals", sums, "document_id", ("totals", "data"))]
+                if indexed:
+                    derived += [lambda: write("postings", P.postings(fresh, self.analyzer), "lexeme", ("postings", "data")), lambda: write("shares", P.shares(fresh), "file", ("shares", "data"))]
+                if lists is not None:
+                    derived.append(lambda: listed(fresh))
+                self._at_once(derived)
+
+        def listed(fresh: DataFrame) -> None:
+            entry = write("vectors", L.listed(fresh, lists), "list", ("vectors", "data"))
+            if entry["bytes"]:
+                rows = self.spark.read.schema(self.schema("vectors")).parquet(*self.bucket_paths(entry, None))
+                write("heads", L.heads(rows), "list", ("heads", "data"))
+
+        alike: dict[int, tuple[DataFrame, list[str]]] = {}
+        for name, ids in change.drop.items():  # the same ids of a parent and its children are written once
+            alike.setdefault(id(ids), (ids, []))[1].append(name)
         try:
-            for name, ids in change.drop.items():
-                entry = self._write(f"{name}-deletes", ids.select(F.col("id").cast("string").alias("key")).where("key IS NOT NULL").distinct(), "key", buckets)
-                folders.append((name, "deletes", entry))
-                if name == "chunks":
-                    folders += [(d, "deletes", entry) for d in ("totals", *BY_DOCUMENT)]
-            for name, df in [*change.put.items(), *change.add.items()]:
-                entry = self._write(name, self._shaped(name, df), KEYS[name], buckets)
-                folders.append((name, "data", entry))
-                if name == "chunks" and (paths := self.bucket_paths(entry, None)):
-                    fresh = self.spark.read.schema(self.schema("chunks")).parquet(*paths)
-                    sums = fresh.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("token_count").alias("counted"), F.sum("token_count").alias("tokens"))
-                    folders.append(("totals", "data", self._write("totals", sums, "document_id", buckets)))
-                    if indexed:
-                        folders.append(("postings", "data", self._write("postings", P.postings(fresh, self.analyzer), "lexeme", buckets)))
-                        folders.append(("shares", "data", self._write("shares", P.shares(fresh), "file", buckets)))
-                    if lists is not None and (paths := self.bucket_paths(entry := self._write("vectors", L.listed(fresh, lists), "list", buckets), None)):
-                        folders.append(("vectors", "data", entry))
-                        rows = self.spark.read.schema(self.schema("vectors")).parquet(*paths)
-                        folders.append(("heads", "data", self._write("heads", L.heads(rows), "list", buckets)))
+            self._at_once([*[lambda x=x: delete(*x) for x in alike.values()], *[lambda x=x: add(*x) for x in [*change.put.items(), *change.add.items()]]])
         except BaseException:
             self._drop([e for _, _, e in folders])
             raise
         return folders, empty
 
+    @staticmethod
+    def _at_once(jobs: list[Callable[[], object]]) -> None:
+        """Run jobs side by side, as small ones leave most of a cluster idle; when all have ended, raise the first error."""
+        with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+            running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        for done in running:
+            done.result()
+
     @staticmethod
     def _applied(pointer: dict, folders: list[tuple[str, str, dict]], empty: list[str], seq: int) -> dict:
         """``pointer`` after a change: tables emptied, then keys deleted, then rows added."""
         tables = {n: {k: list(v) for k, v in t.items()} for n, t in pointer["tables"].items() if n not in empty}
-        for name, kind, entry in folders:
+        for name, kind, entry in sorted(folders, key=lambda f: f[1] == "data"):
             if entry["bytes"] and not (kind == "deletes" and not tables.get(name, {}).get("data")):  # nothing that could be deleted
                 tables.setdefault(name, {}).setdefault(kind, []).append({**entry, "seq": seq})
         return {**pointer, "tables": tables}

@@ -56,6 +56,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns of one's own beside them."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with a column ``name``: 0, 1, 2 ... in an order that is total. Ranges are sorted apart and shifted by the counts before them, so no task sees all rows."""
     ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")

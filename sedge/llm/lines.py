@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.llm.quality import SPACES, let
-from sedge.runtime import cut
+from sedge.runtime import cut, own_prefix
 
 MIN_SITES = 10
 LG_K = 12
@@ -48,18 +48,19 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, i
     Lines travel as hashes, one narrow row each. Texts stay where they are read while the lists of their removed lines are few enough to
     broadcast, and move once otherwise, to meet them.
     """
-    docs = docs.drop("n_lines", "n_removed", "__id", "__row", "__gone")
+    docs = docs.drop("n_lines", "n_removed")
+    own = own_prefix(docs)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(site), F.col(site).isNull()).alias("site"), F.xxhash64(whole, F.length(whole)).alias("row"), F.posexplode(_split(F.col(text))).alias("pos", "line"))
     line = F.btrim("line", F.lit(SPACES))
     rows = cut(rows.where(line != "").select("id", "site", "row", "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")), "lines")
     boiler = spread_lines(rows.select("a", "b", "site", "id"), min_sites, lg_k)
     gone = rows.join(boiler, ["a", "b"]).where(F.col("first").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
-    gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("__gone")), "removed").select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    size = gone.agg(F.sum(64 + 4 * F.size("__gone"))).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if size <= LIST_BYTES else gone.hint("merge"), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(whole, F.length(whole)) == F.col("__row")), "left")
+    gone = cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias(f"{own}gone")), "removed").select(F.col("id").alias(f"{own}id"), F.col("row").alias(f"{own}row"), f"{own}gone")
+    size = gone.agg(F.sum(64 + 4 * F.size(f"{own}gone"))).first()[0] or 0
+    joined = docs.join(F.broadcast(gone) if size <= LIST_BYTES else gone.hint("merge"), F.col(id).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(whole, F.length(whole)) == F.col(f"{own}row")), "left")
     words = F.filter(_split(F.col(text)), lambda x: F.translate(x, SPACES, "") != "")
-    left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda p: F.get(x, p)), "\n"))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
+    left = let(_split(F.col(text)), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(f"{own}gone")), lambda p: F.get(x, p)), "\n"))
+    new = F.when(F.col(f"{own}gone").isNull(), F.col(text)).otherwise(left)
     keep = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*keep, F.size(words).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*keep, F.size(words).cast("long").alias("n_lines"), F.coalesce(F.size(f"{own}gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sedge.llm.quality import WORD, let
-from sedge.runtime import cut
+from sedge.runtime import cut, own_prefix
 
 #: Fractions that one fold pairs; it copies what it has decided at every step, so it stays small.
 FAN = 64
@@ -141,28 +141,29 @@ def _key(c: Column) -> Column:
 
 
 def mix_rows(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """The mix itself: the rows of ``docs`` as many times as :func:`mix_sources` takes them, all columns kept.
+    """The mix itself: the rows of ``docs`` as many times as :func:`mix_sources` takes them, all columns kept, whatever their names.
 
     Texts move once, to meet their decisions by source, id and size. Rows that agree in these are numbered, by their texts' hashes, and
     as many as were decided get the copy more. Where more than ALIKE rows agree, they are written apart first, dealt into groups of about so many
     by place, and each group gets its part of the copies.
     """
-    names = ["__id", "__source", "__size"]
+    own = own_prefix(docs)
+    names = [f"{own}id", f"{own}source", f"{own}size"]
     decided = _decide(docs, weights, share, cap, seed, id, source, text).where("whole > 0 OR ups > 0")
-    decided = cut(decided.select(_key(F.col("_id")).alias("__id"), _key(F.col("_source")).alias("__source"), F.col("size").alias("__size"), "n", "ups", "whole"), "decided").withColumnsRenamed({c: f"__{c}" for c in ("n", "ups", "whole")})
-    keyed = docs.withColumn("__id", _key(F.col(id))).withColumn("__source", _key(F.col(source))).withColumn("__size", words(F.col(text)))
-    hot = decided.where(F.col("__n") > ALIKE)
+    decided = cut(decided.select(_key(F.col("_id")).alias(f"{own}id"), _key(F.col("_source")).alias(f"{own}source"), F.col("size").alias(f"{own}size"), "n", "ups", "whole"), "decided").withColumnsRenamed({c: f"{own}{c}" for c in ("n", "ups", "whole")})
+    keyed = docs.withColumn(f"{own}id", _key(F.col(id))).withColumn(f"{own}source", _key(F.col(source))).withColumn(f"{own}size", words(F.col(text)))
+    hot = decided.where(F.col(f"{own}n") > ALIKE)
 
     def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text)))
-        copies = F.col("__whole") + (nth <= F.col("__ups")).cast("long")
-        return rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+        copies = F.col(f"{own}whole") + (nth <= F.col(f"{own}ups")).cast("long")
+        return rows.withColumn(f"{own}copies", copies).where(f"{own}copies > 0").withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{own}copies")))).select(*docs.columns)
 
-    out = numbered(keyed.hint("merge").join(decided.where(F.col("__n") <= ALIKE).hint("merge"), names), names)
+    out = numbered(keyed.hint("merge").join(decided.where(F.col(f"{own}n") <= ALIKE).hint("merge"), names), names)
     if hot.isEmpty():
         return out
-    apart = cut(keyed.join(hot, names).withColumn("__part", F.floor(F.monotonically_increasing_id() / ALIKE)), "alike")
-    parts = apart.groupBy(*names, "__part").agg(F.count("*").alias("__rows"), F.any_value("__ups").alias("__ups"))
-    before = F.sum("__rows").over(Window.partitionBy(*names).orderBy("__part")) - F.col("__rows")
-    quota = parts.select(*names, "__part", F.greatest(F.lit(0), F.least(F.col("__rows"), F.col("__ups") - before)).cast("long").alias("__ups"))
-    return out.unionByName(numbered(apart.drop("__ups").join(quota, [*names, "__part"]), [*names, "__part"]))
+    apart = cut(keyed.join(hot, names).withColumn(f"{own}part", F.floor(F.monotonically_increasing_id() / ALIKE)), "alike")
+    parts = apart.groupBy(*names, f"{own}part").agg(F.count("*").alias(f"{own}rows"), F.any_value(f"{own}ups").alias(f"{own}ups"))
+    before = F.sum(f"{own}rows").over(Window.partitionBy(*names).orderBy(f"{own}part")) - F.col(f"{own}rows")
+    quota = parts.select(*names, f"{own}part", F.greatest(F.lit(0), F.least(F.col(f"{own}rows"), F.col(f"{own}ups") - before)).cast("long").alias(f"{own}ups"))
+    return out.unionByName(numbered(apart.drop(f"{own}ups").join(quota, [*names, f"{own}part"]), [*names, f"{own}part"]))

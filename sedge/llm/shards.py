@@ -21,13 +21,13 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sedge.runtime import cut
+from sedge.runtime import own_prefix, scratch_path
 
 TARGET_BYTES = 128 << 20
 FAN = 4
 BASE_BYTES = 64 << 10
-#: Appends that shard() makes of its input, and the column that deals the rows to them.
-ARRIVALS, PART = 4, "__arrival"
+#: Appends that shard() makes of its input.
+ARRIVALS = 4
 
 
 #: Seconds that files which no version lists are left alone, as they may be another writer's.
@@ -224,10 +224,14 @@ def shard(df: DataFrame, root: str, target_bytes: int = TARGET_BYTES, shard_rows
     table commits a version without shards.
     """
     store = ShardStore(df.sparkSession, root)
-    # by position in the input, so that equal rows do not have to be told apart
-    parts = cut(df.withColumn(PART, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int")), "arrivals")
-    for k in range(arrivals):
-        store.append(parts.where(F.col(PART) == k).drop(PART), shard_rows)
+    # by position in the input, so that equal rows do not have to be told apart; each arrival is a folder, so that it is read alone
+    part, path = f"{own_prefix(df)}arrival", scratch_path(df.sparkSession, "arrivals")
+    with _microseconds(df.sparkSession):
+        df.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int")).write.partitionBy(part).option("compression", "zstd").parquet(path)
+    fs = store.jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    folders = [f for k in range(arrivals) if fs.exists(store.jvm.org.apache.hadoop.fs.Path(f := f"{path}/{part}={k}"))]
+    for rows in [df.sparkSession.read.schema(df.schema).parquet(f) for f in folders] or [df.limit(0)]:
+        store.append(rows, shard_rows)
         store.compact(target_bytes)
     store.compact(target_bytes, final=True)
     store.vacuum()

@@ -61,3 +61,12 @@ def test_near_the_threshold_counts_are_exact(spark):
 
 def test_empty(spark, documents):
     assert dedup_lines(documents([])).count() == 0
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    names = ["__id", "__row", "__gone", "___id", "a", "b"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, "shared line\nown " + str(i), f"s{i}", *[f"{n} {i}" for n in names]) for i in range(12)]
+    out = dedup_lines(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
+    assert [tuple(r)[3 : 3 + len(names)] for r in out] == [r[3:] for r in rows]
+    assert [r["n_removed"] for r in out] == [0] + [1] * 11

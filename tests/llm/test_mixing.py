@@ -122,3 +122,13 @@ def test_no_python_in_any_plan(spark, documents, monkeypatch):
     told(mix_sources(documents(corpus(1, 60))))
     told(mix_rows(documents(corpus(1, 60))))
     assert len(plans) > 8 and not [p for p in plans for word in ("Python", "Arrow", "Pandas", "PythonRDD") if word in p]
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Every row comes back as it was, whatever its columns are called."""
+    names = ["__id", "__source", "__size", "__n", "__ups", "__whole", "__copies", "__copy", "__part", "__rows", "___id", "__Arrival", "__arrival2"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, "a b c d", f"s{i % 3}", *[f"{n} {i}" for n in names]) for i in range(40)] + [(7, "a b c d", "s1", *["x"] * len(names))] * 600
+    out = mix_rows(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "source", *names]
+    assert {tuple(r) for r in out.collect()} <= set(rows) and out.where("`__id` LIKE '__id %'").count() > 0

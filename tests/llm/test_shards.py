@@ -102,3 +102,11 @@ def test_the_query_merges_by_tiers(spark, tmp_path, monkeypatch):
     store = shard(spark.range(0, 4000, 1, 8).selectExpr("id", "repeat(cast(id AS string), 20) AS text"), f"file://{tmp_path}/s")
     assert [len(s) for s in kept] == [8, 1, 9, 2, 10, 3, 11, 4, 1] or max(map(len, kept)) > len(store.manifest()[1])
     assert [sum(x.rows for x in s) for s in kept][-1] == 4000 and len(store.manifest()[1]) == 1
+
+
+def test_columns_named_like_the_operators_own_stay(spark, tmp_path):
+    df = spark.range(0, 50, 1, 3).selectExpr("id", "cast(id % 4 AS int) AS __arrival", "'x' AS ___arrival", "id AS __Arrival_")
+    back = shard(df, f"file://{tmp_path}/s").read()
+    assert back.columns == df.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    few = shard(spark.range(2), f"file://{tmp_path}/few").read()
+    assert sorted(r["id"] for r in few.collect()) == [0, 1]

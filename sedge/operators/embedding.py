@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sedge.runtime import cut
+
 #: Takes texts, returns a vector for each; it may raise RateLimited.
 Provider = Callable[[list[str]], list[list[float]]]
 # Dimensions and longest input in tokens of known models, and of any other.
@@ -112,6 +115,35 @@ def embed(rows: DataFrame, provider: Provider, config: EmbeddingConfig = Embeddi
     return keyed.drop("embedding").join(vectors, "_key", "left").drop("_key").withColumn("embedding_model", F.lit(config.model)).withColumn("embedding_generated_at", F.current_timestamp())
 
 
+CACHE = "key string, model string, embedding array<float>, used_at timestamp"
+
+
+def embed_cached(rows: DataFrame, provider: Provider, path: str, config: EmbeddingConfig = EmbeddingConfig(), text: str = "content", keep: int | None = None) -> DataFrame:
+    """The same as :func:`embed`, with a table at ``path`` of what earlier calls made, by the text's md5 and the model; the provider sees only texts that are not there.
+
+    Each call writes a folder with its texts' vectors and the time, new ones and those that it found, and the rows come from it; failures are not kept, so they are tried again. With ``keep``
+    only the so many folders written last are looked at and the rest deleted, so what no call has used for so long goes.
+    """
+    spark = rows.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(root) else []
+    folders = [name for _, name in made]
+    kept = folders if keep is None else folders[max(0, len(folders) - keep) :]
+    keyed = rows.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    once = keyed.groupBy("_md5").agg(F.any_value(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    old = spark.read.schema(CACHE).parquet(*[f"{path}/{k}" for k in kept]) if kept else spark.createDataFrame([], CACHE)
+    old = old.where(F.col("model") == config.model).groupBy("key").agg(F.max_by("embedding", "used_at").alias("embedding"))
+    found = once.join(old, F.col("_md5") == F.col("key")).select("_md5", "embedding", F.lit(None).cast("string").alias("embedding_error"))
+    fresh = embed(once.join(old, F.col("_md5") == F.col("key"), "left_anti"), provider, config, "_text").select("_md5", "embedding", "embedding_error")
+    done = cut(found.unionByName(fresh), "embedded")
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    done.where("embedding_error IS NULL").select(F.col("_md5").alias("key"), F.lit(config.model).alias("model"), "embedding", F.current_timestamp().alias("used_at")).write.parquet(f"{path}/{name}")
+    for gone in folders[: len(folders) - len(kept)]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{gone}"), True)
+    return keyed.drop("embedding").join(done, "_md5", "left").drop("_md5").withColumn("embedding_model", F.lit(config.model)).withColumn("embedding_generated_at", F.current_timestamp())
+
+
 def embed_missing(entities: DataFrame, provider: Provider, config: EmbeddingConfig = EmbeddingConfig()) -> DataFrame:
     """Entities with name vectors, made only where there is none, and summary vectors of all summaries that are not blank."""
     bare = embed(entities.where(F.coalesce(F.size("name_embedding"), F.lit(0)) <= 0), provider, config, "name")

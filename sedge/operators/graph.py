@@ -140,8 +140,17 @@ def entity_relationships(edges: DataFrame, name: str) -> DataFrame:
     return out.distinct().unionByName(into.distinct())
 
 
+def related_facts(entities: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(central_entity, direction, related_key, predicate, fact), a row for each different fact one hop away; none if there is no such entity."""
+    own = entities.where(F.col("name_key") == normal_name(F.lit(name))).select(F.col("name").alias("central_entity"))
+    return own.join(entity_relationships(edges, name)).select("central_entity", "direction", "related_key", "predicate", "fact")
+
+
 def related_entities(entities: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """One row: central_entity, related_entities (sorted set) and related_facts, outgoing first; no row if there is no such entity."""
+    """One row: central_entity, related_entities (sorted set) and related_facts, outgoing first; no row if there is no such entity.
+
+    An entity of very many facts is better asked for as rows (:func:`related_facts`).
+    """
     own = entities.where(F.col("name_key") == normal_name(F.lit(name))).select("name_key", F.col("name").alias("central_entity"))
     links = entity_relationships(edges, name)
     packed = links.agg(F.sort_array(F.collect_set("related_key")).alias("related_entities"), F.sort_array(F.collect_list(F.struct(F.when(F.col("direction") == "out", 0).otherwise(1).alias("o"), "related_key", "predicate", "fact"))).alias("related_facts"))

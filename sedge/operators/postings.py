@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.functions.text import LEXEME_WEIGHT, Analyzer, cover_sum, query_terms, simple_analyzer, tokens
 
-#: ``ends`` has where each slot's positions end among ``places``.
-POSTINGS = "lexeme string not null, file long not null, part int not null, most int not null, slots array<int> not null, ends array<int> not null, places array<int> not null"
+#: ``data`` has the number of slots, the slots, where each slot's positions end, and the positions; most lexemes have one slot and one position in a share, so one array is all they carry.
+POSTINGS = "lexeme string not null, file long not null, part int not null, most int not null, data array<int> not null"
 SHARES = "file long not null, part int not null, slot int not null, chunk_id string not null, document_id string not null"
 #: Chunks of a share.
 BLOCK = 1024
@@ -69,22 +69,35 @@ def _share_postings(share: pa.RecordBatch):
     ends = np.append(begins[1:], len(row))
     of = np.searchsorted(begins, first)  # the first slot of each lexeme
     counts = np.diff(np.append(of, len(begins)))
-    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+    # of each lexeme in turn: its number of slots, the slots, the ends, the places
+    sizes = 1 + 2 * counts + np.diff(np.append(first, len(row)))
+    starts = np.cumsum(sizes) - sizes
+    data = np.zeros(sizes.sum(), np.int32)
+    nth = np.arange(len(begins)) - np.repeat(of, counts)
+    data[starts] = counts
+    data[np.repeat(starts + 1, counts) + nth] = share.column(2).to_numpy()[row[begins]]
+    data[np.repeat(starts + 1 + counts, counts) + nth] = ends - np.repeat(first, counts)
+    data[np.repeat(starts + 1 + 2 * counts - first, np.diff(np.append(first, len(row)))) + np.arange(len(row))] = place
     yield pa.RecordBatch.from_arrays(
         [
             flat.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), share.column(0)[0].as_py())), pa.array(np.full(len(first), share.column(1)[0].as_py(), np.int32)),
-            pa.array(np.maximum.reduceat(ends - begins, of).astype(np.int32)),
-            lists(np.append(of, len(begins)), share.column(2).to_numpy()[row[begins]]), lists(np.append(of, len(begins)), ends - np.repeat(first, counts)), lists(np.append(first, len(row)), place),
+            pa.array(np.maximum.reduceat(ends - begins, of).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(data)).astype(np.int32)), pa.array(data)),
         ],
-        ["lexeme", "file", "part", "most", "slots", "ends", "places"],
+        ["lexeme", "file", "part", "most", "data"],
     )
 
 
+def slots(rows: DataFrame) -> DataFrame:
+    """(lexeme, file, part, slot, n, places): one row for each chunk that a lexeme is in."""
+    n = F.get("data", F.lit(0))
+    end = lambda i: F.when(i < 0, 0).otherwise(F.get("data", 1 + n + i))
+    one = lambda i: F.struct(F.get("data", 1 + i).alias("slot"), (end(i) - end(i - 1)).alias("n"), F.slice("data", 2 + 2 * n + end(i - 1), end(i) - end(i - 1)).alias("places"))
+    return rows.select("lexeme", "file", "part", F.explode(F.transform(F.sequence(F.lit(0), n - 1), one)).alias("p")).select("lexeme", "file", "part", "p.*")
+
+
 def matched(rows: DataFrame, terms: list[str], named: DataFrame) -> DataFrame:
     """(chunk_id, document_id, score) of the chunks of ``named``, rows of SHARES, that hold every one of ``terms``, which differ."""
-    starts = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
-    one = lambda slot, i: F.struct(slot.alias("slot"), (F.get("ends", i) - starts(i)).alias("n"), F.slice("places", starts(i) + 1, F.get("ends", i) - starts(i)).alias("places"))
-    each = rows.select("lexeme", "file", "part", F.explode(F.transform("slots", one)).alias("p")).select("lexeme", "file", "part", "p.*")
+    each = slots(rows)
     if len(terms) == 1:
         scored = each.select("file", "part", "slot", (F.col("n") * F.lit(LEXEME_WEIGHT)).alias("score"))
     else:

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 from sedge.functions.text import Analyzer, json_contains, matches, query_terms, rank_cover, rank_one_term, simple_analyzer, tokens
 from sedge.functions.vectors import clamp, cosine_to
 from sedge.operators.embedding import EmbeddingConfig, Provider, embed_batch
-from sedge.operators.lists import nearest
+from sedge.operators.graph import NEAREST, graph_search
+from sedge.operators.lists import nearest as nearest_listed
 from sedge.runtime import cut, scratch_path
 
 MOST_RESULTS = 50
@@ -57,7 +58,7 @@ def vector_topk_listed(snapshot, query: list[float], k: int = 10, probes: int |
 
     With ``probes`` only so many lists are, and the result may miss some.
     """
-    hits = cut(nearest(snapshot, query, k, probes)[0], "hits")
+    hits = cut(nearest_listed(snapshot, query, k, probes)[0], "hits")
     owners = [r[0] for r in hits.select("document_id").distinct().collect()]  # at most k
     chunks = snapshot.read("chunks", keys=owners).select(F.col("id").alias("chunk_id"), "content", "metadata")
     documents = snapshot.read("documents", keys=owners)
@@ -173,6 +174,22 @@ def search_hybrid(chunks: DataFrame, documents: DataFrame, text: str, provider:
     return as_results(hits, "combined_score")
 
 
+def search_graph(entities: DataFrame, edges: DataFrame, text: str, provider: Provider, config: EmbeddingConfig = EmbeddingConfig(), nearest: int = NEAREST) -> DataFrame:
+    """Facts about the entities nearest to a text. Name vectors of another length than the model's count as missing."""
+    fit = entities.withColumn("name_embedding", F.when(check_dimension(F.col("name_embedding"), config.dimension), F.col("name_embedding")))
+    return graph_search(fit, edges, query_vector(text, provider, config), nearest)
+
+
+def or_nothing(search: Callable[[], DataFrame], failed: Callable[[str], None] | None = None) -> DataFrame | None:
+    """What a search finds, as a written table; None if it fails, after ``failed`` was told why. An agent goes on without it."""
+    try:
+        return cut(search(), "found")
+    except Exception as e:  # the caller's other tools are worth having
+        if failed is not None:
+            failed(str(e).split("\n")[0])
+        return None
+
+
 def _of_model(chunks: DataFrame, config: EmbeddingConfig) -> DataFrame:
     return chunks.withColumn("embedding", F.when(check_dimension(F.col("embedding"), config.dimension), F.col("embedding")))
 

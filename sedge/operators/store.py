@@ -247,11 +247,10 @@ class Store:
             raise
         return folders, empty
 
-    @staticmethod
-    def _at_once(jobs: list[Callable[[], object]]) -> None:
+    def _at_once(self, jobs: list[Callable[[], object]]) -> None:
         """Run jobs side by side, as small ones leave most of a cluster idle; when all have ended, raise the first error."""
         with ThreadPoolExecutor(max(1, len(jobs))) as pool:
-            running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+            running = [pool.submit(inheritable_thread_target(self.spark)(job)) for job in jobs]
         for done in running:
             done.result()
 

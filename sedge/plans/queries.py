@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sedge.functions import text as X
 from sedge.functions.chunking import STRUCTURE, ChunkConfig, chunk_column, fixed_stride, pieces_column
 from sedge.functions.vectors import clamp, cosine_to
-from sedge.operators import consolidate, embedding, graph, postings, retrieval, sessions
+from sedge.operators import consolidate, embedding, graph, postings, retrieval, sessions, trigrams
 from sedge.operators.store import Change, Store, cascade
 from sedge.plans import ingest
 from sedge.runtime import cut, scratch_path, table
@@ -256,6 +256,30 @@ def similar_pairs_by_lists(spark, sf_dir):
     return found.select("a", "b", _round("name_similarity"))
 
 
+def named_store(spark, sf_dir):
+    """Names of parts as chunks, indexed by trigrams."""
+    part = table(spark, sf_dir, "part")
+    store = Store(spark, scratch_path(spark, "store"), analyzer=trigrams.trigram_analyzer)
+    store.insert(chunks=part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_id"), F.concat_ws(" ", "p_name", "p_type").alias("content"), F.lit(0).alias("chunk_index")))
+    return store.snapshot()
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'ing econ')")
+def trigram_contains(spark, sf_dir):
+    return trigrams.containing(named_store(spark, sf_dir), "ING econ").select(F.col("id").cast("long").alias("p_partkey"))
+
+
+_GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_GRAMS.format("p_name || ' ' || p_type")} AS a, {_GRAMS.format("(SELECT p_name || ' ' || p_type FROM part WHERE p_partkey = 1)")} AS b FROM part),
+s AS (SELECT p_partkey, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS s FROM t)
+SELECT p_partkey, round(s, 6) AS similarity FROM s WHERE s >= 0.6""")
+def trigram_alike(spark, sf_dir):
+    first = table(spark, sf_dir, "part").where("p_partkey = 1").select(F.concat_ws(" ", "p_name", "p_type")).first()[0]
+    return trigrams.alike(named_store(spark, sf_dir), first, 0.6).select(F.col("chunk_id").cast("long").alias("p_partkey"), _round("similarity"))
+
+
 _WIDE = P_SQL.format(step=1600, size=2000).replace("p AS", "wide AS", 1)
 
 
@@ -424,6 +448,36 @@ def chunk_semantic(spark, sf_dir):
     return _chunked(spark, sf_dir, False)
 
 
+#: Replacements that make blank lines, headings, bullets, numbers, table rows and fences of what the texts have everywhere.
+STRUCTURED = ((". ", ".\n\n"), ("\n\nT", "\n## T"), (", ", ",\n- "), (" the ", "\n1. the "), (" and ", "\n| and |\n"), (" on ", "\n```\non```\n"))
+
+
+def _structured_sql(statement: str) -> str:
+    text = "text"
+    for old, new in STRUCTURED:
+        text = f"replace({text}, '{old}', '{new}')".replace("\n", "' || chr(10) || '")
+    head = f"WITH RECURSIVE structured AS (SELECT doc_id, {text} AS text FROM documents), "
+    return head + statement.removeprefix("WITH RECURSIVE ").replace("FROM documents", "FROM structured").replace("JOIN documents", "JOIN structured")
+
+
+def _chunked_structured(spark, sf_dir, simple):
+    text = F.col("text")
+    for old, new in STRUCTURED:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunk_column(text, ChunkConfig(), simple)).alias("c"))
+    return rows.select("doc_id", "c.*")
+
+
+@query(_structured_sql(M_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS)))
+def chunk_structured(spark, sf_dir):
+    return _chunked_structured(spark, sf_dir, False)
+
+
+@query(_structured_sql(W_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS)))
+def chunk_structured_pack(spark, sf_dir):
+    return _chunked_structured(spark, sf_dir, True)
+
+
 @query("SELECT doc_id, (length(text) // 4)::INT AS token_count FROM documents")
 def chunk_token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("token_count"))
@@ -455,6 +509,15 @@ def json_containment(spark, sf_dir):
     return table(spark, sf_dir, "events").where(X.json_contains(F.col("props"), {"k": 7})).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ((props::JSON->>'k')::INT % 3 = 1 OR (props::JSON->>'k')::INT = 1)")
+def json_containment_nested(spark, sf_dir):
+    """An object in an object, and an element of an array."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    nested = F.to_json(F.struct(F.struct(F.array(k, k % 3).alias("l"), F.col("event_type").alias("t")).alias("a"), k.alias("k")))
+    return e.where(X.json_contains(nested, {"a": {"l": [1], "t": "click"}})).select("event_id")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\":0,\"t\":\"' || event_type || '\"}' ELSE '{\"k\":' || (props::JSON->>'k') || ',\"t\":\"' || event_type || '\"}' END AS props FROM events")
 def json_merged(spark, sf_dir):
     change = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"t":"'), "event_type", F.lit('","k":0}'))).otherwise(F.concat(F.lit('{"t":"'), "event_type", F.lit('"}')))
@@ -616,6 +679,12 @@ def related_entities(spark, sf_dir):
     return found.select("central_entity", F.array_join("related_entities", ",").alias("related"))
 
 
+@query(f"""WITH {E_SQL} SELECT name AS central_entity, direction, related_key, predicate, fact FROM n, (SELECT DISTINCT 'out' AS direction, dst_key AS related_key, predicate, fact FROM e WHERE src_key = 'nation_6'
+  UNION ALL SELECT DISTINCT 'in', src_key, predicate, fact FROM e WHERE dst_key = 'nation_6') WHERE name_key = 'nation_6'""")
+def related_facts(spark, sf_dir):
+    return graph.related_facts(*entity_frames(spark, sf_dir), "NATION_6")
+
+
 @query("SELECT 'supplies with flag ' || l_returnflag AS fact, 'part-' || l_partkey AS related_key, l_shipdate AS valid_at FROM lineitem WHERE l_suppkey = 1")
 def entity_timeline(spark, sf_dir):
     return graph.entity_timeline(supply_edges(spark, sf_dir), "supplier-1")
@@ -629,13 +698,30 @@ def graph_search(spark, sf_dir):
     return graph_hits(spark, sf_dir).select("source_node", "fact", "is_summary")
 
 
-def graph_hits(spark, sf_dir):
+def vector_graph(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     nodes = e.select(F.concat(F.lit("vector-"), "vec_id").alias("name_key"), F.concat(F.lit("Vector "), "vec_id").alias("name"), F.concat(F.lit("vector "), "vec_id").alias("summary"), F.col("embedding").alias("name_embedding"))
     edges = table(spark, sf_dir, "customer").select(F.concat(F.lit("vector-"), F.col("c_custkey") % 1000).alias("src_key"), F.concat(F.lit("customer-"), "c_custkey").alias("dst_key"), F.concat(F.lit("bought by "), "c_custkey").alias("fact"), F.lit("sold_to").alias("predicate"))
+    return nodes, edges
+
+
+def graph_hits(spark, sf_dir):
+    nodes, edges = vector_graph(spark, sf_dir)
     return graph.graph_search(nodes, edges, stored_vector(spark, sf_dir))
 
 
+_NEAR_SQL = """WITH w AS (SELECT 'vector-' || vec_id AS name_key, 'Vector ' || vec_id AS name, {0} AS s, vec_id FROM embeddings),
+k AS (SELECT * FROM w ORDER BY round(s, 9) DESC, name_key LIMIT 10)
+SELECT name_key AS source_node, 'bought by ' || c_custkey AS fact, false AS is_summary FROM k JOIN customer ON c_custkey % 1000 = vec_id
+UNION ALL SELECT name_key, name || ': vector ' || vec_id, true FROM k WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 1000 = vec_id)"""
+
+
+@query(_NEAR_SQL.format(QUESTION_SQL))
+def graph_search_text(spark, sf_dir):
+    nodes, edges = vector_graph(spark, sf_dir)
+    return retrieval.search_graph(nodes, edges, QUESTION, embedding.hashing_provider(64), MODEL).select("source_node", "fact", "is_summary")
+
+
 @query(f"""WITH RECURSIVE {E_SQL}, b AS (SELECT src_key AS x, dst_key AS y FROM e UNION SELECT dst_key, src_key FROM e),
 r AS (SELECT 'europe' AS key, 0 AS depth UNION SELECT y, depth + 1 FROM r JOIN b ON x = key WHERE depth < 2)
 SELECT key, min(depth)::INT AS depth FROM r GROUP BY key""")
@@ -744,6 +830,22 @@ def embed_dedup(spark, sf_dir):
     return done.agg(F.count("*").alias("rows"), F.countDistinct("k", "v").alias("vectors"))
 
 
+@query("SELECT count(*) AS rows, count(DISTINCT text) AS vectors, 0::BIGINT AS calls_again FROM documents")
+def embed_cache(spark, sf_dir):
+    """Two runs over all documents: the second finds every vector of the first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    path, config = scratch_path(spark, "cache"), embedding.EmbeddingConfig("stand-in", size=16)
+    calls, provider = spark.sparkContext.accumulator(0), embedding.hashing_provider(16)
+
+    def counted(texts: list[str]) -> list[list[float]]:
+        calls.add(len(texts))
+        return provider(texts)
+
+    embedding.embed_cached(d, provider, path, config)
+    done = cut(embedding.embed_cached(d, counted, path, config).select(F.md5("content").alias("k"), F.xxhash64("embedding").alias("v")), "embedded")
+    return done.agg(F.count("*").alias("rows"), F.countDistinct("k", "v").alias("vectors")).withColumn("calls_again", F.lit(calls.value).cast("long"))
+
+
 @query(f"""SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks_created, count(*) AS episodes_created, (2 * count(*))::BIGINT AS entities_extracted, count(*)::BIGINT AS relationships_created, 0::BIGINT AS errors
 FROM ({W_SQL.replace("cut(text, start)", CUT_WIDE).replace("@ws", BLANKS)})""")
 def ingest_rollup(spark, sf_dir):

@@ -106,6 +106,11 @@ def repair_text(text: pd.Series) -> pd.Series:
     return text.map(repaired, na_action="ignore")
 
 
+def repair(text: Column) -> Column:
+    """:func:`repaired`; only texts that hold one of the control characters are handed to Python."""
+    return F.coalesce(repair_text(F.when(text.rlike(r"[\x00\x03]"), text)), text)
+
+
 def title(content: Column, path: Column) -> Column:
     """Text of the first line ``# ...`` among the first ten, else the file name without its last extension."""
     lines = F.transform(F.slice(F.split(content, "\n"), 1, 10), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
@@ -145,6 +150,11 @@ def front_matter_json(text: pd.Series) -> pd.Series:
     return text.map(front_matter, na_action="ignore")
 
 
+def front_matter_of(text: Column) -> Column:
+    """:func:`front_matter`; only texts that begin with the mark are handed to Python."""
+    return front_matter_json(F.when(text.startswith("---"), text))
+
+
 def reply_object(reply: Column) -> Column:
     """The JSON object in a model's reply: code fences off, outermost braces, null if what is left is not JSON."""
     bare = F.regexp_replace(F.regexp_replace(F.btrim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from sedge.functions.text import normal_name, repair_text, repaired, reply_object
+from sedge.functions.text import normal_name, repair, repaired, reply_object
 from sedge.functions.vectors import cosine_to
 
 MOST_ENTITIES = 8
@@ -49,7 +49,7 @@ def parse_replies(rows: DataFrame, reply: str = "reply", most: int = MOST_ENTITI
     entities the first stay, and only then do relationships with an end that did not stay go. A reply that is no JSON object has neither.
     """
     strip = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
-    parsed = rows.withColumn("_x", F.from_json(reply_object(repair_text(F.col(reply))), EXTRACTED))
+    parsed = rows.withColumn("_x", F.from_json(reply_object(repair(F.col(reply))), EXTRACTED))
     none_e, none_r = (F.array().cast(t) for t in ("array<struct<name:string,type:string,summary:string>>", "array<struct<subject:string,predicate:string,object:string,fact:string>>"))
     entities = F.transform(F.coalesce("_x.entities", none_e), lambda e: F.struct(strip(e["name"]).alias("name"), strip(F.coalesce(e["type"], F.lit("other"))).alias("type"), strip(e["summary"]).alias("summary")))
     links = F.transform(F.coalesce("_x.relationships", none_r), lambda r: F.struct(*[strip(r[k]).alias(k) for k in ("subject", "predicate", "object", "fact")]))

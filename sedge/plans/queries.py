@@ -14,6 +14,7 @@ from sedge.functions import text as X
 from sedge.functions.chunking import STRUCTURE, ChunkConfig, chunk_column, fixed_stride, pieces_column
 from sedge.functions.vectors import clamp, cosine_to
 from sedge.operators import consolidate, embedding, graph, postings, retrieval, sessions, trigrams
+from sedge.operators.paging import Pages
 from sedge.operators.store import Change, Store, cascade
 from sedge.plans import ingest
 from sedge.runtime import cut, scratch_path, table
@@ -324,6 +325,15 @@ def list_documents_filtered(spark, sf_dir):
     return _listed(spark, sf_dir, 20, 0, {"lang": "de"})
 
 
+@query(L_SQL.format(where="", limit=20, offset=140))
+def list_documents_seek(spark, sf_dir):
+    """The eighth page of a listing that was written by page."""
+    docs, chunks = documents(spark, sf_dir), stride_chunks(spark, sf_dir)
+    listed = docs.select("id", "title", "source", F.to_timestamp_ntz(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("created_at"))
+    listed = listed.join(retrieval.chunk_counts(chunks).select("document_id", "chunk_count"), F.col("id") == F.col("document_id"), "left").drop("document_id").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    return Pages.write(listed, scratch_path(spark, "pages"), F.desc("created_at"), F.col("id"), size=20).page(7)
+
+
 @query("SELECT count(*) AS total FROM documents WHERE lang = 'de'")
 def list_total(spark, sf_dir):
     return retrieval.count_documents(documents(spark, sf_dir), {"lang": "de"})

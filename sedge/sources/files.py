@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sedge.functions.text import front_matter_json, json_merge, line_count, title, word_count
+from sedge.functions.text import front_matter_of, json_merge, line_count, title, word_count
 
 PATTERN = "*.{md,markdown,txt}"
 
@@ -39,6 +39,6 @@ def as_documents(texts: DataFrame) -> DataFrame:
     """id, title, source, content, metadata (JSON) and created_at of (path, source, content, modified)."""
     facts = F.to_json(F.struct(F.col("path").alias("file_path"), F.length("content").alias("file_size")))
     counts = F.to_json(F.struct(line_count(F.col("content")).alias("line_count"), word_count(F.col("content")).alias("word_count")))
-    head = F.coalesce(front_matter_json("content"), F.lit("{}"))
+    head = F.coalesce(front_matter_of(F.col("content")), F.lit("{}"))
     metadata = json_merge(json_merge(facts, head), counts)
     return texts.select(document_id(F.col("source")).alias("id"), title(F.col("content"), F.col("path")).alias("title"), "source", "content", metadata.alias("metadata"), F.col("modified").alias("created_at"), F.col("modified").alias("updated_at"))

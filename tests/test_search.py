@@ -1,4 +1,4 @@
-"""Trigram search, the embedding cache, graph search by text."""
+"""Trigram search, the embedding cache, graph search by text, pages."""
 
 import random
 import re
@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sedge.functions import text as X
 from sedge.functions.text import greek_analyzer
-from sedge.operators import embedding, graph, postings, retrieval, trigrams
+from sedge.operators import embedding, graph, paging, postings, retrieval, trigrams
 from sedge.operators.store import Store
 
 CHUNK = "id string, document_id string, content string, embedding array<float>, chunk_index int, metadata string, token_count int"
@@ -99,3 +100,29 @@ def test_postings_of_another_analyzer(spark, tmp_path):
         found, rank = retrieval.text_scores(F.col("content"), text, greek_analyzer)
         want = {r["id"]: round(r["s"], 9) for r in now.read("chunks").where(found).select("id", rank.alias("s")).collect()}
         assert {r["chunk_id"]: round(r["score"], 9) for r in postings.search(now, text, analyzer=greek_analyzer).collect()} == want
+
+
+def test_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "RANGE", 4)
+    rows = [(i * 7 % 500, i % 3, "x" if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, `__page` int, `__n` string").repartition(5)
+    pages = paging.Pages.write(df, f"file://{tmp_path}/p", F.col("__n").asc_nulls_first(), F.desc("id"), size=12)
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2], -r[0]))
+    assert pages.count == 42 and pages.page(0).columns == df.columns
+    for n in (0, 1, 20, 41, 42, 1000):
+        assert [tuple(r) for r in pages.page(n).collect()] == order[12 * n : 12 * n + 12]
+    whole = spark.read.parquet(f"file://{tmp_path}/p").inputFiles()
+    assert len(pages.page(20).inputFiles()) == len(whole)  # before pruning
+    plan = pages.page(20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(___range" in plan and "= 5)" in plan
+    starts = {r["page"]: r["id"] for r in pages.starts().collect()}
+    assert starts == {n: order[12 * n][0] for n in range(42)}
+    none = paging.Pages.write(df.limit(0), f"file://{tmp_path}/none", F.col("id"))
+    assert none.count == 0
+
+
+def test_only_broken_texts_go_to_python(spark):
+    df = spark.createDataFrame([("plain",), ("a \x0394 b",), (None,), ("---\nk: v\n---\nrest",), ("--- no",)], "t string")
+    got = df.select(X.repair(F.col("t")).alias("r"), X.front_matter_of(F.col("t")).alias("f")).collect()
+    assert [r["r"] for r in got] == ["plain", "a Δ b", None, "---\nk: v\n---\nrest", "--- no"]
+    assert [r["f"] for r in got] == [None, None, None, '{"k": "v"}', None]

@@ -121,6 +121,23 @@ def _pairs_by_lists(rows: DataFrame, threshold: float, block: int, column: str)
     return found
 
 
+def greedy_leaders(nodes: list[int], linked: dict[int, set[int]], most: int = MOST_IN_GROUP) -> dict[int, int]:
+    """The rule that :func:`group_entities` follows, for links that one process can hold. Leader of each node: in order, a free node leads and takes the free later nodes similar to it, up to the group's size."""
+    leader: dict[int, int] = {}
+    for i in sorted(nodes):
+        if i in leader:
+            continue
+        leader[i] = i
+        room = most - 1
+        for j in sorted(x for x in linked.get(i, ()) if x > i):
+            if room <= 0:
+                break
+            if j not in leader:
+                leader[j] = i
+                room -= 1
+    return leader
+
+
 def _settle(most: int):
     """Pandas function of a range of leaders' links, in order: (node, owner) of the nodes that are settled as taken, and (node, null) of leaders whose group is full.
 

@@ -1,5 +1,6 @@
 """The store against a plain model of it: versions, merges, sums and postings."""
 
+import hashlib
 import os
 import random
 
@@ -93,7 +94,7 @@ def test_a_batch_writes_its_own_rows(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", buckets=4)
     rng = random.Random(0)
     text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
-    rows = lambda ids: (spark.createDataFrame([(f"d{i}", "t", "s", text(2000), None, None, None) for i in ids], DOCUMENT), spark.createDataFrame([(f"c{i}", f"d{i}", text(2000), None, 0, None, 5) for i in ids], CHUNK))
+    rows = lambda ids: (spark.createDataFrame([(f"d{i}", "t", "s", text(6000), None, None, None) for i in ids], DOCUMENT), spark.createDataFrame([(f"c{i}", f"d{i}", text(6000), None, 0, None, 5) for i in ids], CHUNK))
     store.upsert_documents(*rows(range(1000)))
     size = sum(files(tmp_path).values())
     for _ in range(3):
@@ -107,7 +108,7 @@ def test_a_batch_writes_its_own_rows(spark, tmp_path):
 
 def test_small_folders_are_merged_with_their_like(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", buckets=1)
-    row = lambda ids: spark.createDataFrame([(f"e{i}", "E" * 50, None, None, None, None, None) for i in ids], ENTITY)
+    row = lambda ids: spark.createDataFrame([(f"e{i}", hashlib.sha256(str(i).encode()).hexdigest(), None, None, None, None, None) for i in ids], ENTITY)
     store.insert(entities=row(range(50_000)))
     large = store.snapshot().entries("entities", "data")[0]["path"]
     for i in range(6):

@@ -24,10 +24,10 @@ def new_sessions(requests: DataFrame, now: Column, minutes: int = 60) -> DataFra
 
 
 def get_or_create(sessions: DataFrame, requests: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
-    """The active session of each request's id, or a new one."""
+    """The active session of each request's id, or a new one; ``found`` tells them, as a session that was there can have been created at ``now`` too."""
     live = active_sessions(sessions, now)
     fresh = new_sessions(requests.join(live, "id", "left_anti"), now, minutes)
-    return live.join(requests.select("id"), "id", "left_semi").unionByName(fresh)
+    return live.join(requests.select("id"), "id", "left_semi").withColumn("found", F.lit(True)).unionByName(fresh.withColumn("found", F.lit(False)))
 
 
 def merge_metadata(sessions: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

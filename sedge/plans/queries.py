@@ -574,7 +574,7 @@ def session_merge_metadata(spark, sf_dir):
 def session_get_or_create(spark, sf_dir):
     rows = session_rows(spark, sf_dir)
     asked = rows.select((F.col("id") * 2).alias("id"), "user_id", F.lit(None).cast("string").alias("metadata"))
-    return sessions.get_or_create(rows, asked, now()).select("id", (F.col("created_at") != now()).alias("found"))
+    return sessions.get_or_create(rows, asked, now()).select("id", F.when(F.col("id").isNotNull(), F.col("found")).alias("found"))
 
 
 @query("SELECT conv_id * 1000 + turn AS id, role, text AS content FROM conversations WHERE conv_id = 1 ORDER BY turn LIMIT 3")

@@ -227,6 +227,14 @@ def test_rewire(spark):
     assert sorted(map(str, map(tuple, links.collect()))) == sorted(map(str, [("c", "a", "f"), ("c", "a", "f"), ("a", "a", None), ("c", "c", "g")]))
 
 
+def test_a_session_created_at_this_moment_is_found(spark):
+    now = F.expr("timestamp '2024-01-01 12:00:00'")
+    asked = spark.createDataFrame([("x", "u", None), ("y", "u", None), (None, "u", None)], "id string, user_id string, metadata string")
+    kept = sessions.new_sessions(asked.where("id = 'x'"), now)
+    got = sessions.get_or_create(kept, asked, now).collect()
+    assert sorted((str(r["id"]), r["found"]) for r in got) == [("None", False), ("x", True), ("y", False)]
+
+
 def test_sessions(spark):
     now = F.expr("timestamp '2024-01-01 12:00:00'")
     asked = spark.createDataFrame([("x", "u", None)], "id string, user_id string, metadata string")

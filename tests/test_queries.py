@@ -56,3 +56,19 @@ def test_documents_without_chunks(spark):
     assert [(r["id"], r["chunk_count"]) for r in retrieval.list_documents(docs, chunks).collect()] == [(3, 0), (2, 0), (1, 2), (0, 3)]
     assert sorted((r["id"], r["chunk_count"], r["total_tokens"]) for r in retrieval.document_summaries(docs, chunks).collect()) == [(0, 3, 9), (1, 2, 6), (2, 0, None), (3, 0, None)]
     assert retrieval.get_document(docs, chunks, 3).first()["chunks"] == [] and [r["chunk_index"] for r in retrieval.document_chunks(chunks, 0).collect()] == [0, 2, 4]
+
+
+def test_sessions_that_begin_now_and_null_ids(spark, tmp_path, monkeypatch):
+    """Conversation 120 begins at the query's now, and is on no table of the smallest sizes."""
+    import shutil
+
+    from tests import support
+
+    for t in support.TABLES:
+        if t != "conversations":
+            shutil.copy(f"{support.SF}/{t}.parquet", tmp_path)
+    rows = [(i, 0) for i in (60, 120, 119, 238, 7)] + [(None, 0), (None, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int").coalesce(1).write.parquet(f"{tmp_path}/written")
+    shutil.copy(next(tmp_path.glob("written/part*")), f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(support, "SF", str(tmp_path))
+    check_query(spark, QUERIES["session_get_or_create"], ORACLE["session_get_or_create"])

@@ -76,7 +76,7 @@ class Lists:
         return np.where(self.radii < 0, -2.0, np.cos(np.maximum(angle, 0)))
 
     def meeting(self, x: np.ndarray, own: np.ndarray, least: float) -> list[np.ndarray]:
-        """For each unit vector, the lists behind its own that can hold one of cosine ``least`` or more.
+        """For each unit vector, the other lists than its own that can hold one of cosine ``least`` or more.
 
         Such a vector is within an angle of the list's ball, and within a chord of the plane that parts the two centres' cells.
         """
@@ -85,7 +85,7 @@ class Lists:
         gap = np.sqrt(np.maximum(2 - 2 * self.centres @ self.centres.T, 0))
         beyond = near[np.arange(len(x)), own][:, None] - near
         plane = beyond <= (math.sqrt(max(0.0, 2 - 2 * least)) + SLACK) * gap[own] + SLACK
-        asked = ball & plane & (self.radii >= 0)[None] & (np.arange(len(self.centres))[None] > own[:, None])
+        asked = ball & plane & (self.radii >= 0)[None] & (np.arange(len(self.centres))[None] != own[:, None])
         return [np.flatnonzero(row) for row in asked]
 
 

@@ -203,6 +203,22 @@ def test_pairs_by_lists_equal_those_of_all_blocks(spark, threshold, monkeypatch)
     assert pairs(pruned=True) == whole == pairs(pruned=True, block=16)
 
 
+def test_a_vector_is_copied_once_for_each_part_it_asks(spark, monkeypatch):
+    """Of vectors that lie evenly, each asks nearly all lists: what is shuffled grows with the parts, not with the lists; a list of many copies has parts of its own."""
+    monkeypatch.setattr("sedge.operators.lists.LIST_SIZE", 10)
+    rng, met = np.random.default_rng(2), []
+    x = rng.normal(size=(1200, 24))
+    x[:300] = x[0] + 0.01 * rng.normal(size=(300, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "ord long, name_embedding array<float>")
+    group_by = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (met.append(self.count()) if c in (("i", "j"), ("cell", "i", "j")) else None, group_by(self, *c))[1])
+    got = {(r["a"], r["b"]) for r in consolidate.similar_pairs(df, 0.85, block=16).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.85, 1)))} and len(got) >= 300 * 299 // 2
+    assert len(met) == 1 and met[0] <= 1200 * 16
+
+
 def test_lists_that_are_far_apart_do_not_meet(spark):
     """Rows that are shuffled grow with the vectors, not with their square: no cluster asks another's list."""
     from sedge.operators.lists import Lists

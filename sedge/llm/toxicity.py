@@ -37,7 +37,7 @@ WINDOW = regex.compile(r"[\p{L}\p{M}\p{N}]{1,64}|[^\p{L}\p{M}\p{N}\s]{1,64}")
 BATCH_CHARS = 1_500_000
 WIDE = [np.array([(b * m + c) & 255 for b in range(256)], np.uint8) for m, c in ((1, 0), (73, 41), (151, 97))]
 LEAD = bytes(range(128, 160))
-#: Bytes of running text that stand for a class while windows are chosen, and of the trained dictionaries (both: ordinary, toxic).
+#: Bytes of widened text that stand for a half of a class while windows are chosen (of its windows once each, if the text is more), and of the trained dictionaries (both: ordinary, toxic).
 TEXT_BYTES, DICTIONARY_BYTES = (3_000_000, 1_500_000), (131_072, 8_192)
 LEAST_GAIN = 8
 #: Thresholds among which calibration chooses: most bytes under the toxic dictionary, and least bytes more under the ordinary one.
@@ -79,15 +79,17 @@ def _lengths(compressor: zstandard.ZstdCompressor, some: list[str]) -> np.ndarra
     return np.concatenate(parts)
 
 
-def _running(texts: list[list[str]], most: int) -> zstandard.ZstdCompressor:
-    """The compressor with the words of texts as they stand, up to ``most`` bytes of them, as its dictionary."""
+def _known(texts: list[list[str]], counts: Counter, most: int) -> zstandard.ZstdCompressor:
+    """The compressor with the words of texts as they stand as its dictionary. If these are more than ``most`` bytes, each window that two texts hold (``counts``) stands there once, the commonest last, where they are reached cheapest."""
     content, size = [], 0
-    for some in texts:
-        content.append(widened(f" {' '.join(some)} ".encode()))
-        size += len(content[-1])
-        if size >= most:
+    if 3 * sum(len(w.encode()) + 1 for some in texts for w in some) + 6 * len(texts) <= most:
+        return _compressor(b"".join(widened(f" {' '.join(some)} ".encode()) for some in texts), zstandard.DICT_TYPE_RAWCONTENT)
+    for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        if n < 2 or size >= most:
             break
-    return _compressor(b"".join(content)[:most], zstandard.DICT_TYPE_RAWCONTENT)
+        content.append(widened(f" {w} ".encode()))
+        size += len(content[-1])
+    return _compressor(b"".join(reversed(content))[-most:], zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def _train(some: list[str], size: int) -> bytes:
@@ -101,18 +103,19 @@ def _train(some: list[str], size: int) -> bytes:
 def dictionaries(ordinary: list[list[str]], toxic: list[list[str]]) -> tuple[bytes, bytes]:
     """Dictionaries (ordinary, toxic) from the windows of each class's texts; empty ones where there is too little text."""
     halves = [(ordinary[i::2], toxic[i::2]) for i in (0, 1)]
-    plain = [_running(half[0], TEXT_BYTES[0]) for half in halves]
     # documents that hold a window; each is compressed once and trained on as often
-    left = [Counter(w for text in half[1] for w in set(text)) for half in halves]
-    toxic_text = [_running(half[1], TEXT_BYTES[1]) for half in halves]
+    held = [[Counter(w for text in some for w in set(text)) for some in half] for half in halves]
+    plain = [_known(half[0], counts[0], TEXT_BYTES[0]) for half, counts in zip(halves, held)]
+    toxic_text = [_known(half[1], counts[1], TEXT_BYTES[1]) for half, counts in zip(halves, held)]
+    left = [counts[1] for counts in held]
     for _ in range(3):
         kept = []
         for i in (0, 1):
             some = sorted(left[i])
             gain = _lengths(plain[1 - i], some) - _lengths(toxic_text[1 - i], some)
             kept.append(Counter({w: left[i][w] for w, g in zip(some, gain.tolist()) if g >= LEAST_GAIN}))
-        left, toxic_text = kept, [_running([sorted(k.elements())], TEXT_BYTES[1]) for k in kept]
-    common = Counter(w for text in ordinary for w in set(text))
+        left, toxic_text = kept, [_known([sorted(k.elements())], k, TEXT_BYTES[1]) for k in kept]
+    common = held[0][0] + held[1][0]
     return _train(_spread(common), DICTIONARY_BYTES[0]), _train(_spread(left[0] + left[1]), DICTIONARY_BYTES[1])
 
 

@@ -65,6 +65,20 @@ def test_words_that_begin_alike_are_told_apart():
     assert known["grobnak"] % 4096 > 2048 + 8 > known["grobnical"] % 4096
 
 
+def test_words_of_texts_beyond_the_bound_are_learnt(monkeypatch):
+    """Many toxic words, each in a few texts, and far more text than stands for a class as it is."""
+    monkeypatch.setattr("sedge.llm.toxicity.TEXT_BYTES", (60_000, 15_000))
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(5, 9)))
+    plain, bad = [word("aeioubdlmnrst") for _ in range(400)], [word("cfghjkpqvwxyz") for _ in range(40)]
+    ordinary = [rng.choices(plain, k=150) for _ in range(300)]
+    toxic = [rng.choices(plain, k=150) + [bad[i % 40], bad[(i // 40 + i) % 40]] for i in range(160)]
+    model = Model(*dictionaries(ordinary, toxic))
+    known = model.learn(set(bad + plain))
+    gains = lambda some: sum(known[w] % 4096 - 2048 >= 8 for w in some)
+    assert gains(bad) >= 36 and gains(plain) <= 20
+
+
 def test_held_out_rows_of_the_table(spark):
     """37 toxic texts to learn from; 9 of the 14 held-out ones hold a word that others hold too."""
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
